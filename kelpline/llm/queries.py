@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import simhash
+from kelpline.llm import bpe, rans, simhash, token_scan
+from kelpline.llm.tokens import public_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +18,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.document_token_counts(_documents(spark, sf_dir), public_path("byte_bpe_50k.json"), 50256)
+
+
+def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(_documents(spark, sf_dir), public_path("byte_bpe_50k.json"), 2).drop("last_id")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(_documents(spark, sf_dir), public_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op3_token_counts, op4_rans, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
