@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import bpe, rans, simhash, token_scan
+from kelpline.llm import bpe, mixing, quality, rans, simhash, token_scan
 from kelpline.llm.tokens import public_path
 
 
@@ -26,15 +26,23 @@ def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(_documents(spark, sf_dir), public_path("byte_bpe_50k.json"), 2).drop("last_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digests(_documents(spark, sf_dir), public_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_token_counts, op4_rans, op8_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op3_token_counts, op4_rans, op5_quality, op8_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality": quality.SQL, "op10_mixing": mixing.SQL}
