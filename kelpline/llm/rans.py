@@ -146,7 +146,7 @@ def _encode(path: str, end_id: int):
         encoder, pack = PieceEncoder.at(path), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            raw = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
+            raw = [x.tobytes() + end for x in encoder.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(x) for x in raw], pa.binary())], ["doc_id", "ids"])
 
     return run

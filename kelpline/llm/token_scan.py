@@ -27,8 +27,8 @@ def _flat(path: str, folder: str, eod: int):
         def parts():
             for batch in batches:
                 names.append(batch.column(0))
-                for x in encoder.encode(batch.column(1).to_pylist()):
-                    yield x + end
+                for x in encoder.encode(batch.column(1)):
+                    yield x.tobytes() + end
 
         size = write_bytes(uri, parts())
         n = 0

@@ -1,17 +1,20 @@
-"""Whole texts to token ids with the tokenizers library, piece by piece from a bounded cache."""
+"""Whole texts to token ids with the tokenizers library, each distinct piece once."""
 
 from __future__ import annotations
 
 import os
-import re
+from itertools import chain
 
 import numpy as np
-
-#: Pieces that a worker keeps in each of two generations: when the newer is full, it becomes the older, whose pieces move up as they
-#: are met again.
-CACHE = 300_000
-#: Characters that are split at a time.
-SLICE = 1 << 20
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of texts that are cut together, each of their distinct pieces once; and pieces that are put together at a time.
+SLICE, RUN = 32 << 20, 1 << 18
+#: Pieces that are encoded as one text.
+JOINED = 256
+#: White space, in whichever of the Unicode definitions.
+WHITE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _made: dict[str, PieceEncoder] = {}
 
 
@@ -22,13 +25,60 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def slices(texts: pa.Array, size: int = SLICE):
+    """Runs of texts of about `size` bytes; a longer text is a run of its own. Yields first and past-last."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
+    ends = np.cumsum(lengths)
+    k = 0
+    while k < len(texts):
+        n = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, "right")))
+        yield k, n
+        k = n
+
+
+class Pieces:
+    """Texts cut at each space between characters that aren't white space; there a pre-token always begins.
+
+    distinct: the different pieces, each without the space before it. of: every piece as a number into distinct, but the first pieces of
+    texts, which have no space before them, as len(distinct) plus the text's number. cuts: where each text's pieces begin, and the
+    end. heads: the first pieces. Texts in which white space follows white space aren't cut: they are their own first piece. Null
+    counts as the empty text."""
+
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts, "")
+        wide = pc.match_substring_regex(texts, WHITE + "{2}")
+        lists = pc.split_pattern(pc.if_else(wide, "", texts), " ")
+        self.cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        first = self.cuts[:-1]
+        self.heads = pc.if_else(wide, texts, flat.take(pa.array(first))).to_pylist()
+        coded = flat.dictionary_encode()
+        self.distinct = coded.dictionary
+        self.of = coded.indices.to_numpy().copy()
+        self.of[first] = len(self.distinct) + np.arange(len(texts))
+
+    def join(self, pool: np.ndarray, sizes: np.ndarray):
+        """pool: numbers for each of distinct, then for each head, `sizes` of them. Yields those of each text, put together."""
+        starts = np.cumsum(sizes) - sizes
+        out, stops = [], [np.zeros(1, np.int64)]
+        for k in range(0, len(self.of), RUN):
+            part = self.of[k : k + RUN]
+            n = sizes[part]
+            ends = np.cumsum(n)
+            out.append(pool[np.repeat(starts[part] - (ends - n), n) + np.arange(ends[-1])])
+            stops.append(ends + stops[-1][-1])
+        flat, at = np.concatenate(out) if out else pool[:0], np.concatenate(stops)[self.cuts].tolist()
+        for a, b in zip(at, at[1:]):
+            yield flat[a:b]
+
+
 class PieceEncoder:
     """A byte-level BPE of the tokenizers library, applied to whole texts.
 
     Its pre-tokenizer always begins a new pre-token at a space between two characters that aren't white space, and merges never
-    cross pre-tokens. So a text is cut at those spaces, each distinct piece is encoded once and kept, and a text's ids are its
-    pieces' ids in turn. Texts in which white space follows white space go to the library whole. Ids are packed little-endian, in
-    16 bits where the vocabulary allows, else 32. Null counts as the empty text, which has no ids."""
+    cross pre-tokens. So a text is cut at those spaces, each distinct piece of a slice is encoded once, and a text's ids are its
+    pieces' ids in turn. Ids are little-endian, in 16 bits where the vocabulary allows, else 32. Null counts as the empty text, which
+    has no ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,54 +92,39 @@ class PieceEncoder:
         self.bytes = np.zeros(self.size, np.int64)  # of each id; a character of a token's string is one byte
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)
-        self.spaced: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.double = re.compile(r"\s\s").search
 
     @classmethod
     def at(cls, path: str) -> PieceEncoder:
-        """The one of this process: its cache lasts over the tasks of a worker."""
+        """The one of this process."""
         return _made.get(path) or _made.setdefault(path, cls(path))
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.spaced) > CACHE:
-            self.spaced, self.older = {}, self.spaced
-        new = pieces.difference(self.spaced)
-        if old := new.intersection(self.older):
-            self.spaced.update(zip(old, map(self.older.__getitem__, old)))
-            new -= old
-        alone = [p for p in new if not p or p[-1].isspace()]
-        self.spaced.update(zip(alone, self._whole([" " + p for p in alone])))
-        rest = list(new.difference(alone))
-        for k in range(0, len(rest), 4000):
-            part = rest[k : k + 4000]
-            ids = np.frombuffer(self._whole(["".join([" " + p for p in part])])[0], self.dtype)
-            # Where each piece ends: its bytes in the text are its tokens' bytes.
-            ends = np.cumsum([len(p.encode()) + 1 for p in part])
-            at = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            stops = (at * width).tolist()
-            self.spaced.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops)]))
-
-    def encode(self, texts: list[str | None]):
-        """Yields the packed ids of each text."""
-        k = 0
-        while k < len(texts):
-            n, chars = k, 0
-            while n < len(texts) and chars < SLICE:
-                chars += len(texts[n] or "")
-                n += 1
-            pieces = [None if self.double(t or "") else (t or "").split(" ") for t in texts[k:n]]
-            need: set[str] = set()
-            for p in pieces:
-                if p:
-                    need.update(p[1:])
-            self._learn(need)
-            heads = iter(self._whole([p[0] if p else t for p, t in zip(pieces, texts[k:n])]))
-            get = self.spaced.__getitem__
-            for p in pieces:
-                yield next(heads) + b"".join(map(get, p[1:])) if p else next(heads)
-            k = n
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one text's after another's, and how many each has."""
+        ids = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum())), sizes
+
+    def _spaced(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces with a space before each. Many are encoded as one text, which their bytes divide again, as a token stands
+        for certain bytes; not so pieces that end in white space, which would be drawn to the next one's space."""
+        alone = pc.or_(pc.equal(pieces, ""), pc.match_substring_regex(pieces, WHITE + "$")).to_numpy(zero_copy_only=False)
+        order = np.argsort(alone, kind="stable")
+        texts = pieces.take(pa.array(order)).to_pylist()
+        n = len(texts) - int(alone.sum())
+        pool, _ = self._whole([" " + " ".join(texts[k : min(n, k + JOINED)]) for k in range(0, n, JOINED)])
+        ends = np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False)[order[:n]].astype(np.int64) + 1)
+        stops = np.searchsorted(np.cumsum(self.bytes[pool]), ends) + 1
+        more, few = self._whole([" " + x for x in texts[n:]])
+        pool, sizes = np.concatenate([pool, more]), np.concatenate([np.diff(stops, prepend=0), few])
+        back = np.empty(len(order), np.int64)  # in the order of pieces again
+        back[order] = np.arange(len(order))
+        starts, sizes = (np.cumsum(sizes) - sizes)[back], sizes[back]
+        return pool[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(pool))], sizes
+
+    def encode(self, texts: pa.Array):
+        """Yields the ids of each text, as an array."""
+        for a, b in slices(texts):
+            cut = Pieces(texts.slice(a, b - a))
+            pool, sizes = self._spaced(cut.distinct)
+            heads, few = self._whole(cut.heads)
+            yield from cut.join(np.concatenate([pool, heads]), np.concatenate([sizes, few]))
