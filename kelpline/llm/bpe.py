@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.shared import partitions, stage
+from kelpline.llm.shared import partitions, stage_bucketed
 
 #: Characters of the documents that share a bundle of distinct pre-tokens; a longer document is a bundle of its own.
 BUNDLE = 12_000_000
@@ -192,13 +192,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     Pre-tokens go out as (bundle of documents, word, positions): equal words of a bundle are grouped before the shuffle, so a
     word that is everywhere comes once from each bundle. Words are dealt by their hash; each distinct word is encoded once, in the
-    one task that has it, and its ids go back to the bundles, which are put together by position. Texts aren't shuffled. Words travel
+    one task that has it, and its ids go back to the bundles, which are put together by position. Neither texts nor positions are
+    shuffled: the bundles wait in a bucketed table, where the join finds them. Words travel
     packed, those of a bundle that go the same way in one row. A task holds the distinct words of its part: their number is kept
     down by spark.sql.shuffle.partitions."""
     spark = docs.sparkSession
     parts = partitions(spark)
     schema = "bundle long, doc_ids array<long>, lengths array<int>, positions binary, parts binary, words array<struct<part: int, packed: binary>>"
-    bundles = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles(pattern, parts), schema), "bundles")
+    bundles = stage_bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles(pattern, parts), schema), "bundles", "bundle")
     words = bundles.select("bundle", F.explode("words").alias("w")).select("bundle", "w.part", "w.packed")
     ids = words.repartition(parts, "part").mapInArrow(_encode(ranks, pattern), "bundle long, part int, ids binary")
     back = ids.groupBy("bundle").agg(F.collect_list(F.struct("part", "ids")).alias("ids"))

@@ -53,6 +53,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As stage(), dealt by a hash of `key` into as many buckets as shuffles have partitions: a later join or group by `key` finds the
+    rows in place, and only the other side moves. The table's files are in the shared folder; its name goes with the session."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    table = f"kelpline_{name}_{uuid.uuid4().hex[:12]}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).saveAsTable(table)
+    return spark.table(table)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
