@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import bpe, mixing, quality, rans, simhash, token_scan
+from kelpline.llm import bpe, mixing, quality, rans, simhash, token_scan, urls
 from kelpline.llm.tokens import public_path
 
 
@@ -36,12 +36,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES).drop("score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_token_counts, op4_rans, op5_quality, op8_bpe, op10_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op3_token_counts, op4_rans, op5_quality, op8_bpe, op9_urls, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
