@@ -146,7 +146,8 @@ def _variants(df: DataFrame, of: str, at: str, width: int) -> DataFrame:
 def _crowded(df: DataFrame, key: list[str]) -> DataFrame:
     """The rows of variants that hold a pair to verify, with the count of their variant."""
     n = df.groupBy(*key).agg(F.count("*").alias("n"), F.min("bit").alias("lo"), F.max("bit").alias("hi"), F.min("w").alias("first"))
-    return df.join(n.where("n > 1 and (first = 0 or lo < hi)").select(*key, "n"), key)
+    # Both sides are far larger than the files they are made from, so that sizes guessed from those would have one broadcast.
+    return df.join(n.where("n > 1 and (first = 0 or lo < hi)").select(*key, "n").hint("merge"), key)
 
 
 def links(fps: DataFrame) -> DataFrame:
