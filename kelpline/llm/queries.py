@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import bpe, licenses, mixing, quality, rans, simhash, token_scan, urls
+from kelpline.llm import bpe, licenses, mixing, quality, rans, simhash, token_scan, urls, vectors
 from kelpline.llm.tokens import public_path
 
 
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.document_token_counts(_documents(spark, sf_dir), public_path("byte_bpe_50k.json"), 50256)
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_token_counts, op4_rans, op5_quality, op6_licenses, op8_bpe, op9_urls, op10_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_token_counts, op4_rans, op5_quality, op6_licenses, op8_bpe, op9_urls, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
