@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import bpe, licenses, mixing, quality, rans, simhash, token_scan, urls, vectors
+from kelpline.llm import bpe, html, licenses, mixing, quality, rans, simhash, token_scan, urls, vectors
 from kelpline.llm.tokens import public_path
 
 
@@ -38,6 +38,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.by_document(_documents(spark, sf_dir))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_token_counts, op4_rans, op5_quality, op6_licenses, op8_bpe, op9_urls, op10_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op2_embeddings, op3_token_counts, op4_rans, op5_quality, op6_licenses, op7_html, op8_bpe, op9_urls, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
