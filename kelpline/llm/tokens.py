@@ -10,9 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of texts that are cut together, each of their distinct pieces once; and pieces that are put together at a time.
-SLICE, RUN = 32 << 20, 1 << 18
-#: Pieces that are encoded as one text.
-JOINED = 256
+SLICE, RUN = 16 << 20, 1 << 18
+#: Pieces that are encoded as one text, and texts that the library is given at once.
+JOINED, AT_ONCE = 256, 64
 #: White space, in whichever of the Unicode definitions.
 WHITE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _made: dict[str, PieceEncoder] = {}
@@ -100,9 +100,13 @@ class PieceEncoder:
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, one text's after another's, and how many each has."""
-        ids = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum())), sizes
+        pools, sizes = [np.zeros(0, self.dtype)], np.zeros(len(texts), np.int64)
+        for k in range(0, len(texts), AT_ONCE):
+            # The library's results hold far more than ids: few of them at a time.
+            ids = [x.ids for x in self.library.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+            sizes[k : k + len(ids)] = list(map(len, ids))
+            pools.append(np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes[k : k + len(ids)].sum())))
+        return np.concatenate(pools), sizes
 
     def _spaced(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same of pieces with a space before each. Many are encoded as one text, which their bytes divide again, as a token stands
