@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kelpline.plans import values
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(values.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(values.SQL)
