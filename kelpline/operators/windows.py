@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,7 +83,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[
         marked = marked.withColumn(f"__in{i}", c.cast("long"))
     dealt = marked.repartition(*keys).sortWithinPartitions(*keys, *order)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    width, many = len(df.columns), len(inputs)
+    names, width, many = [*df.columns, name], len(df.columns), len(inputs)
     key_at = [df.columns.index(k) for k in keys]
 
     def run(batches):
@@ -101,7 +102,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[
                 if len(same):
                     c = batch.column(i)
                     a, b = c.take(pa.array(same)), c.take(pa.array(same - 1))
-                    differs = np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist())]) if pa.types.is_nested(c.type) else ~pa.compute.fill_null(pa.compute.or_kleene(pa.compute.equal(a, b), pa.compute.and_(a.is_null(), b.is_null())), False).to_numpy(zero_copy_only=False)
+                    differs = np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist())]) if pa.types.is_nested(c.type) else ~pc.fill_null(pc.or_kleene(pc.equal(a, b), pc.and_(a.is_null(), b.is_null())), False).to_numpy(zero_copy_only=False)
                     change[same[differs]] = True
             cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
             values = [batch.column(width + 1 + i).to_numpy() for i in range(many)]
@@ -112,7 +113,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[
                 own.restart()
                 out.append(own.run(*[v[a:b] for v in values]))
             last = tuple(batch.column(i)[batch.num_rows - 1].as_py() for i in key_at)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(width)], pa.array(np.concatenate(out))], [*df.columns, name])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(width)], pa.array(np.concatenate(out))], names)
 
     return dealt.mapInArrow(run, schema)
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.plans import values
+from kelpline.plans import feeds, series, values
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(values.QUERIES)
+    return values.QUERIES | series.QUERIES | feeds.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(values.SQL)
+    return values.SQL | series.SQL | feeds.SQL
