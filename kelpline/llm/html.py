@@ -304,7 +304,7 @@ def _infer(table: pa.Table) -> pa.Table:
     order = sorted(range(table.num_rows), key=lambda i: table["page_id"][i].as_py() or 0)
     pages = [p for i in order if (p := table["html"][i].as_py())]
     wrapper = infer(pages) if pages else Wrapper("")
-    return pa.table({"host": [table["host"][0].as_py()], "wrapper": [expression(wrapper)], "template": [template_paths([wrapper])], "pages": pa.array([len(pages)], pa.int32())})
+    return pa.table({"host": pa.array([table["host"][0].as_py()], pa.string()), "wrapper": pa.array([expression(wrapper)]), "template": pa.array([template_paths([wrapper])], pa.list_(pa.string())), "pages": pa.array([len(pages)], pa.int32())})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:

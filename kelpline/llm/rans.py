@@ -63,7 +63,7 @@ class Table:
         return cls(scaled)
 
 
-def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY) -> tuple[list[int], np.ndarray, np.ndarray]:
+def encode_block(ids: np.ndarray, table: Table, lanes: int, every: int) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Positions in the words and lane states at each checkpoint, first to last, and the words."""
     n = len(ids)
     rows = -(-n // lanes)
@@ -109,7 +109,7 @@ def decode_rows(states: np.ndarray, words: np.ndarray, n: int, table: Table) ->
 
 
 def pack_block(ids: np.ndarray, lead: int, doc_ids: list[int], lengths: list[int], table: Table) -> bytes:
-    at, states, words = encode_block(ids, table)
+    at, states, words = encode_block(ids, table, LANES, EVERY)
     head = np.array([len(ids), LANES, EVERY, len(words), len(doc_ids), lead], "<u4").tobytes() + np.array(doc_ids, "<i8").tobytes() + np.array(lengths, "<u4").tobytes() + np.array(at, "<u4").tobytes()
     body = states.tobytes() + words.astype("<u4").tobytes()
     return np.array([len(head), len(body), zlib.crc32(body)], "<u4").tobytes() + head + body
