@@ -1,0 +1,76 @@
+"""The pipeline against a plain version of its stages, and what the driver's contract asks of it."""
+
+import base64
+import hashlib
+from collections import Counter
+
+import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from kelpline.llm import mixing, quality, simhash
+from kelpline.llm.shared import stage
+
+
+@pytest.fixture(scope="module")
+def planted(spark, sf_dir, tmp_path_factory):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    copies = docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 100_000)
+    near = docs.where("doc_id between 20 and 39").withColumn("doc_id", F.col("doc_id") + 200_000).withColumn("text", F.concat("text", F.lit(" x")))
+    odd = spark.createDataFrame([(300_000, None, None, None, 0), (300_001, "", "en", "src0", 0), (None, "a b", "en", None, 3)], docs.schema)
+    path = str(tmp_path_factory.mktemp("sf"))
+    docs.unionByName(copies).unionByName(near).unionByName(odd).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_stages(spark, planted):
+    docs = spark.read.parquet(f"{planted}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "mix", "tokenise"]
+    columns = docs.columns
+    for name, of in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(of(spark, docs, planted), name)
+        assert docs.columns == columns
+        assert {r.doc_id for r in docs.select("doc_id").collect()} <= {r.doc_id for r in before.select("doc_id").collect()}
+
+
+def test_run_against_a_plain_version(spark, planted):
+    docs = spark.read.parquet(f"{planted}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    kept = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+    assert None not in kept and 300_000 not in kept and 300_001 not in kept
+    prints = {i: simhash.fingerprint((rows[i].text or "").encode()) for i in sorted(kept)}
+    ids = sorted(prints)
+    x = np.array([prints[i] for i in ids], np.uint64)
+    first: dict[int, int] = {}
+    for a in range(len(ids)):  # breadth first from the smallest id on
+        if ids[a] in first:
+            continue
+        todo = [a]
+        first[ids[a]] = ids[a]
+        while todo:
+            for b in np.flatnonzero(np.bitwise_count(x ^ x[todo.pop()]) <= 3).tolist():
+                if ids[b] not in first:
+                    first[ids[b]] = ids[a]
+                    todo.append(b)
+    unique = [i for i in ids if first[i] == i]
+    assert not any(i >= 100_000 for i in unique if i - 100_000 in kept)
+    left = docs.where(F.col("doc_id").isin(unique))
+    times = {r.doc_id: r.copies for r in mixing.copies(left).collect()}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for i in unique:
+        tokens = enc.encode_ordinary(rows[i].text)
+        want[i, len(tokens), hashlib.sha256(",".join(map(str, tokens)).encode()).hexdigest(), hashlib.sha256(rows[i].text.encode()).hexdigest()] += times[i]
+    assert Counter(map(tuple, corpus_pipeline.run(spark, planted).collect())) == +want
+
+
+def test_registered(spark):
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert set(entry.oracle_sql()) <= set(names)
