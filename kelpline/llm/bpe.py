@@ -14,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.shared import partitions, stage_bucketed
+from kelpline.llm.shared import partitions, stage_bucketed, tidy
 
 #: Characters of the documents that share a bundle of distinct pre-tokens; a longer document is a bundle of its own.
-BUNDLE = 12_000_000
+BUNDLE = 8_000_000
 _made: dict[str, Ranks] = {}
 
 
@@ -119,6 +119,7 @@ def _bundles(pattern: str, parts: int):
             seq += 1
             held.clear()
             chars = 0
+            tidy()
             return pa.RecordBatch.from_pylist([row], schema=_BUNDLES)
 
         for batch in batches:
@@ -181,10 +182,24 @@ def _assemble(path: str):
                         out_ids, out_docs, size = [], [], 0
                 if out_docs:
                     yield pa.RecordBatch.from_arrays([pa.array(out_docs, pa.int64()), pa.array(out_ids, pa.binary())], ["doc_id", "ids"])
+        tidy()
 
     return run
 
 
+def _bundled(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """Bundles with their words' ids, ready to be put together."""
+    spark = docs.sparkSession
+    parts = partitions(spark)
+    schema = "bundle long, doc_ids array<long>, lengths array<int>, positions binary, parts binary, words array<struct<part: int, packed: binary>>"
+    bundles = stage_bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles(pattern, parts), schema), "bundles", "bundle")
+    words = bundles.select("bundle", F.explode("words").alias("w")).select("bundle", "w.part", "w.packed")
+    ids = words.repartition(parts, "part").mapInArrow(_encode(ranks, pattern), "bundle long, part int, ids binary")
+    back = ids.groupBy("bundle").agg(F.collect_list(F.struct("part", "ids")).alias("ids"))
+    whole = bundles.drop("words").join(back, "bundle", "left").withColumn("ids", F.coalesce("ids", F.expr("array()")))
+    return whole.select("doc_ids", "lengths", "positions", "parts", "ids")
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """docs (doc_id long, text, …). Returns (doc_id, ids binary): each whole text's ids by the rank file `ranks`, each match of
     `pattern` on its own, without special tokens; little-endian, in 16 bits where the ranks allow, else 32. A row for each row of
@@ -196,15 +211,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     shuffled: the bundles wait in a bucketed table, where the join finds them. Words travel
     packed, those of a bundle that go the same way in one row. A task holds the distinct words of its part: their number is kept
     down by spark.sql.shuffle.partitions."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    schema = "bundle long, doc_ids array<long>, lengths array<int>, positions binary, parts binary, words array<struct<part: int, packed: binary>>"
-    bundles = stage_bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles(pattern, parts), schema), "bundles", "bundle")
-    words = bundles.select("bundle", F.explode("words").alias("w")).select("bundle", "w.part", "w.packed")
-    ids = words.repartition(parts, "part").mapInArrow(_encode(ranks, pattern), "bundle long, part int, ids binary")
-    back = ids.groupBy("bundle").agg(F.collect_list(F.struct("part", "ids")).alias("ids"))
-    whole = bundles.drop("words").join(back, "bundle", "left").withColumn("ids", F.coalesce("ids", F.expr("array()")))
-    return whole.select("doc_ids", "lengths", "positions", "parts", "ids").mapInArrow(_assemble(ranks), "doc_id long, ids binary")
+    return _bundled(docs, ranks, pattern).mapInArrow(_assemble(ranks), "doc_id long, ids binary")
 
 
 def _decode(path: str):
@@ -241,5 +248,11 @@ def _digests(path: str):
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """encode(), then of each row: n_tokens, the SHA-256 of the decimal ids joined by commas, and that of what they decode to."""
-    return encode(docs, ranks, pattern).mapInArrow(_digests(ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """encode() and decode() of each row, in one pass over the bundles: n_tokens, the SHA-256 of the decimal ids joined by commas, and
+    that of the bytes they decode to."""
+    assemble, digest = _assemble(ranks), _digests(ranks)
+
+    def run(batches):
+        yield from digest(assemble(batches))
+
+    return _bundled(docs, ranks, pattern).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

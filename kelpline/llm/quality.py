@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from kelpline.llm.shared import stage
+from kelpline.llm.shared import stage, tidy
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -56,6 +56,7 @@ def measure(text: str) -> tuple[int, ...]:
 @F.arrow_udf(T.StructType([T.StructField(x, T.LongType()) for x in FEATURES]))
 def features(texts: pa.Array) -> pa.Array:
     rows = [measure(x.as_py() or "") for x in texts]
+    tidy()
     return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(FEATURES))], list(FEATURES))
 
 

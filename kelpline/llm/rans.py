@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kelpline.llm.shared import local_path, new_folder, partitions, read_range, stage, write_bytes
-from kelpline.llm.tokens import PieceEncoder
+from kelpline.llm.shared import local_path, new_folder, partitions, read_range, stage, tidy, write_bytes
+from kelpline.llm.tokens import PieceEncoder, runs
 
 MAGIC = b"KRNS0001"
 BITS = 20  # of the frequencies' sum
@@ -145,9 +145,10 @@ def _encode(path: str, end_id: int):
     def run(batches):
         encoder, pack = PieceEncoder.at(path), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in batches:
-            raw = [x.tobytes() + end for x in encoder.encode(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(x) for x in raw], pa.binary())], ["doc_id", "ids"])
+        for batch in runs(batches):
+            raw = [pack.compress(x.tobytes() + end) for x in encoder.encode(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["doc_id", "ids"])
+        tidy()
 
     return run
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,11 +47,38 @@ def _clean() -> None:
             pass
 
 
+#: Rows that go to Python at a time while a table is staged. Texts may be long; what needs larger runs puts batches together.
+BATCH = 1024
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system: idle workers would hold on to it while others need it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: it cuts the lineage, and what made it isn't run again."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +88,8 @@ def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     table = f"kelpline_{name}_{uuid.uuid4().hex[:12]}"
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).saveAsTable(table)
+    with _small_batches(spark):
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).saveAsTable(table)
     return spark.table(table)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kelpline.llm.components import components
-from kelpline.llm.shared import stage
+from kelpline.llm.shared import stage, tidy
 
 SHINGLE = 3  # words
 BITS = 3  # differing bits that still link
@@ -45,7 +45,9 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(texts: pa.Array) -> pa.Array:
     """The fingerprint of each text, as a signed 64-bit integer."""
     raw = texts.cast(pa.binary())
-    return pa.array([x - (1 << 64) if x >> 63 else x for x in (fingerprint(t.as_py()) for t in raw)], pa.int64())
+    out = pa.array([x - (1 << 64) if x >> 63 else x for x in (fingerprint(t.as_py()) for t in raw)], pa.int64())
+    tidy()
+    return out
 
 
 def _connect(n: int, pairs, comp: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:

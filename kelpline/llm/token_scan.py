@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kelpline.llm.shared import new_folder, partitions, read_range, stage, write_bytes
-from kelpline.llm.tokens import PieceEncoder
+from kelpline.llm.shared import new_folder, partitions, read_range, stage, tidy, write_bytes
+from kelpline.llm.tokens import PieceEncoder, runs
 
 BLOCK = 1 << 22  # bytes of a file that a task scans at a time
 _FILES = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
@@ -25,7 +25,7 @@ def _flat(path: str, folder: str, eod: int):
         names: list[pa.Array] = []
 
         def parts():
-            for batch in batches:
+            for batch in runs(batches):
                 names.append(batch.column(0))
                 for x in encoder.encode(batch.column(1)):
                     yield x.tobytes() + end
@@ -35,6 +35,7 @@ def _flat(path: str, folder: str, eod: int):
         for x in names:
             yield pa.RecordBatch.from_arrays([pa.array([uri] * len(x)), pa.array([size] * len(x), pa.int64()), pa.array(range(n, n + len(x)), pa.int64()), x], schema=_FILES)
             n += len(x)
+        tidy()
 
     return run
 

@@ -36,6 +36,20 @@ def slices(texts: pa.Array, size: int = SLICE):
         k = n
 
 
+def runs(batches, size: int = SLICE):
+    """Record batches put together to at least `size` bytes, so that what is done once for a run is done seldom."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for b in batches:
+        held.append(b)
+        total += b.nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class Pieces:
     """Texts cut at each space between characters that aren't white space; there a pre-token always begins.
 
