@@ -74,7 +74,7 @@ class Index:
     def tables(self, x: np.ndarray, k: int) -> list[np.ndarray]:
         """For vectors asked of list k: squared distances of each subspace of their residuals to each codeword."""
         r = x - self.centres[k]
-        return [((r[:, None, a : a + SUBSPACE] - w[None, :, :]) ** 2).sum(axis=2) for a, w in zip(self.cuts, self.words)]
+        return [((r[:, None, a : a + SUBSPACE] - w[None, :, :]) ** 2).sum(axis=2).astype(np.float32) for a, w in zip(self.cuts, self.words)]
 
 
 def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +125,14 @@ def _pairs(index: Index, cosine: float):
         if not len(y) or not len(q):
             return schema.empty_table()
         codes = np.frombuffer(b"".join(table["code"].take(pa.array(y)).to_pylist()), np.uint8).reshape(len(y), -1)
-        limit = (far + table["error"].to_numpy()[y] + 1e-9) ** 2
+        limit = ((far + table["error"].to_numpy()[y]) ** 2 * (1 + 1e-5) + 1e-5).astype(np.float32)  # over what single precision loses
         # Who of the list asks elsewhere: such pairs could be found twice, and count where the lesser list is.
         asks = {int(i): frozenset(probes[int(i)].as_py()) for i in y}
         n = np.zeros(len(ids), np.int64)
         links = []
         for a in range(0, len(q), 256):
             part = q[a : a + 256]
-            near = np.zeros((len(part), len(y)))
+            near = np.zeros((len(part), len(y)), np.float32)
             for m, lut in enumerate(index.tables(x[part], k)):
                 near += lut[:, codes[:, m]]
             i, j = np.nonzero(near <= limit[None, :])
