@@ -86,9 +86,9 @@ def pb_framing(spark, d):
     return table(spark, d, "events").select("event_id", "event_type", "props").mapInArrow(_frame, "event_id long, n_lines long, n_chunks long, n_bytes long")
 
 
-@query("""SELECT unnest(['name', 'pvs[0].name', 'pvs[1].name', 'pvs[1].option.type', 'tls', 'empty']) AS key, unnest(['r1', 'a:b', 'c:d', 'slac-bsas-table', 'true', '{}']) AS value""")
+@query("""SELECT unnest(['name', 'pvs[0].name', 'pvs[1].name', 'pvs[1].option.type', 'tls', 'empty']) AS key, unnest(['r1', 'a:b', 'c:d', 'row-table', 'true', '{}']) AS value""")
 def config_flatten(spark, d):
-    return config.as_rows(spark, {"name": "r1", "pvs": [{"name": "a:b"}, {"name": "c:d", "option": {"type": "slac-bsas-table"}}], "tls": True, "empty": {}})
+    return config.as_rows(spark, {"name": "r1", "pvs": [{"name": "a:b"}, {"name": "c:d", "option": {"type": "row-table"}}], "tls": True, "empty": {}})
 
 
 def _stream(spark, d):

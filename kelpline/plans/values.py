@@ -218,10 +218,10 @@ def met_text_parse(spark, d):
     return table(spark, d, "orders").withColumn("line", line).select("o_orderkey", n.alias("name"), r.alias("reader"), s.alias("source"), v.alias("value"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'slac-bsas-table' ELSE 'default' END AS mode FROM supplier""")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'row-table' ELSE 'default' END AS mode FROM supplier""")
 def cfg_mode_lookup(spark, d):
     s = table(spark, d, "supplier")
-    options = s.where(F.pmod("s_suppkey", F.lit(4)) == 0).select("s_suppkey", F.lit("slac-bsas-table").alias("option"))
+    options = s.where(F.pmod("s_suppkey", F.lit(4)) == 0).select("s_suppkey", F.lit("row-table").alias("option"))
     return s.join(options, "s_suppkey", "left").select("s_suppkey", F.coalesce("option", F.lit("default")).alias("mode"))
 
 

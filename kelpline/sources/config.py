@@ -83,7 +83,8 @@ class LiveReader:
             else:
                 option = _map(option, "option")
                 kind = _text(option, "type").lower()
-                if kind not in ("default", "slac-bsas-table"):
+                kind = "table" if kind.endswith("-table") else kind
+                if kind not in ("default", "table"):
                     raise ConfigError(f"unknown option type {kind}")
                 if kind != "default" and "sourceName" in option:
                     raise ConfigError("sourceName doesn't go with tables")
@@ -158,7 +159,7 @@ class Pool:
 
     @classmethod
     def of(cls, node: Any) -> Pool:
-        tree = _map(node, "mldp-pool")
+        tree = _map(node, "the pool")
         a, b = _text(tree, "ingestion-url"), _text(tree, "query-url")
         if a == b:
             raise ConfigError("the two URLs must differ")
@@ -171,6 +172,9 @@ class Pool:
         return cls(_text(tree, "provider-name"), a, b, least, most, "map" if isinstance(cred, dict) else cred)
 
 
+READERS = {"archiver": ArchiverReader, "base": LiveReader, "xs": LiveReader, "live": LiveReader}
+
+
 @dataclass(frozen=True)
 class Controller:
     workers: int
@@ -183,18 +187,20 @@ class Controller:
     @classmethod
     def of(cls, node: Any) -> Controller:
         tree = _map(node, "configuration")
-        kinds = {"epics-pvxs": LiveReader, "epics-base": LiveReader, "epics-archiver": ArchiverReader}
         readers: list[Any] = []
         listed = tree.get("reader", [])
         if not isinstance(listed, list):
             raise ConfigError("reader must be a list")
         for entry in listed:
             for kind, nodes in _map(entry, "a reader entry").items():
-                if kind not in kinds:
+                # Kinds are known by how they end; what goes before is the control system's name.
+                of = next((v for k, v in READERS.items() if kind.endswith(k)), None)
+                if of is None:
                     raise ConfigError(f"unknown reader {kind}")
-                readers += [kinds[kind].of(n) for n in (nodes if isinstance(nodes, list) else [nodes])]
+                readers += [of.of(n) for n in (nodes if isinstance(nodes, list) else [nodes])]
         names = [r.name for r in readers]
         if len(names) != len(set(names)):
             raise ConfigError("reader names must differ")
         metrics = _map(tree.get("metrics", {}), "metrics")
-        return cls(_whole(tree, "controller-thread-pool", 1, 1), _whole(tree, "controller-stream-max-bytes", 2 << 20, 1), _whole(tree, "controller-stream-max-age-ms", 200, 1), Pool.of(tree.get("mldp-pool")), tuple(readers), _whole(metrics, "scan-interval-seconds", 1, 1))
+        pool = next((v for k, v in tree.items() if k.endswith("-pool") and k != "controller-thread-pool"), tree.get("pool"))
+        return cls(_whole(tree, "controller-thread-pool", 1, 1), _whole(tree, "controller-stream-max-bytes", 2 << 20, 1), _whole(tree, "controller-stream-max-age-ms", 200, 1), Pool.of(pool), tuple(readers), _whole(metrics, "scan-interval-seconds", 1, 1))

@@ -104,15 +104,15 @@ def test_registry():
 
 
 GOOD = {
-    "mldp-pool": {"provider-name": "p", "ingestion-url": "a", "query-url": "b", "min-conn": 1, "max-conn": 2},
-    "reader": [{"epics-pvxs": [{"name": "r", "pvs": [{"name": "x"}, {"name": "x"}, {"name": "t", "option": {"type": "SLAC-BSAS-TABLE"}}]}]}, {"epics-archiver": [{"name": "h", "hostname": "z", "start-date": "2024-01-01T00:00:00Z", "pvs": []}]}],
+    "service-pool": {"provider-name": "p", "ingestion-url": "a", "query-url": "b", "min-conn": 1, "max-conn": 2},
+    "reader": [{"live": [{"name": "r", "pvs": [{"name": "x"}, {"name": "x"}, {"name": "t", "option": {"type": "ROW-TABLE"}}]}]}, {"any-archiver": [{"name": "h", "hostname": "z", "start-date": "2024-01-01T00:00:00Z", "pvs": []}]}],
 }
 
 
 def test_configuration():
     c = config.Controller.of(GOOD)
     live, past = c.readers
-    assert [s.mode for s in live.sources] == ["default", "slac-bsas-table"] and live.column_batch == 50
+    assert [s.mode for s in live.sources] == ["default", "table"] and live.column_batch == 50
     assert past.pvs == () and past.mode == "historical_once" and c.stream_max_age_ms == 200
 
 
@@ -121,17 +121,17 @@ def test_configuration():
     [
         lambda g: g.update({"controller-thread-pool": 0}),
         lambda g: g.update({"reader": {}}),
-        lambda g: g["mldp-pool"].update({"query-url": "a"}),
-        lambda g: g["mldp-pool"].update({"max-conn": 0}),
+        lambda g: g["service-pool"].update({"query-url": "a"}),
+        lambda g: g["service-pool"].update({"max-conn": 0}),
         lambda g: g["reader"].append({"other": [{}]}),
-        lambda g: g["reader"][0]["epics-pvxs"][0].update({"backend": "x"}),
-        lambda g: g["reader"][0]["epics-pvxs"][0]["pvs"][2]["option"].update({"sourceName": "s"}),
-        lambda g: g["reader"][1]["epics-archiver"][0].pop("start-date"),
-        lambda g: g["reader"][1]["epics-archiver"][0].update({"mode": "periodic_tail", "poll-interval-sec": 5, "lookback-sec": 6}),
-        lambda g: g["reader"][1]["epics-archiver"][0].update({"tls-verify-peer": False}),
-        lambda g: g["reader"][1]["epics-archiver"][0].update({"total-timeout-sec": 5}),
-        lambda g: g["reader"][1]["epics-archiver"][0].update({"batch-duration-sec": 0.1}),
-        lambda g: g["reader"][1]["epics-archiver"][0].pop("pvs"),
+        lambda g: g["reader"][0]["live"][0].update({"backend": "x"}),
+        lambda g: g["reader"][0]["live"][0]["pvs"][2]["option"].update({"sourceName": "s"}),
+        lambda g: g["reader"][1]["any-archiver"][0].pop("start-date"),
+        lambda g: g["reader"][1]["any-archiver"][0].update({"mode": "periodic_tail", "poll-interval-sec": 5, "lookback-sec": 6}),
+        lambda g: g["reader"][1]["any-archiver"][0].update({"tls-verify-peer": False}),
+        lambda g: g["reader"][1]["any-archiver"][0].update({"total-timeout-sec": 5}),
+        lambda g: g["reader"][1]["any-archiver"][0].update({"batch-duration-sec": 0.1}),
+        lambda g: g["reader"][1]["any-archiver"][0].pop("pvs"),
     ],
 )
 def test_bad_configuration(change):
