@@ -14,6 +14,7 @@ reader can begin, whatever came before.
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from itertools import chain
 
@@ -171,7 +172,7 @@ def _write(folder: str, dtype: np.dtype, scaled: np.ndarray):
     def run(batches):
         table, unpack = Table(scaled), zstandard.ZstdDecompressor()
         part = TaskContext.get().partitionId()
-        uri = f"{folder}/part-{part:06d}.krns"
+        uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}.krns"  # of this attempt; only files that the result lists count
         told = {"blocks": 0, "tokens": 0, "documents": 0}
 
         def parts(batches):
