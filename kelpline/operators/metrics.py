@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kelpline.functions.text import format_bytes
+
 #: The upper bounds of the two histograms.
 PROCESSING_MS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0)
 SEND_SECONDS = (0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -47,6 +49,12 @@ def snapshot(metrics: DataFrame) -> DataFrame:
     return rows.groupBy("label").agg(of("pushes_total").alias("pushes"), of("payload_bytes_total").alias("bytes"), of("throughput_bytes_per_second").alias("rate"))
 
 
+def report(rows: DataFrame) -> DataFrame:
+    """A snapshot as lines of text for people."""
+    line = F.concat("label", F.lit(": "), F.format_string("%.0f", F.rint("pushes")), F.lit(" pushes, "), format_bytes("bytes"), F.lit(", "), format_bytes("rate"), F.lit("/s"))
+    return rows.select("label", line.alias("line"))
+
+
 def throughput(items: DataFrame, keys: list[str]) -> DataFrame:
     """Bytes a second of each key's last item that took any time."""
     rate = F.col("bytes") * 1000.0 / F.col("elapsed_ms")

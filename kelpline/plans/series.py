@@ -190,6 +190,14 @@ def met_snapshot(spark, d):
     return metrics.snapshot(metric_events(spark, d))
 
 
+_SIZE = "CASE WHEN {c} >= 1048576 THEN printf('%.2f MB', {c} / 1048576.0) WHEN {c} >= 1024 THEN printf('%.2f KB', {c} / 1024.0) ELSE printf('%.0f B', {c}) END"
+
+
+@query(f"WITH {_SNAP} SELECT label, label || ': ' || printf('%.0f', pushes) || ' pushes, ' || {_SIZE.format(c='bytes')} || ', ' || {_SIZE.format(c='rate')} || '/s' AS line FROM snap")
+def met_snapshot_text(spark, d):
+    return metrics.report(metrics.snapshot(metric_events(spark, d)))
+
+
 @query(f"WITH {_SNAP} SELECT round(sum(pushes), 2) AS pushes, round(sum(bytes), 2) AS bytes, round(sum(rate), 2) AS rate FROM snap")
 def met_totals(spark, d):
     t = metrics.totals(metrics.snapshot(metric_events(spark, d)))
