@@ -82,16 +82,17 @@ def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as copies() says, with all their columns. Rows that share a doc_id are told apart by their size; of rows
     equal in both, which comes how often is arbitrary, their number isn't."""
     counts = stage(copies(docs).select("doc_id", "size", "copies"), "copies")
+    # The counts grow with the documents: they are never broadcast, whatever the size guessed.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select("doc_id", row)
     if counts.groupBy("doc_id").count().where("count > 1").isEmpty():
         few = counts.where("copies > 0").select(F.col("doc_id").alias("c_id"), "copies")
-        found = rows.join(few, F.col("doc_id").eqNullSafe(F.col("c_id")))
+        found = rows.join(few.hint("merge"), F.col("doc_id").eqNullSafe(F.col("c_id")))
     else:
         numbered = lambda df: df.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(F.lit(1))))
         few = numbered(counts).where("copies > 0").select(F.col("doc_id").alias("c_id"), F.col("size").alias("c_size"), F.col("i").alias("c_i"), "copies")
         rows = numbered(docs.select("doc_id", size_of().alias("size"), row))
-        found = rows.join(few, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("size") == F.col("c_size")) & (F.col("i") == F.col("c_i")))
+        found = rows.join(few.hint("merge"), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("size") == F.col("c_size")) & (F.col("i") == F.col("c_i")))
     return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 

@@ -197,7 +197,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     found = stage(near_duplicates(docs).select("doc_id", "component_id"), "groups")
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     repeated = not keep.where("rows > 1").isEmpty()
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    # What stays grows with the documents: it is never broadcast, whatever the size guessed.
+    kept = docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if repeated:
         kept = kept.dropDuplicates(["doc_id"])
     nameless = docs.where(F.col("doc_id").isNull())
