@@ -31,7 +31,7 @@ from kelpline.llm.tokens import PieceEncoder, runs
 
 MAGIC = b"KRNS0001"
 BITS = 20  # of the frequencies' sum
-LANES = 1024
+LANES = 2048
 BLOCK = 1 << 20  # tokens
 EVERY = 256  # rows from one checkpoint to the next
 NULL = -(1 << 63)  # stands for a null doc_id in a file
