@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.SQL, "op10_mixing": mixing.SQL}
+    return {"op2_embeddings": vectors.SQL, "op5_quality": quality.SQL, "op10_mixing": mixing.SQL}

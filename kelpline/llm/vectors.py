@@ -234,3 +234,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, reach: float | N
     out = raw.where("ok").join(each, ["h", "embedding"]).select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
     rest = raw.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND list_bool_or(list_transform(e, lambda x: x <> 0))
+       AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x)))),
+links AS (SELECT a.r AS x, b.r AS y FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT r, r AS t FROM v UNION SELECT reach.r, links.y FROM reach JOIN links ON reach.t = links.x),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.t GROUP BY reach.r),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least USING (r) LEFT JOIN n ON n.x = v.r
+"""
