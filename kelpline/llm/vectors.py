@@ -107,6 +107,28 @@ def _assign(index: Index, reach: float):
     return run
 
 
+def _blocks(index: Index, k: int, x: np.ndarray, y: np.ndarray, q: np.ndarray, own: np.ndarray, far: float):
+    """Asking vectors, those of one list at a time, and which of the held ones (as numbers into y) they can link with: between vectors of
+    two lists lies the plane midway between the centres, so their distances to it add up to `far` at most."""
+    order = q[np.argsort(own[q], kind="stable")]
+    for group in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+        a = int(own[group[0]])
+        normal = index.centres[a] - index.centres[k]
+        gap = float(np.sqrt(normal @ normal))
+        if not gap:  # its own list
+            for b in range(0, len(group), 256):
+                yield group[b : b + 256], np.arange(len(y))
+            continue
+        level = float(index.centres[a] @ index.centres[a] - index.centres[k] @ index.centres[k]) / 2
+        there, here = (x[group] @ normal - level) / gap, (level - x[y] @ normal) / gap
+        by = np.argsort(there, kind="stable")
+        for b in range(0, len(group), 256):
+            part = by[b : b + 256]
+            some = np.flatnonzero(here <= far - there[part[0]] + 1e-9)
+            if len(some):
+                yield group[part], some
+
+
 def _pairs(index: Index, cosine: float):
     """Groups (list, tile, asking tile): vectors of the list's tile and vectors asked of it. Returns for each vector with a link found
     here how many vectors it links with, and one row for each link of a spanning forest of what is linked here."""
@@ -130,13 +152,12 @@ def _pairs(index: Index, cosine: float):
         asks = {int(i): frozenset(probes[int(i)].as_py()) for i in y}
         n = np.zeros(len(ids), np.int64)
         links = []
-        for a in range(0, len(q), 256):
-            part = q[a : a + 256]
-            near = np.zeros((len(part), len(y)), np.float32)
+        for part, some in _blocks(index, k, x, y, q, own, far):
+            near = np.zeros((len(part), len(some)), np.float32)
             for m, lut in enumerate(index.tables(x[part], k)):
-                near += lut[:, codes[:, m]]
-            i, j = np.nonzero(near <= limit[None, :])
-            i, j = part[i], y[j]
+                near += lut[:, codes[some, m]]
+            i, j = np.nonzero(near <= limit[None, some])
+            i, j = part[i], y[some[j]]
             exact = np.concatenate([np.einsum("ij,ij->i", x[i[b : b + 65536]], x[j[b : b + 65536]]) for b in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
             good = exact >= cosine
             i, j = i[good], j[good]
@@ -148,7 +169,7 @@ def _pairs(index: Index, cosine: float):
             np.add.at(n, i, copies[j])
             np.add.at(n, j, copies[i])
             links.append(np.stack([i, j]))
-        i, j = np.concatenate(links, axis=1)
+        i, j = np.concatenate(links, axis=1) if links else (np.zeros(0, int), np.zeros(0, int))
         src, dst = _forest(len(ids), i, j)
         # A vector may be here both as held and as asking; sums over all groups put the two together.
         some = np.flatnonzero(n)
