@@ -222,10 +222,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, reach: float | N
     raw = raw.withColumn("ok", F.expr(f"vec_id is not null and coalesce(({finite}) and size(embedding) = {usual.width}, false)")).withColumn("h", F.xxhash64("embedding"))
     distinct = stage(raw.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "distinct")
     n = distinct.count()
-    # The sample: those whose hash comes first; the bound of what the driver gets.
-    share = min(1.0, 1.1 * SAMPLE / n)
-    sample = distinct.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))if n > SAMPLE else distinct
-    rows = sample.select("embedding").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    # The sample: those whose hash comes first. Each task keeps as many at most, and so does the driver.
+    rows = distinct.select("embedding").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     flat = pa.array([r.embedding for r in rows], pa.list_(pa.float64()))
     index = Index(_unit(flat)[0], max(1, min(LISTS_AT_MOST, n // PER_LIST, len(flat))))
     reach = float(np.sqrt(2 - 2 * cosine)) / 2 if reach is None else reach
