@@ -12,7 +12,7 @@ WEIGHTS = (5, 2, 1)
 TOTAL = 1.5  # of all sizes
 MOST = 2.0  # times a source's size
 SEED = "kelpline"
-CELL = 8192  # documents for each salt of the whole table
+CELL = 1 << 20  # documents for each salt of the whole table: a cell holds a part of those, even where one source and size prevail
 
 
 def size_of(text: str = "text") -> Column:
@@ -103,7 +103,7 @@ w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST)
 l AS (SELECT *, cap / weight AS ratio, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, coalesce(weight * max(level) FILTER (WHERE ratio > level) OVER (), cap)) AS target FROM l),
-n AS (SELECT greatest(16, count(*) // 8192) AS salts FROM d),
+n AS (SELECT greatest(16, count(*) // 1048576) AS salts FROM d),
 c AS (SELECT d.*, source_size, target, length(bin(size + 8)) * 8 + ((size + 8) >> (length(bin(size + 8)) - 3)) AS m,
              ((((coalesce(doc_id, 0) % 2147483648 + 2147483648) % 2147483648) * 1103515245 + 12345) % 2147483648) // 256 % salts AS salt
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, n),
