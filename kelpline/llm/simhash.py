@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kelpline.llm.components import components
-from kelpline.llm.shared import stage, tidy
+from kelpline.llm.shared import partitions, stage, tidy
 
 SHINGLE = 3  # words
 BITS = 3  # differing bits that still link
@@ -160,7 +160,9 @@ def links(fps: DataFrame) -> DataFrame:
     segment in which one bit is left out. Variants are joined by equality and verified over all 64 bits. A variant shared by more
     than BUCKET fingerprints is cut again in the same way, over two segments of 16 bits of the other half; what is then left varies
     in 18 bits, which bounds every bucket whatever the number of near copies."""
-    one = _variants(fps.select("fp", F.lit(0).cast("long").alias("apart")), "fp", "0", 32)
+    # A small table, from which 64 rows come for each of its own: it is dealt out first, so that many tasks share them.
+    dealt = fps.repartition(partitions(fps.sparkSession))
+    one = _variants(dealt.select("fp", F.lit(0).cast("long").alias("apart")), "fp", "0", 32)
     shared = stage(_crowded(one, ["variant"]).select("fp", "apart", "variant", "n"), "variants")
     gather = F.collect_list("fp").alias("fps")
     small = shared.where(F.col("n") <= BUCKET).groupBy("variant").agg(F.first("apart").alias("apart"), gather).select("apart", "fps")
