@@ -96,8 +96,8 @@ def parse(page: str) -> Node:
 
 
 class Wrapper:
-    """A union-free expression over an element's children: parts in turn, each a wrapper with its quantity (one, optional, repeated), or a
-    text slot. words: main text seen in all slots below; texts: the pages' texts of the element, while they are few and alike."""
+    """A union-free expression of an element: its sign; its parts in turn, each a wrapper of its own; and its quantity: one, optional (?),
+    repeated (+) or both (*). The part `#text` is a literal if text is set, else a slot. seen: how often it was aligned."""
 
     def __init__(self, sign: str, quantity: str = "", parts=(), text=None, seen: int = 1):
         self.sign, self.quantity, self.parts, self.text, self.seen = sign, quantity, list(parts), text, seen
