@@ -14,7 +14,7 @@ from kelpline.llm.shared import stage
 from kelpline.llm.urls import host_and_path
 
 SAMPLE = 12  # pages of a host, at most, that its wrapper is inferred from
-LEAST = 3  # pages that must agree before text counts as the template's own
+LEAST = 3  # different pages that must agree before text counts as the template's own
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -22,6 +22,8 @@ BLOCKS = set("address article aside blockquote body center dd details dialog dir
 RAW = set("script style textarea title noscript template iframe xmp".split())
 CLOSED_BY = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "thead": {"table"}, "tbody": {"table"}, "p": {"td", "th", "li", "button", "table"}, "option": {"select"}}
+#: Elements that hold a page's own text: the template never takes one, nor what holds one or is in one.
+OWN = set("article main p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote table figure figcaption".split())
 #: Elements that never hold main text, and words of classes, ids and roles that say the same.
 ASIDE = set("nav footer aside form script style noscript template iframe button select option input textarea head title svg canvas object video audio dialog menu map datalist search".split())
 NOT_MAIN = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|advert(?:s|ising)?|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|ted)?s?|promoted|nav(?:bar|igation)?|menu|breadcrumbs?|footer|foot|masthead|topbar|toolbar|sidebar|side|aside|rail|widget|related|recommend(?:ed|ations)?|share|sharing|social|comments?|disqus|replies|reply|respond|discussion|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags?|copyright|legal|disclaimer|skip|hidden|print-only|contentinfo|complementary|navigation)(?:$|[-_ ])", re.I)
@@ -189,31 +191,36 @@ def _excluded(tag: str, sign: str, within_main: bool) -> bool:
 
 
 def template_paths(wrappers: list[Wrapper]) -> list[str]:
-    """Paths (signs from the root, joined by `>`) whose text is the template's own: the same literal on all pages that the wrapper was
-    inferred from, if these are enough."""
-    found: list[str] = []
+    """The template's own text, as `text<tab>path` (signs from the root, joined by `>`): parts that stand once on each page that the
+    wrapper was inferred from, with the same literals, if these pages are enough. A path that has other parts too isn't listed."""
+    found: dict[str, set[str | None]] = {}
 
-    def walk(w: Wrapper, path: str) -> bool:
-        """Whether all text below is literal."""
+    def walk(w: Wrapper, path: str, pages: int, once: bool) -> str | None:
+        """The text below, if all of it is literal and in its place on all pages."""
+        once = once and not w.quantity and w.seen == pages
         if w.sign == "#text":
-            return w.text is not None and "+" not in w.quantity and "*" not in w.quantity
+            return w.text if once else None
         here = f"{path}>{w.sign}"
-        fixed = [walk(p, here) for p in w.parts]
-        own = bool(fixed) and all(fixed) and w.seen >= LEAST and not {"+", "*"} & {*w.quantity}
-        if own:
-            found.append(here)
-        return bool(fixed) and all(fixed)
+        parts = [walk(p, here, pages, once) for p in w.parts]
+        text = " ".join(parts) if once and parts and None not in parts else None
+        found.setdefault(here, set()).add(text)
+        return text
 
     for w in wrappers:
-        walk(w, "")
-    return sorted(set(found))
+        if w.seen >= LEAST:
+            walk(w, "", w.seen, True)
+    return sorted(f"{_SPACE.sub(' ', text).strip()}\t{path}" for path, texts in found.items() if None not in texts for text in texts)
 
 
 def infer(pages: list[str]) -> Wrapper:
-    """The wrapper of pages of one host."""
-    whole = fold(parse(pages[0]))
-    for page in pages[1:]:
-        whole = align(whole, fold(parse(page)))
+    """The wrapper of pages of one host. Pages whose own wrappers are equal count once."""
+    whole, known = None, set()
+    for page in pages:
+        one = fold(parse(page))
+        text = expression(one)
+        if text not in known:
+            known.add(text)
+            whole = one if whole is None else align(whole, one)
     return whole
 
 
@@ -256,8 +263,12 @@ def _main_node(root: Node) -> Node:
     return most[1] if most[0] else root
 
 
+def _holds_own(node: Node) -> bool:
+    return node.tag in OWN or any(not isinstance(c, str) and _holds_own(c) for c in node.children)
+
+
 def blocks(root: Node, template: frozenset[str] = frozenset()) -> list[str]:
-    """The main text's blocks. template: paths that hold no text of the page's own."""
+    """The main text's blocks. template: texts with their paths (template_paths()) that aren't the page's own."""
     out: list[str] = []
     run: list[str] = []
     main = _main_node(root)
@@ -268,9 +279,10 @@ def blocks(root: Node, template: frozenset[str] = frozenset()) -> list[str]:
         if text:
             out.append(text)
 
-    def walk(node: Node, path: str, inside: bool):
+    def walk(node: Node, path: str, inside: bool, own: bool = False):
         here = f"{path}>{node.sign}"
         inside = inside or node is main
+        own = own or node is not main and node.tag in OWN
         for c in node.children:
             if isinstance(c, str):
                 if inside:
@@ -282,12 +294,15 @@ def blocks(root: Node, template: frozenset[str] = frozenset()) -> list[str]:
                 if inside and c.tag == "hr":
                     flush()
                 continue
-            if c.hidden or _excluded(c.tag, c.sign, inside) or f"{here}>{c.sign}" in template:
+            if c.hidden or _excluded(c.tag, c.sign, inside):
                 continue
             block = c.tag in BLOCKS
+            if template and inside and block and not own and not _holds_own(c) and f"{_text(c)}\t{here}>{c.sign}" in template:
+                flush()
+                continue
             if block and inside:
                 flush()
-            walk(c, here, inside)
+            walk(c, here, inside, own)
             if block and (inside or c is main):
                 flush()
 

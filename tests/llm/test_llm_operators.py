@@ -390,6 +390,24 @@ def test_wrapper_generalises():
     assert any(p.endswith(">div") for p in html.template_paths([w]))
 
 
+def extracted(spark, pages):
+    rows = [(k, "https://one.example.org/", p) for k, p in enumerate(pages)]
+    return [r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_template_leaves_the_article_its_own_text(spark):
+    same_end = [f"<body><article><h1>t{k}</h1><p>a{k}<p>b{k}<h2>Method</h2><ul><li>i{k}</ul><p>Enjoy!</p><div>Read it in our app</div></article></body>" for k in range(5)]
+    assert extracted(spark, same_end) == [f"t{k}\n\na{k}\n\nb{k}\n\nMethod\n\ni{k}\n\nEnjoy!" for k in range(5)]
+    # Copies, and copies under other titles.
+    copies = [f"<head><title>s{k % 2}</title></head><body><article><h1>One</h1><div><p>Text</p></div></article></body>" for k in range(5)]
+    assert extracted(spark, copies) == ["One\n\nText"] * 5
+    different = [f"<head><title>s{k}</title></head><body><article><h1>One</h1><p>Text</p></article></body>" for k in range(5)]
+    assert extracted(spark, different) == ["One\n\nText"] * 5
+    # A path with other parts too is left alone.
+    mixed = [f"<body><article><h1>t{k}</h1><div>own {k}</div><h2>x</h2><div>Fixed</div></article></body>" for k in range(5)]
+    assert extracted(spark, mixed) == [f"t{k}\n\nown {k}\n\nx\n\nFixed" for k in range(5)]
+
+
 def tiktoken_ids(text):
     import public_tokenizers
     import tiktoken
