@@ -28,29 +28,32 @@ OWN = set("article main p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote table figure
 ASIDE = set("nav footer aside form script style noscript template iframe button select option input textarea head title svg canvas object video audio dialog menu map datalist search".split())
 NOT_MAIN = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|advert(?:s|ising)?|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|ted)?s?|promoted|nav(?:bar|igation)?|menu|breadcrumbs?|footer|foot|masthead|topbar|toolbar|sidebar|side|aside|rail|widget|related|recommend(?:ed|ations)?|share|sharing|social|comments?|disqus|replies|reply|respond|discussion|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags?|copyright|legal|disclaimer|skip|hidden|print-only|contentinfo|complementary|navigation)(?:$|[-_ ])", re.I)
 MAIN = re.compile(r"(?:^|[-_ ])(?:article|content|main|post|entry|story|body|text)(?:$|[-_ ])", re.I)
+_ASIDE_ARTICLE = re.compile(r"(?:^| )(?:[a-z]+[-_]+)?(?:comments?|reply|replies|teasers?|related|recommended|recommendations?|promo|promoted|sponsored|advert|advertisement|ad)(?:$| |[-_]+(?:item|card|box|post|article|body|inner|list)(?:$| ))", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its sign (tag, classes, id and role), its children in turn: nodes or strings, with entities decoded."""
+    """An element: its sign (tag, classes, id and role), its classes and role, its children in turn: nodes or strings, with entities
+    decoded."""
 
-    __slots__ = ("tag", "sign", "children", "hidden")
+    __slots__ = ("tag", "sign", "classes", "children", "hidden")
 
-    def __init__(self, tag: str, sign: str, hidden: bool = False):
-        self.tag, self.sign, self.hidden = tag, sign, hidden
+    def __init__(self, tag: str, sign: str, classes: str = "", hidden: bool = False):
+        self.tag, self.sign, self.classes, self.hidden = tag, sign, classes, hidden
         self.children: list[Node | str] = []
 
 
-def _sign(tag: str, attributes: str) -> tuple[str, bool]:
+def _sign(tag: str, attributes: str) -> tuple[str, str, bool]:
     if not attributes or attributes.isspace():
-        return tag, False
+        return tag, "", False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = " ".join(x for x in (found.get("class", ""), found.get("id", ""), found.get("role", "")) if x)
+    classes = _SPACE.sub(" ", f"{found.get('class', '')} {found.get('role', '')}").strip()
     names = re.sub(r"\d+", "", names).strip()
     hidden = "hidden" in found or found.get("aria-hidden", "") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) is not None
-    return (f"{tag}.{_SPACE.sub(' ', names)}" if names else tag), hidden
+    return (f"{tag}.{_SPACE.sub(' ', names)}" if names else tag), classes, hidden
 
 
 def parse(page: str) -> Node:
@@ -82,8 +85,7 @@ def parse(page: str) -> Node:
                 del stack[i:]
             elif above in BLOCKS and (above in SCOPES.get(tag, ()) or above not in ("p", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead")) or above == "button":
                 break
-        sign, hidden = _sign(tag, m[3])
-        node = Node(tag, sign, hidden)
+        node = Node(tag, *_sign(tag, m[3]))
         stack[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
@@ -181,6 +183,11 @@ def expression(w: Wrapper) -> str:
     return f"<{w.sign}>{'(' + inner + ')' if inner else ''}{w.quantity}"
 
 
+def _aside_article(node: Node) -> bool:
+    """Whether an article is a comment or a teaser."""
+    return node.tag == "article" and _ASIDE_ARTICLE.search(node.classes) is not None
+
+
 def _excluded(tag: str, sign: str, within_main: bool) -> bool:
     names = sign.partition(".")[2]
     if tag in ASIDE:
@@ -224,19 +231,23 @@ def infer(pages: list[str]) -> Wrapper:
     return whole
 
 
-def _main_node(root: Node) -> Node:
-    """Where the main text is: the only `article` or `main` (of several, the smallest element that holds them all), else the element
-    with the most paragraph text of its own, else the whole page."""
+def _main_node(root: Node) -> tuple[Node, bool]:
+    """Where the main text is, and whether it is in several: the only `article` or `main`, of several the smallest element that holds
+    them all (comments and teasers, marked by class or role, don't count), else the element with the most paragraph text of its own,
+    else the whole page."""
     best: list[tuple[int, Node]] = []
+    inside: list[list[Node]] = []
 
-    def walk(node: Node, inside: list[Node]):
+    def walk(node: Node, above: list[Node]):
+        above = [*above, node]
         for c in node.children:
-            if isinstance(c, str) or c.hidden or _excluded(c.tag, c.sign, False):
+            if isinstance(c, str) or c.hidden or _excluded(c.tag, c.sign, False) or _aside_article(c):
                 continue
             if c.tag in ("article", "main"):
-                inside.append(c)
+                if _text(c):
+                    inside.append([*above, c])
             else:
-                walk(c, inside)
+                walk(c, above)
 
     def weigh(node: Node):
         own = 0
@@ -251,16 +262,13 @@ def _main_node(root: Node) -> Node:
         own += sum(len(c.strip()) for c in node.children if isinstance(c, str) and not c.isspace())
         best.append((own, node))
 
-    inside: list[Node] = []
-    walk(root, inside)
-    inside = [x for x in inside if _text(x)]
+    walk(root, [])
     if inside:
-        top = max(inside, key=lambda x: len(_text(x)))
-        # Further articles of a page are teasers or comments, unless they are of the main one's size.
-        return top if len(inside) == 1 or len(_text(inside[0])) * 2 < len(_text(top)) else inside[0]
+        shared = [level[0] for level in zip(*inside) if all(x is level[0] for x in level)]
+        return shared[-1], len(inside) > 1
     weigh(root)
     most = max(best, key=lambda x: x[0], default=(0, root))
-    return most[1] if most[0] else root
+    return (most[1] if most[0] else root), False
 
 
 def _holds_own(node: Node) -> bool:
@@ -271,7 +279,7 @@ def blocks(root: Node, template: frozenset[str] = frozenset()) -> list[str]:
     """The main text's blocks. template: texts with their paths (template_paths()) that aren't the page's own."""
     out: list[str] = []
     run: list[str] = []
-    main = _main_node(root)
+    main, several = _main_node(root)
 
     def flush():
         text = _SPACE.sub(" ", "".join(run)).strip()
@@ -279,8 +287,9 @@ def blocks(root: Node, template: frozenset[str] = frozenset()) -> list[str]:
         if text:
             out.append(text)
 
-    def walk(node: Node, path: str, inside: bool, own: bool = False):
+    def walk(node: Node, path: str, inside: bool, own: bool = False, article: bool = False):
         here = f"{path}>{node.sign}"
+        article = article or node.tag in ("article", "main")
         inside = inside or node is main
         own = own or node is not main and node.tag in OWN
         for c in node.children:
@@ -294,7 +303,8 @@ def blocks(root: Node, template: frozenset[str] = frozenset()) -> list[str]:
                 if inside and c.tag == "hr":
                     flush()
                 continue
-            if c.hidden or _excluded(c.tag, c.sign, inside):
+            # A header beside several articles is the site's.
+            if c.hidden or _excluded(c.tag, c.sign, inside and (article or not several)) or _aside_article(c):
                 continue
             block = c.tag in BLOCKS
             if template and inside and block and not own and not _holds_own(c) and f"{_text(c)}\t{here}>{c.sign}" in template:
@@ -302,7 +312,7 @@ def blocks(root: Node, template: frozenset[str] = frozenset()) -> list[str]:
                 continue
             if block and inside:
                 flush()
-            walk(c, here, inside, own)
+            walk(c, here, inside, own, article)
             if block and (inside or c is main):
                 flush()
 

@@ -408,6 +408,14 @@ def test_template_leaves_the_article_its_own_text(spark):
     assert extracted(spark, mixed) == [f"t{k}\n\nown {k}\n\nx\n\nFixed" for k in range(5)]
 
 
+def test_html_of_several_articles():
+    page = """<body><header>Site</header><nav>n</nav><div id="wrap"><article><h1>A</h1><p>One, the longest of them by far</p>
+<article class="comment">Nice</article></article><p>between</p><article><header>B</header><p>Two</p></article><article class="teaser"><p>Read on</p></article>
+<aside>x</aside><p>end</p></div><footer>f</footer></body>"""
+    assert html.main_text(page) == "A\n\nOne, the longest of them by far\n\nbetween\n\nB\n\nTwo\n\nend"
+    assert html.main_text("<body><header>Site</header><article><p>One</p></article><article><p>Two</p></article><footer>f</footer></body>") == "One\n\nTwo"
+
+
 def tiktoken_ids(text):
     import public_tokenizers
     import tiktoken
