@@ -28,6 +28,10 @@ OWN = set("article main p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote table figure
 ASIDE = set("nav footer aside form script style noscript template iframe button select option input textarea head title svg canvas object video audio dialog menu map datalist search".split())
 NOT_MAIN = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|advert(?:s|ising)?|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|ted)?s?|promoted|nav(?:bar|igation)?|menu|breadcrumbs?|footer|foot|masthead|topbar|toolbar|sidebar|side|aside|rail|widget|related|recommend(?:ed|ations)?|share|sharing|social|comments?|disqus|replies|reply|respond|discussion|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags?|copyright|legal|disclaimer|skip|hidden|print-only|contentinfo|complementary|navigation)(?:$|[-_ ])", re.I)
 MAIN = re.compile(r"(?:^|[-_ ])(?:article|content|main|post|entry|story|body|text)(?:$|[-_ ])", re.I)
+#: In an article, a class says that a container isn't main text if all its parts are words of NOT_MAIN or of these.
+CONTAINERS = set("div section ul ol dl table details center".split())
+_FILLER = set("area bar block box button buttons card container content form group inner item items label link links list notification outer panel post posts row section slot story stories unit view widget wrap wrapper".split())
+_PARTS = re.compile(r"[-_]+")
 _ASIDE_ARTICLE = re.compile(r"(?:^| )(?:[a-z]+[-_]+)?(?:comments?|reply|replies|teasers?|related|recommended|recommendations?|promo|promoted|sponsored|advert|advertisement|ad)(?:$| |[-_]+(?:item|card|box|post|article|body|inner|list)(?:$| ))", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -188,12 +192,24 @@ def _aside_article(node: Node) -> bool:
     return node.tag == "article" and _ASIDE_ARTICLE.search(node.classes) is not None
 
 
-def _excluded(tag: str, sign: str, within_main: bool) -> bool:
-    names = sign.partition(".")[2]
+def _named_aside(names: str) -> bool:
+    """Whether a class or role as a whole says that its element isn't main text."""
+    for name in names.split():
+        parts = [x for x in _PARTS.split(name.lower()) if x]
+        if any(NOT_MAIN.search(x) for x in parts) and all(x in _FILLER or x.isdigit() or NOT_MAIN.search(x) for x in parts):
+            return True
+    return False
+
+
+def _excluded(node: Node, within_main: bool, article: bool = False) -> bool:
+    """Whether an element holds no main text. article: inside an article, ids don't count, and classes only of containers."""
+    tag, names = node.tag, node.sign.partition(".")[2]
     if tag in ASIDE:
         return True
     if tag == "header":
         return not within_main
+    if article:
+        return tag in CONTAINERS and bool(node.classes) and _named_aside(node.classes)
     return bool(names) and NOT_MAIN.search(names) is not None and not (tag in ("body", "html", "main", "article") or MAIN.search(names) and not re.search(r"comment|sidebar|footer|(?:^|[-_ ])ads?(?:$|[-_ ])", names, re.I))
 
 
@@ -241,7 +257,7 @@ def _main_node(root: Node) -> tuple[Node, bool]:
     def walk(node: Node, above: list[Node]):
         above = [*above, node]
         for c in node.children:
-            if isinstance(c, str) or c.hidden or _excluded(c.tag, c.sign, False) or _aside_article(c):
+            if isinstance(c, str) or c.hidden or _excluded(c, False) or _aside_article(c):
                 continue
             if c.tag in ("article", "main"):
                 if _text(c):
@@ -254,7 +270,7 @@ def _main_node(root: Node) -> tuple[Node, bool]:
         for c in node.children:
             if isinstance(c, str):
                 continue
-            if c.hidden or _excluded(c.tag, c.sign, False):
+            if c.hidden or _excluded(c, False):
                 continue
             weigh(c)
             if c.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "ul", "ol", "table", "figure", "dl"):
@@ -271,6 +287,10 @@ def _main_node(root: Node) -> tuple[Node, bool]:
     return (most[1] if most[0] else root), False
 
 
+def _holds_article(node: Node) -> bool:
+    return any(not isinstance(c, str) and (c.tag == "article" or _holds_article(c)) for c in node.children)
+
+
 def _holds_own(node: Node) -> bool:
     return node.tag in OWN or any(not isinstance(c, str) and _holds_own(c) for c in node.children)
 
@@ -287,9 +307,12 @@ def blocks(root: Node, template: frozenset[str] = frozenset()) -> list[str]:
         if text:
             out.append(text)
 
+    in_main = main.tag in ("article", "main")
+
     def walk(node: Node, path: str, inside: bool, own: bool = False, article: bool = False):
         here = f"{path}>{node.sign}"
-        article = article or node.tag in ("article", "main")
+        # A main element around articles has more than main text.
+        article = article or node.tag == "article" or node.tag == "main" and not _holds_article(node)
         inside = inside or node is main
         own = own or node is not main and node.tag in OWN
         for c in node.children:
@@ -304,7 +327,7 @@ def blocks(root: Node, template: frozenset[str] = frozenset()) -> list[str]:
                     flush()
                 continue
             # A header beside several articles is the site's.
-            if c.hidden or _excluded(c.tag, c.sign, inside and (article or not several)) or _aside_article(c):
+            if c.hidden or _excluded(c, inside and (article or in_main or not several), article) or _aside_article(c):
                 continue
             block = c.tag in BLOCKS
             if template and inside and block and not own and not _holds_own(c) and f"{_text(c)}\t{here}>{c.sign}" in template:

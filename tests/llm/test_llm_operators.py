@@ -416,6 +416,14 @@ def test_html_of_several_articles():
     assert html.main_text("<body><header>Site</header><article><p>One</p></article><article><p>Two</p></article><footer>f</footer></body>") == "One\n\nTwo"
 
 
+def test_ids_of_headings_leave_the_article_whole():
+    within = """<h1>T</h1><section id="discussion"><h2 id="related-work">Related</h2><p id="legal-basis">law</p></section><section id="search" class="side-effects">
+<h2 id="comments">On comments</h2><p class="notice">kept</p></section><div class="related-posts">More</div><div class="ad">Buy</div><section id="legal-basis">basis</section>"""
+    want = "T\n\nRelated\n\nlaw\n\nOn comments\n\nkept\n\nbasis"
+    assert html.main_text(f"<body><article>{within}</article></body>") == want
+    assert html.main_text(f"<body><div id='sidebar'>side</div><main>{within}</main></body>") == want
+
+
 def tiktoken_ids(text):
     import public_tokenizers
     import tiktoken
