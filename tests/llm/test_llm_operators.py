@@ -340,6 +340,34 @@ def test_license_families(spark, empty):
     assert licenses.by_document(empty).count() == 0
 
 
+def test_license_notices_over_several_lines(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+    lgpl = gpl.replace("General", "Lesser General").replace("program", "library")
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:"""
+    docs = [mit, gpl.replace("\n", "\r\n"), lgpl, apache, bsd, "# SPDX-License-Identifier: MIT", "SPDX-License-Identifier: (GPL-2.0-or-later OR BSD-3-Clause)", "SPDX-License-Identifier: Zlib", "one\nReleased under the MIT License.\nLicensed under CC BY 4.0.\ntwo"]
+    got = [r.families for r in licenses.by_document(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["MIT", "GPL", "LGPL", "Apache", "BSD", "MIT", "BSD,GPL", "", "CC-BY,MIT"]
+
+
 def test_license_accuracy_on_held_out_rows():
     weights, bias, _ = licenses.model()
     rows = [r for k, r in enumerate(licenses.training_rows()) if k % 5 == 4]
