@@ -295,8 +295,9 @@ def _holds_own(node: Node) -> bool:
     return node.tag in OWN or any(not isinstance(c, str) and _holds_own(c) for c in node.children)
 
 
-def blocks(root: Node, template: frozenset[str] = frozenset()) -> list[str]:
-    """The main text's blocks. template: texts with their paths (template_paths()) that aren't the page's own."""
+def blocks(root: Node, template: frozenset[str] = frozenset(), used: set[str] | None = None) -> list[str]:
+    """The main text's blocks. template: texts with their paths (template_paths()) that aren't the page's own; those met are added to
+    used."""
     out: list[str] = []
     run: list[str] = []
     main, several = _main_node(root)
@@ -330,8 +331,10 @@ def blocks(root: Node, template: frozenset[str] = frozenset()) -> list[str]:
             if c.hidden or _excluded(c, inside and (article or in_main or not several), article) or _aside_article(c):
                 continue
             block = c.tag in BLOCKS
-            if template and inside and block and not own and not _holds_own(c) and f"{_text(c)}\t{here}>{c.sign}" in template:
+            if template and inside and block and not own and not _holds_own(c) and (entry := f"{_text(c)}\t{here}>{c.sign}") in template:
                 flush()
+                if used is not None:
+                    used.add(entry)
                 continue
             if block and inside:
                 flush()
@@ -348,17 +351,36 @@ def main_text(page: str, template: frozenset[str] = frozenset()) -> str:
     return "\n\n".join(blocks(parse(page), template))
 
 
+def standing(root: Node, template: frozenset[str]) -> list[str]:
+    """Of template those that stand on a page: its text at its path, and nothing else at that path."""
+    texts: dict[str, list[str]] = {e.rpartition("\t")[2]: [] for e in template}
+
+    def walk(node: Node, path: str):
+        here = f"{path}>{node.sign}"
+        if here in texts:
+            texts[here].append(_text(node))
+        for c in node.children:
+            if not isinstance(c, str):
+                walk(c, here)
+
+    walk(root, "")
+    return [e for e in template if texts[e.rpartition("\t")[2]] == [e.rpartition("\t")[0]]]
+
+
 def _infer(table: pa.Table) -> pa.Table:
     order = sorted(range(table.num_rows), key=lambda i: table["page_id"][i].as_py() or 0)
     pages = [p for i in order if (p := table["html"][i].as_py())]
     wrapper = infer(pages) if pages else Wrapper("")
-    return pa.table({"host": pa.array([table["host"][0].as_py()], pa.string()), "wrapper": pa.array([expression(wrapper)]), "template": pa.array([template_paths([wrapper])], pa.list_(pa.string())), "pages": pa.array([len(pages)], pa.int32())})
+    template, used = frozenset(template_paths([wrapper])), set()
+    for page in pages if template else ():
+        blocks(parse(page), template, used)
+    return pa.table({"host": pa.array([table["host"][0].as_py()], pa.string()), "wrapper": pa.array([expression(wrapper)]), "template": pa.array([sorted(used)], pa.list_(pa.string())), "pages": pa.array([len(pages)], pa.int32())})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, …). Returns (host, wrapper, template, pages): for each host the expression inferred from SAMPLE of its
-    pages at most, those whose ids' hashes come first in as many classes, and the paths of the template's own text.
-    The sample is chosen by a minimum for each class, combined before the shuffle; a host's other pages go nowhere."""
+    pages at most, those whose ids' hashes come first in as many classes, and the template's own text that these have beside their main text.
+    The sample is chosen by a minimum for each class, combined before the shuffle. Whether a host's other pages agree: template()."""
     host, _ = host_and_path()
     rows = pages.select("page_id", host.alias("host"))
     order = F.struct(F.xxhash64("page_id", F.lit(1)).alias("h"), "page_id")
@@ -367,6 +389,23 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return found.groupBy("host").applyInArrow(_infer, "host string, wrapper string, template array<string>, pages int")
 
 
+def _standing(batches):
+    for batch in batches:
+        found = [(h, e) for h, page, t in zip(*(batch.column(k).to_pylist() for k in range(3))) for e in ["", *standing(parse(page), frozenset(t))]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["host", "entry"])
+
+
+def template(pages: DataFrame) -> DataFrame:
+    """(host, template): what of each host's wrapper stands on all its pages with html, however many. Text that all pages share is in any
+    sample of them, so only hosts whose sample has such text are read again; counts are combined before the shuffle."""
+    host, _ = host_and_path()
+    found = stage(wrappers(pages).where("size(template) > 0").select("host", "template"), "wrappers")
+    rows = pages.select(host.alias("host"), "html").where("html <> ''").join(found, "host").select("host", "html", "template")
+    counts = stage(rows.mapInArrow(_standing, "host string, entry string").groupBy("host", "entry").agg(F.count("*").alias("n")), "standing")
+    every = counts.where("entry = ''").select("host", F.col("n").alias("pages"))
+    return counts.where("entry <> ''").join(every, "host").where("n = pages").groupBy("host").agg(F.sort_array(F.collect_list("entry")).alias("template"))
+
+
 def _extract(batches):
     for batch in batches:
         paths: dict[tuple, frozenset[str]] = {}
@@ -381,12 +420,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id long, url, html, …). Returns (page_id, url, text, n_chars), a row for each row of pages: the main text of the whole
     html, its blocks joined by empty lines.
 
-    Of each host's wrapper what is applied is which parts are the template's own; slots are main text where they stand in the page's
+    Of each host's wrapper what is applied is which parts are the template's own, on all pages of the host; slots are main text where they stand in the page's
     article and not in menus, headers, footers, sidebars, notices, adverts, forms or comments, by their tags, classes, ids and
     roles. Pages of hosts with few pages, and parts that the wrapper doesn't know, are judged by those alone. Null and empty html
     give the empty text; null urls and urls without host share one; repeated rows give repeated rows."""
     host, _ = host_and_path()
-    found = stage(wrappers(pages), "wrappers").select(F.col("host").alias("w_host"), "template")
+    found = stage(template(pages), "template").select(F.col("host").alias("w_host"), "template")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"))
     rows = rows.join(found, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "html", "template")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -452,6 +452,21 @@ def test_ids_of_headings_leave_the_article_whole():
     assert html.main_text(f"<body><div id='sidebar'>side</div><main>{within}</main></body>") == want
 
 
+def test_template_stands_on_all_pages_of_a_host(spark):
+    # One page of another type among many, which a sample need not have.
+    page = lambda k, end: f"<body><article><h1>t{k}</h1><p>p{k}</p><div>{end}</div></article></body>"
+    pages = [page(k, "Same") for k in range(40)]
+    assert extracted(spark, pages) == [f"t{k}\n\np{k}" for k in range(40)]
+    left_out = [k for k in range(40) if k not in sampled(spark, 40)]
+    pages[left_out[0]] = page(left_out[0], "Other")
+    assert extracted(spark, pages) == [f"t{k}\n\np{k}\n\n{'Other' if k == left_out[0] else 'Same'}" for k in range(40)]
+
+
+def sampled(spark, n):
+    h = spark.range(n).select("id", F.pmod(F.xxhash64("id"), F.lit(html.SAMPLE)).alias("c"), F.xxhash64("id", F.lit(1)).alias("h")).collect()
+    return {min((r.h, r.id) for r in h if r.c == c)[1] for c in {r.c for r in h}}
+
+
 def tiktoken_ids(text):
     import public_tokenizers
     import tiktoken
