@@ -71,3 +71,23 @@ def sources_data(buckets: DataFrame, sources: list[str], now_s: int, lookback_s:
     # One row with the number of sources found gates all others.
     gate = rows.select("pvname").distinct().agg(F.count("*").alias("found")).where(F.col("found") == len(set(sources)))
     return rows.select("pvname", "bucket_seq", F.size("values").alias("n_values")).join(F.broadcast(gate), F.lit(True), "left_semi")
+
+
+def sources_info(answer: DataFrame | None, status: str, buckets: DataFrame, sources: list[str], now_s: int, message: str = "") -> DataFrame:
+    """(pvname, first, last, num_buckets, last_count, last_type, last_period) of the requested sources, by what the metadata call came to.
+
+    OK: its answer (those columns), where empty texts and counts of zero count as absent. UNIMPLEMENTED, or a message that the method wasn't
+    found: from the buckets that begin in [0, now + 1 s) or have no time at all. Any other status: no rows, as for an empty request."""
+    spark = buckets.sparkSession
+    wanted = sorted({s for s in sources if s})
+    columns = ["pvname", "first", "last", "num_buckets", "last_count", "last_type", "last_period"]
+    names = spark.createDataFrame([(s,) for s in wanted], "pvname string")
+    if status == "OK" and answer is not None:
+        rows = answer.join(names, "pvname", "left_semi")
+        return normalise_metadata(rows, ["last_type"], ["last_count", "last_period"]).select(columns)
+    rows = in_sources(buckets, names)
+    if status != "UNIMPLEMENTED" and "Method not found" not in message:
+        rows = rows.limit(0)
+    ranged = with_range(rows)
+    ranged = ranged.where(F.col("first").isNull() | (F.col("first.epoch_seconds") >= 0) & (F.col("first.epoch_seconds") < now_s + 1)).drop("first", "last")
+    return source_metadata(ranged).join(last_bucket(ranged), "pvname").select(columns)

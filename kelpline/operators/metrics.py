@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kelpline.functions.text import format_bytes
+from kelpline.operators.numbering import running
 
 #: The upper bounds of the two histograms.
 PROCESSING_MS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0)
@@ -49,6 +49,43 @@ def snapshot(metrics: DataFrame) -> DataFrame:
     return rows.groupBy("label").agg(of("pushes_total").alias("pushes"), of("payload_bytes_total").alias("bytes"), of("throughput_bytes_per_second").alias("rate"))
 
 
+def pool_snapshot(metrics: DataFrame) -> DataFrame:
+    """metrics (name, pool, value, seq): (pool, in_use, available) of each connection pool, the last reading of each; what is missing is 0.
+    Pools are rows of their own, and one row with null pool sums them up, so that none hides another."""
+    of = lambda n: F.coalesce(F.max_by("value", F.when(F.col("name") == n, F.col("seq"))), F.lit(0.0)).cast("long")
+    rows = metrics.where(F.col("pool").isNotNull() & F.col("name").isin("pool_connections_in_use", "pool_connections_available"))
+    each = rows.groupBy("pool").agg(of("pool_connections_in_use").alias("in_use"), of("pool_connections_available").alias("available"))
+    return each.unionByName(each.agg(F.lit(None).cast("string").alias("pool"), F.coalesce(F.sum("in_use"), F.lit(0)).alias("in_use"), F.coalesce(F.sum("available"), F.lit(0)).alias("available")))
+
+
+#: What a scan of a process reads, and the gauge that each is kept in.
+PROCESS_GAUGES = {
+    "vm_size": "process_memory_virtual_bytes",
+    "vm_rss": "process_memory_rss_bytes",
+    "vm_peak": "process_memory_virtual_peak_bytes",
+    "rss_anon": "process_memory_rss_anon_bytes",
+    "rss_file": "process_memory_rss_file_bytes",
+    "rss_shmem": "process_memory_rss_shmem_bytes",
+    "total_rss": "process_memory_rss_total_bytes",
+    "num_fds": "process_fds_open",
+    "num_threads": "process_threads",
+    "priority": "process_priority",
+    "nice": "process_nice",
+}
+
+
+def process_gauges(scans: DataFrame, labels: list[str], seq: str = "seq") -> DataFrame:
+    """scans (labels, seq, and the keys of PROCESS_GAUGES but total_rss), a row for each scan of a process: (labels, name, value), a row for
+    each gauge ever set. A reading that a scan lacks leaves its gauge as it was. The total is the sum of those of the scan's three
+    resident parts that it has, and absent if it has none."""
+    parts = [F.col(c) for c in ("rss_anon", "rss_file", "rss_shmem")]
+    total = F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(c, F.lit(0)) for c in parts[1:]), F.coalesce(parts[0], F.lit(0))))
+    rows = scans.withColumn("total_rss", total)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).cast("double").alias(c) for c in PROCESS_GAUGES]
+    pairs = F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.col(c).alias("value")) for c, name in PROCESS_GAUGES.items()]))
+    return rows.groupBy(*labels).agg(*last).select(*labels, pairs).where("value is not null")
+
+
 def report(rows: DataFrame) -> DataFrame:
     """A snapshot as lines of text for people."""
     line = F.concat("label", F.lit(": "), F.format_string("%.0f", F.rint("pushes")), F.lit(" pushes, "), format_bytes("bytes"), F.lit(", "), format_bytes("rate"), F.lit("/s"))
@@ -69,14 +106,14 @@ def drop_rate(events: DataFrame, keys: list[str]) -> DataFrame:
 
 def counter_deltas(readings: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame:
     """What a cumulative reading grew by since the one before; a smaller reading is a restart and counts whole; the first too."""
-    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(seq))
-    return readings.withColumn("delta", F.when(before.isNull() | (F.col(value) < before), F.col(value)).otherwise(F.col(value) - before))
+    rows = running(readings, keys, [seq], F.struct(seq, value), F.max, F.greatest, "__last", itself=False)
+    before = F.col("__last")[value]
+    return rows.withColumn("delta", F.when(before.isNull() | (F.col(value) < before), F.col(value)).otherwise(F.col(value) - before)).drop("__last")
 
 
 def queue_depth(changes: DataFrame, keys: list[str], seq: str, step: Column) -> DataFrame:
     """The running depth after each enqueue (+1) and dequeue (-1)."""
-    w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return changes.withColumn("depth", F.sum(step).over(w))
+    return running(changes, keys, [seq], step, F.sum, lambda a, b: a + b, "depth")
 
 
 def exposition(metrics: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from kelpline.functions.time import NANOS
+from kelpline.operators.numbering import running
 
 
 class AnchorFold:
@@ -61,15 +62,32 @@ class RotationFold:
         self.open, self.start, self.held, self.stream = False, 0, 0, -1
 
     def run(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whole runs of items at a time: where a stream reaches its bytes is looked up in the cumulative sizes (none is negative), and
+        up to there the first item that is too late."""
         out = np.empty(len(t), np.int64)
-        for k, (at, size) in enumerate(zip(t.tolist(), n.tolist())):
-            if not self.open or at - self.start >= self.age or self.held > 0 and self.held + size > self.size:
-                self.open, self.start, self.held = True, at, 0
+        upto = np.concatenate([[0], np.cumsum(n)])
+        k = 0
+        while k < len(t):
+            if not self.open:
+                self.open, self.start, self.held = True, int(t[k]), 0
                 self.stream += 1
-            self.held += size
-            out[k] = self.stream
-            if at - self.start >= self.age or self.held >= self.size:
+            full = int(np.searchsorted(upto, self.size - self.held + upto[k], "left"))  # items from full on come after it has closed
+            over = int(np.searchsorted(upto, self.size - self.held + upto[k], "right")) - 1  # the item that would take it over `size`
+            end = over if over < full and self.held + upto[min(over, len(t))] - upto[k] > 0 else full
+            end = max(min(end, len(t)), k)
+            # An item that is too late begins the next stream; the first of all closes its own if no age is allowed.
+            late = t[k:end] - self.start >= self.age
+            first = end if not late.any() else k + int(np.argmax(late))
+            if first == k and end > k and not self.held and t[k] == self.start:
+                out[k], self.held, self.open = self.stream, int(n[k]), False
+                k += 1
+                continue
+            stop = min(first, end)
+            out[k:stop] = self.stream
+            self.held += int(upto[stop] - upto[k])
+            if stop < len(t) or self.held >= self.size:
                 self.open = False
+            k = stop
         return out
 
 
@@ -130,16 +148,19 @@ def stream_rotation(items: DataFrame, keys: list[str], order: list[str], t: Colu
 
 
 def highwater(samples: DataFrame, keys: list[str], order: list[str], t: Column) -> DataFrame:
-    """Adds accepted: the sample is strictly newer than all before it in arrival order; a source's first always is."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.max(t).over(before)
-    return samples.withColumn("__mark", mark).withColumn("accepted", F.col("__mark").isNull() | (t > F.col("__mark"))).drop("__mark")
+    """Adds accepted: the sample is strictly newer than all before it in arrival order; a source's first always is. A source's samples are
+    spread over slices of that order (see numbering.running())."""
+    rows = running(samples, keys, order, t, F.max, F.greatest, "__mark", itself=False)
+    return rows.withColumn("accepted", F.col("__mark").isNull() | (t > F.col("__mark"))).drop("__mark")
 
 
 def idle_gaps(items: DataFrame, keys: list[str], order: list[str], t: Column, max_age: int) -> DataFrame:
-    """Adds idle_before: the pause before an item is max_age or longer, so that an idle stream was closed meanwhile."""
-    gap = t - F.lag(t).over(Window.partitionBy(*keys).orderBy(*order))
-    return items.withColumn("gap", gap).withColumn("idle_before", F.coalesce(gap >= max_age, F.lit(False)))
+    """Adds gap, and idle_before: the pause before an item is max_age or longer, so that an idle stream was closed meanwhile. The item
+    before is the last in order of those so far."""
+    last = F.struct(*order, t.alias("__t"))
+    rows = running(items, keys, order, last, F.max, F.greatest, "__last", itself=False)
+    gap = t - F.col("__last.__t")
+    return rows.withColumn("gap", gap).withColumn("idle_before", F.coalesce(gap >= max_age, F.lit(False))).drop("__last")
 
 
 def latest(samples: DataFrame, keys: list[str], order: Column, *values: str) -> DataFrame:

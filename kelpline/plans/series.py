@@ -76,13 +76,16 @@ def _polls(name, poll_ms, lookback_ms):
 
     def run(spark, d):
         s = samples(spark, d).withColumn("ms", F.col("seconds") * 1000 + F.floor(F.col("nanos") / 1_000_000))
-        hit = windows.window_samples(s, F.col("ms"), T0_MS + poll_ms, poll_ms, lookback_ms, 50)
+        newest = s.agg(F.max("ms")).first()[0]
+        polls = 0 if newest is None else (newest - T0_MS) // poll_ms + 1  # until a window holds the newest sample
+        hit = windows.window_samples(s, F.col("ms"), T0_MS + poll_ms, poll_ms, lookback_ms, polls)
         n = hit.groupBy("poll_id").agg(F.count("*").alias("n_samples"))
-        w = windows.poll_windows(spark, T0_MS + poll_ms, poll_ms, lookback_ms, 50)
+        w = windows.poll_windows(spark, T0_MS + poll_ms, poll_ms, lookback_ms, polls)
         return w.join(n, w.poll_id == n.poll_id, "left").select(w.poll_id, "from_ms", "to_ms", F.coalesce("n_samples", F.lit(0)).alias("n_samples"))
 
     start = f"coalesce(lag(to_ms) OVER (ORDER BY poll_id), to_ms - {lookback_ms})" if contiguous else f"to_ms - {lookback_ms}"
-    SQL[name] = f"""WITH {SAMPLES}, p AS (SELECT CAST(k AS INT) AS poll_id, {T0_MS + poll_ms} + k * {poll_ms} AS to_ms FROM range(50) AS r(k)),
+    SQL[name] = f"""WITH {SAMPLES}, r AS (SELECT unnest(range((max(t) // 1000000 - {T0_MS}) // {poll_ms} + 1)) AS k FROM samples),
+ p AS (SELECT CAST(k AS INT) AS poll_id, {T0_MS + poll_ms} + k * {poll_ms} AS to_ms FROM r),
  w AS (SELECT poll_id, {start} AS from_ms, to_ms FROM p)
  SELECT poll_id, from_ms, to_ms, (SELECT count(*) FROM samples WHERE t // 1000000 >= from_ms AND t // 1000000 < to_ms) AS n_samples FROM w"""
     QUERIES[name] = run
@@ -155,6 +158,33 @@ def query_sources_data_missing(spark, d):
     return bk.sources_data(buckets(spark, d), ["EV:1", "EV:2", "EV:none"], _NOW, _BACK)
 
 
+_NAMES = [f"EV:{k}" for k in range(1, 60)]
+_INFO = f"""WITH {BUCKETS}, wanted AS (SELECT 'EV:' || k AS pvname FROM range(1, 60) AS r(k)),
+answer AS (SELECT source AS pvname, min(t) AS first_ns, max(t) AS last_ns, count(*) AS num_buckets, nullif(CAST(count(*) % 4 AS INT), 0) AS last_count,
+ CASE WHEN count(*) % 3 > 0 THEN 'list' END AS last_type, nullif(count(*) % 5, 0) AS last_period FROM samples WHERE source IN (FROM wanted) GROUP BY 1),
+scanned AS (SELECT pvname, min(first_ns) AS first_ns, max(last_ns) AS last_ns, count(*) AS num_buckets, CAST(arg_max(n, bucket_seq) FILTER (WHERE first_ns IS NOT NULL) AS INT) AS last_count,
+ arg_max(kind, bucket_seq) FILTER (WHERE first_ns IS NOT NULL) AS last_type, arg_max(period, bucket_seq) FILTER (WHERE kind = 'clock') AS last_period
+ FROM buckets WHERE pvname IN (FROM wanted) AND (first_ns IS NULL OR first_ns // 1000000000 < {_NOW + 1}) GROUP BY 1)
+SELECT 'OK' AS status, * FROM answer UNION ALL SELECT 'UNIMPLEMENTED', * FROM scanned"""
+
+
+@query(_INFO)
+def query_sources_info(spark, d):
+    b = buckets(spark, d)
+    n = F.count("*")
+    s = samples(spark, d).groupBy(F.col("source").alias("pvname")).agg(
+        F.min(F.struct(F.col("seconds").alias("epoch_seconds"), F.col("nanos").alias("nanoseconds"))).alias("first"),
+        F.max(F.struct(F.col("seconds").alias("epoch_seconds"), F.col("nanos").alias("nanoseconds"))).alias("last"),
+        n.alias("num_buckets"),
+        F.pmod(n, F.lit(4)).cast("int").alias("last_count"),
+        F.when(F.pmod(n, F.lit(3)) > 0, "list").otherwise("").alias("last_type"),
+        F.pmod(n, F.lit(5)).alias("last_period"),
+    )
+    calls = [bk.sources_info(s, status, b, [*_NAMES, "", "EV:none"], _NOW).withColumn("status", F.lit(status)) for status in ("OK", "UNIMPLEMENTED", "UNAVAILABLE")]
+    rows = calls[0].unionByName(calls[1]).unionByName(calls[2])
+    return rows.select("status", "pvname", _ns("first").alias("first_ns"), _ns("last").alias("last_ns"), "num_buckets", "last_count", "last_type", "last_period")
+
+
 @query(f"WITH {METRICS} SELECT name, reader, source, round(sum(value), 2) AS value FROM metrics GROUP BY ALL")
 def met_counters(spark, d):
     return metrics.counters(metric_events(spark, d), ["reader", "source"]).withColumn("value", F.round("value", 2))
@@ -190,6 +220,35 @@ def met_snapshot(spark, d):
     return metrics.snapshot(metric_events(spark, d))
 
 
+_POOLS = """pools AS (SELECT CASE o_custkey % 3 WHEN 0 THEN 'ingestion' WHEN 1 THEN 'query' END AS pool, ['pool_connections_in_use', 'pool_connections_available'][o_orderkey % 2 + 1] AS name,
+ o_custkey % 16 AS value, o_orderkey AS seq FROM orders)"""
+
+
+@query(f"""WITH {_POOLS}, each AS (SELECT pool, CAST(coalesce(arg_max(value, seq) FILTER (WHERE name = 'pool_connections_in_use'), 0) AS BIGINT) AS in_use,
+ CAST(coalesce(arg_max(value, seq) FILTER (WHERE name = 'pool_connections_available'), 0) AS BIGINT) AS available FROM pools WHERE pool IS NOT NULL GROUP BY 1)
+SELECT * FROM each UNION ALL SELECT NULL, CAST(sum(in_use) AS BIGINT), CAST(sum(available) AS BIGINT) FROM each""")
+def met_pool_snapshot(spark, d):
+    o = table(spark, d, "orders")
+    kind = F.pmod("o_custkey", F.lit(3))
+    name = F.when(F.pmod("o_orderkey", F.lit(2)) == 0, "pool_connections_in_use").otherwise("pool_connections_available")
+    pool = F.when(kind == 0, "ingestion").when(kind == 1, "query")
+    return metrics.pool_snapshot(o.select(name.alias("name"), pool.alias("pool"), F.pmod("o_custkey", F.lit(16)).cast("double").alias("value"), F.col("o_orderkey").alias("seq")))
+
+
+_SCANS = ("vm_size", "vm_rss", "vm_peak", "rss_anon", "rss_file", "rss_shmem", "num_fds", "num_threads", "priority", "nice")
+_READING = ", ".join(f"CASE WHEN (event_id + {k}) % 3 > 0 THEN (event_id * {k + 7}) % 1009 END AS {c}" for k, c in enumerate(_SCANS))
+
+
+@query(f"""WITH scans AS (SELECT user_id AS pid, event_id AS seq, {_READING} FROM events),
+ whole AS (SELECT *, CASE WHEN coalesce(rss_anon, rss_file, rss_shmem) IS NOT NULL THEN coalesce(rss_anon, 0) + coalesce(rss_file, 0) + coalesce(rss_shmem, 0) END AS total_rss FROM scans),
+ last AS (SELECT pid, {", ".join(f"CAST(arg_max({c}, seq) FILTER (WHERE {c} IS NOT NULL) AS DOUBLE) AS {name}" for c, name in metrics.PROCESS_GAUGES.items())} FROM whole GROUP BY pid)
+SELECT pid, name, value FROM (UNPIVOT last ON COLUMNS(* EXCLUDE pid) INTO NAME name VALUE value)""")
+def met_process_gauges(spark, d):
+    e = table(spark, d, "events")
+    scans = e.select(F.col("user_id").alias("pid"), F.col("event_id").alias("seq"), *[F.when(F.pmod(F.col("event_id") + k, F.lit(3)) > 0, F.pmod(F.col("event_id") * (k + 7), F.lit(1009))).alias(c) for k, c in enumerate(_SCANS)])
+    return metrics.process_gauges(scans, ["pid"])
+
+
 _SIZE = "CASE WHEN {c} >= 1048576 THEN printf('%.2f MB', {c} / 1048576.0) WHEN {c} >= 1024 THEN printf('%.2f KB', {c} / 1024.0) ELSE printf('%.0f B', {c}) END"
 
 
@@ -234,7 +293,7 @@ def met_queue_depth(spark, d):
     return metrics.queue_depth(table(spark, d, "events"), ["user_id"], "event_id", step).select("user_id", "event_id", "depth")
 
 
-@query()
+@query(f"""WITH {METRICS} SELECT name || '{{reader="' || reader || '",source="' || source || '"}} ' || CAST(value AS VARCHAR) AS line FROM metrics WHERE reader IS NOT NULL""")
 def met_prometheus_text(spark, d):
     m = metric_events(spark, d).where("reader is not null")
     labels = F.create_map(F.lit("reader"), F.col("reader"), F.lit("source"), F.col("source"))
@@ -269,7 +328,7 @@ _FRAMES = """frames AS (SELECT l_orderkey AS frame, l_orderkey // 4 AS batch_id,
  CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE count(*) END AS n_ts, CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE count(DISTINCT l_returnflag) END AS n_cols FROM lineitem GROUP BY l_orderkey)"""
 
 
-@query(f"WITH {_FRAMES} SELECT root_source, count(*) AS failures FROM frames WHERE n_ts = 0 GROUP BY 1")
+@query(f"WITH {_FRAMES} SELECT root_source, count(*) AS failures FROM frames WHERE n_ts = 0 AND root_source <> '' GROUP BY 1")
 def flt_missing_timestamp(spark, d):
     return delivery.error_counts(delivery.check_frames(_frames(spark, d))).where("error = 'no timestamps'").select("root_source", "failures")
 
@@ -279,21 +338,21 @@ def flt_no_columns(spark, d):
     return delivery.check_frames(_frames(spark, d)).where("error is null").select("frame")
 
 
-@query(f"""WITH {_FRAMES} SELECT batch_id, count(*) AS n_frames, count(*) FILTER (WHERE n_ts > 0 AND n_cols > 0 AND root_source <> '') AS n_enqueued,
- count(*) FILTER (WHERE n_ts > 0 AND n_cols > 0 AND root_source <> '') > 0 AS accepted FROM frames GROUP BY 1""")
+@query(f"""WITH {_FRAMES} SELECT batch_id, count(*) AS n_frames, count(*) FILTER (WHERE n_ts > 0 AND root_source <> '') AS n_enqueued,
+ count(*) FILTER (WHERE n_ts > 0 AND root_source <> '') > 0 AS accepted FROM frames GROUP BY 1""")
 def flt_batch_accept(spark, d):
     return delivery.accept_batches(_frames(spark, d))
 
 
-@query(f"""WITH {_FRAMES} SELECT 'provider-1' AS provider_id, concat_ws('_', 'pv_stream', stream_start, root_source, row_number() OVER (PARTITION BY root_source, stream_start ORDER BY frame) - 1) AS request_id,
- root_source, CAST(n_ts AS INT) AS events FROM frames WHERE n_ts > 0 AND n_cols > 0""")
+@query(f"""WITH {_FRAMES}, queued AS (SELECT *, row_number() OVER (PARTITION BY stream_start ORDER BY frame) - 1 AS n FROM frames WHERE n_ts > 0 AND root_source <> '')
+ SELECT 'provider-1' AS provider_id, concat_ws('_', 'pv_stream', stream_start, root_source, n) AS request_id, root_source, CAST(n_ts AS INT) AS events FROM queued WHERE n_cols > 0""")
 def snk_requests(spark, d):
     return delivery.requests(_frames(spark, d), "provider-1", ["frame"])
 
 
-@query(f"WITH {_FRAMES} SELECT frame, CAST((row_number() OVER (ORDER BY batch_id, frame) - 1) % 3 AS INT) AS worker FROM frames")
+@query(f"WITH {_FRAMES} SELECT frame, CAST((row_number() OVER (ORDER BY batch_id, frame) - 1) % 3 AS INT) AS worker FROM frames WHERE n_ts > 0 AND root_source <> ''")
 def snk_round_robin(spark, d):
-    return delivery.round_robin(_frames(spark, d).select("frame", "batch_id"), ["batch_id", "frame"], 3).select("frame", "worker")
+    return delivery.round_robin(_frames(spark, d).drop("columns"), ["batch_id", "frame"], 3).select("frame", "worker")
 
 
 @query("""SELECT o_orderkey, CASE WHEN acked < 0 THEN 'INVALID' WHEN acked < sent THEN 'INCOMPLETE' WHEN acked > sent THEN 'EXTRA' ELSE 'OK' END AS status

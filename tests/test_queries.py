@@ -38,5 +38,5 @@ def test_query(name, spark, sf_dir, duck):
     assert rows(got) == rows(want)
 
 
-def test_every_query_but_text_output_has_sql():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"met_prometheus_text"}
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
