@@ -67,7 +67,8 @@ class LiveReader:
     poll_interval_ms: int = 5
 
     @classmethod
-    def of(cls, node: Any) -> LiveReader:
+    def of(cls, node: Any, names: Names | None = None) -> LiveReader:
+        names = names or Names()
         tree = _map(node, "reader")
         if "backend" in tree:
             raise ConfigError("backend isn't a setting of readers")
@@ -83,7 +84,7 @@ class LiveReader:
             else:
                 option = _map(option, "option")
                 kind = _text(option, "type").lower()
-                kind = "table" if kind.endswith("-table") else kind
+                kind = "table" if kind == names.table.lower() else kind
                 if kind not in ("default", "table"):
                     raise ConfigError(f"unknown option type {kind}")
                 if kind != "default" and "sourceName" in option:
@@ -121,7 +122,7 @@ class ArchiverReader:
     pvs: tuple[str, ...] = field(default=())  # as listed: doubles stay
 
     @classmethod
-    def of(cls, node: Any) -> ArchiverReader:
+    def of(cls, node: Any, names: Names | None = None) -> ArchiverReader:
         tree = _map(node, "reader")
         mode = str(tree.get("mode", "historical_once")).lower()
         if mode not in ("historical_once", "periodic_tail"):
@@ -172,7 +173,14 @@ class Pool:
         return cls(_text(tree, "provider-name"), a, b, least, most, "map" if isinstance(cred, dict) else cred)
 
 
-READERS = {"archiver": ArchiverReader, "base": LiveReader, "xs": LiveReader, "live": LiveReader}
+@dataclass(frozen=True)
+class Names:
+    """What a site calls the pool, the table option and the kinds of readers. Other names are refused."""
+
+    pool: str = "service-pool"
+    table: str = "row-table"
+    archivers: tuple[str, ...] = ("archiver",)
+    live: tuple[str, ...] = ("live",)
 
 
 @dataclass(frozen=True)
@@ -185,7 +193,8 @@ class Controller:
     scan_interval_s: int = 1
 
     @classmethod
-    def of(cls, node: Any) -> Controller:
+    def of(cls, node: Any, names: Names | None = None) -> Controller:
+        names = names or Names()
         tree = _map(node, "configuration")
         readers: list[Any] = []
         listed = tree.get("reader", [])
@@ -193,14 +202,12 @@ class Controller:
             raise ConfigError("reader must be a list")
         for entry in listed:
             for kind, nodes in _map(entry, "a reader entry").items():
-                # Kinds are known by how they end; what goes before is the control system's name.
-                of = next((v for k, v in READERS.items() if kind.endswith(k)), None)
-                if of is None:
+                if kind not in names.archivers + names.live:
                     raise ConfigError(f"unknown reader {kind}")
-                readers += [of.of(n) for n in (nodes if isinstance(nodes, list) else [nodes])]
-        names = [r.name for r in readers]
-        if len(names) != len(set(names)):
+                of = ArchiverReader if kind in names.archivers else LiveReader
+                readers += [of.of(n, names) for n in (nodes if isinstance(nodes, list) else [nodes])]
+        called = [r.name for r in readers]
+        if len(called) != len(set(called)):
             raise ConfigError("reader names must differ")
         metrics = _map(tree.get("metrics", {}), "metrics")
-        pool = next((v for k, v in tree.items() if k.endswith("-pool") and k != "controller-thread-pool"), tree.get("pool"))
-        return cls(_whole(tree, "controller-thread-pool", 1, 1), _whole(tree, "controller-stream-max-bytes", 2 << 20, 1), _whole(tree, "controller-stream-max-age-ms", 200, 1), Pool.of(pool), tuple(readers), _whole(metrics, "scan-interval-seconds", 1, 1))
+        return cls(_whole(tree, "controller-thread-pool", 1, 1), _whole(tree, "controller-stream-max-bytes", 2 << 20, 1), _whole(tree, "controller-stream-max-age-ms", 200, 1), Pool.of(tree.get(names.pool)), tuple(readers), _whole(metrics, "scan-interval-seconds", 1, 1))

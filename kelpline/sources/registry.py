@@ -30,4 +30,13 @@ def archiver(spark, **options: str):
     return spark.read.format("pbhttp").options(**options).load()
 
 
+def archiver_tail(spark, **options: str):
+    """A stream of archived samples, followed window by window."""
+    from kelpline.sources.pbhttp import PbHttpSource
+
+    spark.dataSource.register(PbHttpSource)
+    return spark.readStream.format("pbhttp").options(**options).load()
+
+
 register("archiver", archiver)
+register("archiver_tail", archiver_tail)

@@ -7,14 +7,21 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kelpline.functions.time import NANOS
+
 
 def working_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for checkpoints and outputs, in spark.checkpoint.dir; a temporary one where that is unset, as on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='kelpline-')}"
+    """A new folder for checkpoints and outputs, in spark.checkpoint.dir; a temporary one where that is unset and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='kelpline-')}"
     return f"{root.rstrip('/')}/kelpline/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -27,20 +34,19 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
 def newer_only(samples: DataFrame, key: str, seconds: str, nanos: str, order: str) -> DataFrame:
     """Samples strictly newer than all before them of their source, over all micro-batches; within one, in the order of `order`. The mark
     is state, so that it survives a restart from the checkpoint. Rows with equal or older times are dropped for good: this is no
-    event-time watermark, which would let late rows through until it passes."""
+    event-time watermark, which would let late rows through until it passes. Times are whole nanoseconds from 1970 in 64 bits, which
+    reach to 2262; null times are not newer than anything."""
     columns = samples.columns
 
     def accept(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        mark = tuple(state.get) if state.exists else (-(1 << 62), 0)
-        keep = []
-        for t in zip(rows[seconds].tolist(), rows[nanos].tolist()):
-            keep.append(t > mark)
-            mark = max(mark, t)
-        state.update(mark)
-        yield rows.loc[keep, columns]
-
-    return samples.groupBy(key).applyInPandasWithState(accept, samples.schema, "seconds long, nanos int", "append", GroupStateTimeout.NoTimeout)
+        at = rows[seconds].fillna(-(1 << 33)).to_numpy(np.int64) * NANOS + rows[nanos].fillna(0).to_numpy(np.int64)
+        mark = state.get[0] if state.exists else np.iinfo(np.int64).min
+        upto = np.maximum.accumulate(np.concatenate([[mark], at]))
+        state.update((int(upto[-1]),))
+        yield rows.loc[at > upto[:-1], columns]
+
+    return samples.groupBy(key).applyInPandasWithState(accept, samples.schema, "mark long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], Any] | None = None) -> str:

@@ -156,3 +156,8 @@ def test_sources_info_by_the_call_s_end(spark):
     assert ask("UNIMPLEMENTED") == [("a", 1, 1, "list")] == ask("UNKNOWN", message="x: Method not found")
     assert ask("UNIMPLEMENTED", now=98) == [] == ask("UNAVAILABLE") == ask("OK", ("", "b")) == ask("UNIMPLEMENTED", ())
 
+
+
+def test_values_of_no_kind_become_text(spark):
+    df = spark.sql("select named_struct('a', 1, 'b', array(1.5d, null)) as v union all select null")
+    assert sorted(r.t for r in df.select(convert.dump_value(F.col("v")).alias("t")).collect()) == ['{"value":{"a":1,"b":[1.5,null]}}', "{}"]

@@ -105,7 +105,7 @@ def test_registry():
 
 GOOD = {
     "service-pool": {"provider-name": "p", "ingestion-url": "a", "query-url": "b", "min-conn": 1, "max-conn": 2},
-    "reader": [{"live": [{"name": "r", "pvs": [{"name": "x"}, {"name": "x"}, {"name": "t", "option": {"type": "ROW-TABLE"}}]}]}, {"any-archiver": [{"name": "h", "hostname": "z", "start-date": "2024-01-01T00:00:00Z", "pvs": []}]}],
+    "reader": [{"live": [{"name": "r", "pvs": [{"name": "x"}, {"name": "x"}, {"name": "t", "option": {"type": "ROW-TABLE"}}]}]}, {"archiver": [{"name": "h", "hostname": "z", "start-date": "2024-01-01T00:00:00Z", "pvs": []}]}],
 }
 
 
@@ -116,6 +116,15 @@ def test_configuration():
     assert past.pvs == () and past.mode == "historical_once" and c.stream_max_age_ms == 200
 
 
+def test_names_are_parameters():
+    tree = {"a-pool": GOOD["service-pool"], "reader": [{"one-live": [{"name": "r", "pvs": [{"name": "t", "option": {"type": "wide"}}]}]}]}
+    c = config.Controller.of(tree, config.Names(pool="a-pool", table="wide", live=("one-live",)))
+    assert c.readers[0].sources[0].mode == "table"
+    for wrong in ({"reader": [{"x-live": []}]}, {"reader": [{"live": [{"name": "r", "pvs": [{"name": "t", "option": {"type": "other-table"}}]}]}]}, {"service-pool": None, "other-pool": GOOD["service-pool"]}):
+        with pytest.raises(config.ConfigError):
+            config.Controller.of(GOOD | wrong)
+
+
 @pytest.mark.parametrize(
     "change",
     [
@@ -126,12 +135,12 @@ def test_configuration():
         lambda g: g["reader"].append({"other": [{}]}),
         lambda g: g["reader"][0]["live"][0].update({"backend": "x"}),
         lambda g: g["reader"][0]["live"][0]["pvs"][2]["option"].update({"sourceName": "s"}),
-        lambda g: g["reader"][1]["any-archiver"][0].pop("start-date"),
-        lambda g: g["reader"][1]["any-archiver"][0].update({"mode": "periodic_tail", "poll-interval-sec": 5, "lookback-sec": 6}),
-        lambda g: g["reader"][1]["any-archiver"][0].update({"tls-verify-peer": False}),
-        lambda g: g["reader"][1]["any-archiver"][0].update({"total-timeout-sec": 5}),
-        lambda g: g["reader"][1]["any-archiver"][0].update({"batch-duration-sec": 0.1}),
-        lambda g: g["reader"][1]["any-archiver"][0].pop("pvs"),
+        lambda g: g["reader"][1]["archiver"][0].pop("start-date"),
+        lambda g: g["reader"][1]["archiver"][0].update({"mode": "periodic_tail", "poll-interval-sec": 5, "lookback-sec": 6}),
+        lambda g: g["reader"][1]["archiver"][0].update({"tls-verify-peer": False}),
+        lambda g: g["reader"][1]["archiver"][0].update({"total-timeout-sec": 5}),
+        lambda g: g["reader"][1]["archiver"][0].update({"batch-duration-sec": 0.1}),
+        lambda g: g["reader"][1]["archiver"][0].pop("pvs"),
     ],
 )
 def test_bad_configuration(change):
