@@ -229,17 +229,21 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
 
     Returns a row for each file written: part (their order), file, blocks, tokens, documents, bytes. Frequencies are counted over
     all ids and written as `table.bin` (u4 for each id) beside the files. Null doc_ids come first, and read back as null; null texts
-    are empty; repeated rows are written as often as they come. Empty tables give the table alone."""
+    are empty; repeated rows are written as often as they come. Empty tables give the table alone. Strings of special tokens in a text
+    (`<|endoftext|>`) give the special ids, as the library loads.
+
+    Files are ranges of doc_id, told apart further by a hash of the text, so that rows without doc_id or with one doc_id are spread too."""
     spark = docs.sparkSession
     encoder = PieceEncoder.at(tokenizer)
     size = max(encoder.size, end_id + 1)
-    ids = stage(docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), "doc_id long, ids binary"), "ids")
+    ids = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(tokenizer, end_id), "doc_id long, ids binary"), "ids")
     counts = np.zeros(size, np.int64)  # as long as the vocabulary
     for r in ids.select("ids").mapInArrow(_counts(encoder.dtype, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     table = Table.of(counts)
     write_bytes(f"{folder}/table.bin", [table.scaled.tobytes()])
-    dealt = ids.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    keyed = ids.withColumn("h", F.xxhash64("ids"))
+    dealt = keyed.repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     return stage(dealt.mapInArrow(_write(folder, encoder.dtype, table.scaled.astype(np.int64)), "part int, file string, blocks int, tokens long, documents long, bytes long"), "files")
 
 

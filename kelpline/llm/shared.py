@@ -13,12 +13,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where that is unset (tests on one machine), a temporary folder of our own."""
+    """The cluster's spark.checkpoint.dir; where that is unset and all runs on one machine (tests), a temporary folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='kelpline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -40,6 +43,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
+    for spark, table in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
     for spark, path in _made:
         try:
             remove(spark, path)
@@ -84,10 +92,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """As stage(), dealt by a hash of `key` into as many buckets as shuffles have partitions: a later join or group by `key` finds the
-    rows in place, and only the other side moves. The table's files are in the shared folder; its name goes with the session."""
+    rows in place, and only the other side moves. The table's files are in the shared folder; its name is dropped when the session's program
+    ends."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     table = f"kelpline_{name}_{uuid.uuid4().hex[:12]}"
+    _tables.append((spark, table))
     with _small_batches(spark):
         df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).saveAsTable(table)
     return spark.table(table)

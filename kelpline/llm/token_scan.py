@@ -19,7 +19,7 @@ _FILES = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("ordinal", pa
 
 def _flat(path: str, folder: str, eod: int):
     def run(batches):
-        encoder = PieceEncoder.at(path)
+        encoder = PieceEncoder.at(path, literal=True)  # a text can't hold the end id
         end = np.array([eod], encoder.dtype).tobytes()
         uri = f"{folder}/{uuid.uuid4().hex}.bin"
         names: list[pa.Array] = []
@@ -43,7 +43,8 @@ def _flat(path: str, folder: str, eod: int):
 def write_flat(docs: DataFrame, tokenizer: str, eod: int, folder: str) -> DataFrame:
     """Writes the ids of each whole text and the end-of-document id, one after another, to flat files, one for each task, in input
     order; nothing else is in the files. Returns (file, bytes, ordinal, doc_id): which document came when. Null texts are empty.
-    A task that runs again writes a new file; only the files listed in the result count."""
+    A task that runs again writes a new file; only the files listed in the result count. Strings of special tokens are ordinary text here,
+    as the end id is one of those: `<|endoftext|>` in a text ends nothing."""
     return stage(docs.select("doc_id", "text").mapInArrow(_flat(tokenizer, folder, eod), "file string, bytes long, ordinal long, doc_id long"), "flat")
 
 
@@ -95,7 +96,8 @@ def token_counts(files: DataFrame, dtype: str, eod: int, block: int = BLOCK) ->
 
 def document_token_counts(docs: DataFrame, tokenizer: str, eod: int) -> DataFrame:
     """docs (doc_id long, text, …): encodes them to flat files in the shared folder and counts by scanning these. Returns (doc_id,
-    n_tokens), a row for each row of docs. Repeated rows and null doc_ids are counted each on their own."""
+    n_tokens), a row for each row of docs. Repeated rows and null doc_ids are counted each on their own; null and empty texts have no
+    tokens; long texts run over as many blocks as they need; an empty table gives an empty result; other columns aren't looked at."""
     folder = new_folder(docs.sparkSession, "tokens")
     written = write_flat(docs, tokenizer, eod, folder)
     counts = token_counts(written.where("ordinal = 0").select("file", "bytes"), PieceEncoder.at(tokenizer).dtype.str, eod)

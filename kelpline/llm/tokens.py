@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -15,7 +16,7 @@ SLICE, RUN = 32 << 20, 1 << 18
 JOINED, AT_ONCE = 256, 64
 #: White space, in whichever of the Unicode definitions.
 WHITE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_made: dict[str, PieceEncoder] = {}
+_made: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def public_path(name: str) -> str:
@@ -92,25 +93,32 @@ class PieceEncoder:
     Its pre-tokenizer always begins a new pre-token at a space between two characters that aren't white space, and merges never
     cross pre-tokens. So a text is cut at those spaces, each distinct piece of a slice is encoded once, and a text's ids are its
     pieces' ids in turn. Ids are little-endian, in 16 bits where the vocabulary allows, else 32. Null counts as the empty text, which
-    has no ids."""
+    has no ids.
 
-    def __init__(self, path: str):
+    literal: the strings of special tokens are ordinary text; else they give the special ids, as the library does unless told otherwise.
+    Special tokens that hold white space or draw it in aren't cut around: then texts are encoded whole."""
+
+    def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = literal
         vocabulary = self.library.get_vocab(with_added_tokens=False)
+        added = self.library.get_added_tokens_decoder()
+        self.cut = not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added.values())
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.bytes = np.zeros(self.size, np.int64)  # of each id; a character of a token's string is one byte
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)
+        for i, token in added.items():
+            self.bytes[i] = len(token.content.encode())
 
     @classmethod
-    def at(cls, path: str) -> PieceEncoder:
+    def at(cls, path: str, literal: bool = False) -> PieceEncoder:
         """The one of this process."""
-        return _made.get(path) or _made.setdefault(path, cls(path))
+        return _made.get((path, literal)) or _made.setdefault((path, literal), cls(path, literal))
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, one text's after another's, and how many each has."""
@@ -142,6 +150,10 @@ class PieceEncoder:
     def encode(self, texts: pa.Array):
         """Yields the ids of each text, as an array."""
         for a, b in slices(texts):
+            if not self.cut:
+                pool, sizes = self._whole(pc.fill_null(texts.slice(a, b - a), "").to_pylist())
+                yield from np.split(pool, np.cumsum(sizes)[:-1])
+                continue
             cut = Pieces(texts.slice(a, b - a))
             pool, sizes = self._spaced(cut.distinct)
             heads, few = self._whole(cut.heads)
