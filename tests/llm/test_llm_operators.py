@@ -149,34 +149,65 @@ def test_components_of_chains_and_stars(spark):
 def brute_vectors(rows, cosine=0.95):
     good = {}
     for k, (i, v) in enumerate(rows):
-        if i is not None and v is not None and len(v) == 8 and all(c is not None and np.isfinite(c) for c in v) and any(v):
+        if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v):
             x = np.array(v, np.float64)
             good[k] = x / np.linalg.norm(x)
     n, links = Counter(), []
     for a in good:
         for b in good:
-            if a != b and float(good[a] @ good[b]) >= cosine:
+            if a != b and len(good[a]) == len(good[b]) and float(good[a] @ good[b]) >= cosine:
                 n[a] += 1
                 links.append((a, b))
     least = {k: min(rows[j][0] for j in g) for g in groups(list(good), links) for k in g}
     return Counter((i, n[k], least.get(k, i)) for k, (i, v) in enumerate(rows))
 
 
-def test_vectors(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "PER_LIST", 40)
-    monkeypatch.setattr(vectors, "TILE", 16)
+def vector_rows():
     rng = np.random.default_rng(5)
     base = rng.normal(size=(150, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(base)]
     rows += [(1000 + i, (base[i % 40] + rng.normal(size=8) * rng.choice([0.0, 0.1, 0.3])).tolist()) for i in range(200)]
     rows += [(2000 + i, (base[0] * (1 + i)).tolist()) for i in range(30)]
-    rows += [(3000, None), (3001, [0.0] * 8), (3002, [float("nan")] + [1.0] * 7), (3003, [float("inf")] * 8), (3004, [1.0, None] + [0.0] * 6), (3005, [1.0, 2.0]), (3006, []), (0, base[0].tolist()), (None, base[1].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("h", F.lit(1))
-    got = vectors.near_duplicates(df).collect()
-    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == brute_vectors(rows)
+    rows += [(3000, None), (3001, [0.0] * 8), (3002, [float("nan")] + [1.0] * 7), (3003, [float("inf")] * 8), (3004, [1.0, None] + [0.0] * 6), (3006, []), (0, base[0].tolist()), (None, base[1].tolist())]
+    # Other widths, one vec_id with different vectors that link, one with vectors that don't.
+    rows += [(3005, [1.0, 2.0]), (3010, [1.0, 2.0]), (3011, [1.0, 2.1]), (3012, [-1.0, 2.0]), (3013, [5.0]), (3014, [7.0]), (3015, [-7.0])]
+    rows += [(4000, base[2].tolist()), (4000, (base[2] + 0.01).tolist()), (4000, base[3].tolist()), (4001, [0.5] * 12), (4001, [0.5] * 11 + [0.6])]
+    return rows
+
+
+@pytest.mark.parametrize("tile, lists, cosine", [(16, 1.0, 0.95), (1 << 14, 2.0, 0.95), (16, 3.0, 0.8)])
+def test_vectors(spark, monkeypatch, tile, lists, cosine):
+    monkeypatch.setattr(vectors, "LISTS", lists)
+    monkeypatch.setattr(vectors, "TILE", tile)
+    rows = vector_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = df.select("*", *[F.lit(1).alias(c) for c in ("id", "h", "n", "list", "first", "copies", "at", "x", "ok", "held")])
+    got = vectors.near_duplicates(df, cosine, None).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == brute_vectors(rows, cosine)
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+def test_vectors_of_one_id(spark):
+    got = vectors.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 0.1, 0.0, 0.0]), (7, [1.0, 2.0]), (8, [1.0, 2.0])], "vec_id long, embedding array<float>")).collect()
+    assert Counter(map(tuple, got)) == Counter({(1, 1, 1, True): 2, (7, 1, 7, True): 1, (8, 1, 7, False): 1})
+
+
+def test_recall_of_bounded_probes(spark):
+    """Pairs at a cosine just over the limit, in any direction, which is the hardest case."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a = unit(rng.normal(size=(6000, 64)))
+    z = rng.normal(size=a.shape)
+    z = unit(z - (z * a).sum(axis=1)[:, None] * a)
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * z
+    rows = [(2 * i, v.tolist()) for i, v in enumerate(a)] + [(2 * i + 1, v.tolist()) for i, v in enumerate(b)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vectors.near_duplicates(df).collect()
+    found = sum(r.n_links for r in got) / 2
+    assert found >= 0.99 * 6000
+    assert all(r.n_links <= 1 and r.component_id in (r.vec_id, r.vec_id - r.vec_id % 2) for r in got)
+
+
 def test_vectors_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
