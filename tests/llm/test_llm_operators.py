@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -463,7 +464,62 @@ def test_wrapper_generalises():
     w = html.infer([page(1, ""), page(3, "<table><tr><td>1</table>"), page(2, "")])
     text = html.expression(w)
     assert "<h1>(#)" in text and "<p>(#)" in text and "+" in text and "<table>" in text and '"Same words"' in text
-    assert any(p.endswith(">div") for p in html.template_paths([w]))
+    prints = [html.parse(x).children[0].fp for x in ("<nav><a>x</a></nav>", "<div>Same words</div>")]
+    assert html.skeleton(w) == [["body", prints]]
+    rows = html.infer([f"<dl>{''.join(f'<dt>k{i}{n}</dt><dd>v{i}{n}</dd>' for i in range(n))}</dl>" for n in (2, 5, 3)])
+    assert "(<dt>(#) <dd>(#))+" in html.expression(rows)
+
+
+def test_lcs_at_every_size():
+    def plain(x, y):
+        n = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                n[i + 1][j + 1] = n[i][j] + 1 if a == b and a is not None else max(n[i][j + 1], n[i + 1][j])
+        return n[-1][-1]
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        x, y = ([None if v == 0 else int(v) for v in rng.integers(0, 5, rng.integers(0, 30))] for _ in range(2))
+        want = plain(x, y)
+        got = html.lcs(x, y)
+        assert len(got) == want and all(x[i] == y[j] for i, j in got)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:]))
+    x, y = (rng.integers(0, 40, 25_000).tolist() for _ in range(2))
+    got = html.lcs(x, y)  # by halves
+    assert len(got) == len(y) - html._bits(x, y)[-1].bit_count() and all(x[i] == y[j] for i, j in got)
+
+
+def unmarked(k):
+    """A page whose menus, notices and footers are bare div elements."""
+    text = "".join(f"<div>Part {i} of text {k}, with <b>some</b> words of its own</div>" for i in range(1 + k % 3))
+    more = f"<div>Seen {k} times</div>" if k % 2 else ""
+    return f"<body><div><ul><li>Home</li><li>All our pages in one long list</li></ul></div><div>We keep a record of what you read here, and of how long you read it.</div><div><h1>Title {k}</h1>{text}</div>{more}<div>Written by us. Ask before you print it.</div></body>"
+
+
+def test_wrapper_decides(spark):
+    pages = [unmarked(k) for k in range(9)]
+    want = ["\n\n".join([f"Title {k}"] + [f"Part {i} of text {k}, with some words of its own" for i in range(1 + k % 3)]) for k in range(9)]
+    got = extracted(spark, pages)
+    assert got == want
+    assert all(html.main_text(p) != w for p, w in zip(pages, want))  # without the wrapper
+    # Fewer different pages than agree: each by itself.
+    assert extracted(spark, pages[:1] * 5 + pages[1:2]) == [html.main_text(p) for p in pages[:1] * 5 + pages[1:2]]
+
+
+def test_pages_of_any_depth_and_length():
+    began = time.monotonic()
+    deep = 100_000
+    assert html.main_text("<article>" + "<div>" * deep + "in" + "</div>" * deep + "<p>after") == "in\n\nafter"
+    assert html.main_text("<article>" + "<b>" * deep + "in<p>one" + "<i>" * deep + "two") == "in\n\none\n\ntwo"  # siblings there, so the block ends
+    assert html.main_text("<article>" + "a<div>" * 2000 + "</div>b" * 2000) == "\n\n".join("a" * 2000) + "\n\n" + "\n\n".join("b" * 2000)
+    for unclosed in ("<a ", "<a href='x ", '<a x="', "<!-- ", "</ ", "<p a=", "<script>", "</b>", "<b><p></b>", "<li><p>", "&am"):
+        html.main_text("<article>start " + unclosed * (3_000_000 // len(unclosed)))
+    assert html.main_text("<article><p>start <a " + "x " * 5_000_000).strip() == "start"
+    assert len(html.main_text("<article>" + "<p>word one</p>" * 300_000)) == 10 * 300_000 - 2
+    w = html.infer(["<p>a" * 30_000, "<div>" * deep, "".join(f"<p>{k}<b>x</b><i>y</i></p><ul><li>z</ul>" for k in range(5000))])
+    assert html.expression(w)
+    assert time.monotonic() - began < 60
 
 
 def extracted(spark, pages):
