@@ -16,13 +16,16 @@ from kelpline.llm.shared import stage, tidy
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Relative error of a sketch's quantiles.
-ACCURACY = 0.01
+ACCURACY = 0.001
+_LOG_GAMMA = math.log((1 + ACCURACY) / (1 - ACCURACY))
 #: A group with fewer documents is judged by its language's sketches, then by those of all documents.
 LEAST = 30
-#: Of each metric, the margin beyond the quartiles that is always left; and whether values below the lower fence fail as well.
-METRICS = {"symbols": (0.1, False), "dup_lines": (0.6, False), "word_length": (1.5, True)}
-#: How many interquartile ranges beyond the quartiles the fences stand.
-REACH = 3.0
+#: So is one whose quartiles are this much closer together than those of the next wider group, as where one text fills most of it.
+NARROW = 0.5
+#: Buckets that quartiles are apart at least: about two per cent.
+APART = 10
+#: Of each metric, how many times the quartiles' distance, in buckets, the upper and the lower fence stand beyond them; null: there is none.
+METRICS = {"symbols": (2, None), "dup_lines": (3, None), "repeats": (3, None), "word_length": (4, 4)}
 
 
 def measure(text: str) -> tuple[int, ...]:
@@ -64,10 +67,23 @@ def base_failed(f: str = "f") -> Column:
     return F.expr(f"{f}.n_words < 50 or 100 * {f}.n_repeat_words > 50 * {f}.n_words")
 
 
-def _metrics(f: str = "f") -> dict[str, Column]:
-    words, lines = F.expr(f"nullif({f}.n_words, 0)"), F.expr(f"nullif({f}.n_lines, 0)")
-    of = {"symbols": F.col(f"{f}.n_symbols") / words, "dup_lines": F.col(f"{f}.n_dup_lines") / lines, "word_length": F.col(f"{f}.word_chars") / words}
-    return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in of.items()}
+def _metrics(f: str = "f") -> dict[str, tuple[Column, Column]]:
+    """Of each metric its value, and whether it can fail. Counts are shares of the words, with a half and a one added, so that
+    documents without any differ by their length, as they should: none in many words says more than none in few. None is never too
+    many."""
+    n = lambda c: F.col(f"{f}.{c}")
+    share = lambda a, b: (n(a) + 0.5) / (n(b) + 1.0)
+    return {
+        "symbols": (share("n_symbols", "n_words"), n("n_symbols") > 0),
+        "dup_lines": (share("n_dup_lines", "n_words"), n("n_dup_lines") > 0),
+        "repeats": (share("n_repeat_words", "n_words"), n("n_repeat_words") > 0),
+        "word_length": ((n("word_chars") + 0.5) / (n("n_words") + 1.0), n("n_words") > 0),
+    }
+
+
+def _bucket(value: Column) -> Column:
+    """The logarithmic bucket of a value over zero."""
+    return F.ceil(F.log(value) / F.lit(_LOG_GAMMA)).cast("int")
 
 
 def _key(c: str) -> Column:
@@ -78,46 +94,47 @@ def _key(c: str) -> Column:
 def sketches(measured: DataFrame) -> DataFrame:
     """measured (lang, source, f). Returns (k_lang, k_source, metric, bucket, n): quantile sketches with logarithmic buckets, of the documents
     that pass the base rules. Sketches merge by adding the counts of equal buckets, so any split of the rows gives the same ones."""
-    log_gamma = math.log((1 + ACCURACY) / (1 - ACCURACY))
-    values = F.explode(F.create_map(*[x for k, v in _metrics().items() for x in (F.lit(k), v)])).alias("metric", "value")
+    values = F.explode(F.create_map(*[x for k, (v, _) in _metrics().items() for x in (F.lit(k), _bucket(v))])).alias("metric", "bucket")
     rows = measured.where(~base_failed()).select(_key("lang").alias("k_lang"), _key("source").alias("k_source"), values)
-    bucket = F.when(F.col("value") > 0, F.ceil(F.log("value") / F.lit(log_gamma)).cast("int"))  # null: the bucket of zeros
-    return rows.groupBy("k_lang", "k_source", "metric", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return rows.groupBy("k_lang", "k_source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
 def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    gamma = (1 + ACCURACY) / (1 - ACCURACY)
+    """(by, metric, q1, q3, n), quartiles as buckets."""
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*by, "metric").orderBy(F.col("bucket").asc_nulls_first())
+    w = Window.partitionBy(*by, "metric").orderBy("bucket")
     merged = merged.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(*by, "metric")))
-    value = F.coalesce(2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1), F.lit(0.0))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), value))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bucket")))
     return merged.groupBy(*by, "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.first("all").alias("n"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """sketches() to (k_lang, k_source, low, high): for each group the fences of every metric as maps by its name."""
-    low, high = F.lit(None), F.lit(None)
-    for k, (margin, below) in METRICS.items():
-        out = F.greatest(REACH * (F.col("q3") - F.col("q1")), F.lit(margin))
-        high = F.when(F.col("metric") == k, F.col("q3") + out).otherwise(high)
-        low = F.when(F.col("metric") == k, (F.col("q1") - out) if below else F.lit(-1.0)).otherwise(low)
+    """sketches() to (k_lang, k_source, low, high): for each group the fences of every metric as maps by its name, in buckets."""
     names = ["k_lang", "k_source"]
     own = _quartiles(sketch, names)
     lang = _quartiles(sketch, names[:1]).select("k_lang", "metric", *[F.col(c).alias(f"l_{c}") for c in ("q1", "q3", "n")])
     every = _quartiles(sketch, []).select("metric", *[F.col(c).alias(f"e_{c}") for c in ("q1", "q3")])
     found = own.join(lang, ["k_lang", "metric"]).join(every, "metric")
-    pick = lambda c: F.when(F.col("n") >= LEAST, F.col(c)).when(F.col("l_n") >= LEAST, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}")).alias(c)
-    found = found.select(*names, "metric", pick("q1"), pick("q3")).select(*names, "metric", low.alias("low"), high.alias("high"))
-    as_map = lambda c: F.map_from_entries(F.collect_list(F.struct("metric", c))).alias(c)  # noqa: E731  three entries
+    lang_good = F.expr(f"l_n >= {LEAST} and l_q3 - l_q1 >= {NARROW} * (e_q3 - e_q1)")
+    wider = lambda c: F.when(lang_good, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}")).alias(f"w_{c}")
+    found = found.select(*names, "metric", "q1", "q3", "n", wider("q1"), wider("q3"))
+    good = F.expr(f"n >= {LEAST} and q3 - q1 >= {NARROW} * (w_q3 - w_q1)")
+    pick = lambda c: F.when(good, F.col(c)).otherwise(F.col(f"w_{c}")).alias(c)
+    found = found.select(*names, "metric", pick("q1"), pick("q3")).withColumn("apart", F.greatest(F.col("q3") - F.col("q1"), F.lit(APART)))
+    low, high = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for k, (above, below) in METRICS.items():
+        high = F.when(F.col("metric") == k, F.col("q3") + above * F.col("apart")).otherwise(high)
+        low = F.when(F.col("metric") == k, F.lit(None) if below is None else F.col("q1") - below * F.col("apart")).otherwise(low)
+    found = found.select(*names, "metric", low.alias("low"), high.alias("high"))
+    as_map = lambda c: F.map_from_entries(F.collect_list(F.struct("metric", c))).alias(c)  # noqa: E731  an entry for each metric
     return found.groupBy(*names).agg(as_map("low"), as_map("high"))
 
 
 def _within(measured: DataFrame, fences: DataFrame) -> DataFrame:
     """Adds base_failed and kept to rows with lang, source and f, by the fences of their groups."""
     out = F.lit(False)
-    for k, v in _metrics().items():
-        out = out | F.coalesce((v > F.col("high")[k]) | (v < F.col("low")[k]), F.lit(False))
+    for k, (v, can) in _metrics().items():
+        out = out | (can & F.coalesce((_bucket(v) > F.col("high")[k]) | F.coalesce(_bucket(v) < F.col("low")[k], F.lit(False)), F.lit(False)))
     rows = measured.withColumn("k_lang", _key("lang")).withColumn("k_source", _key("source"))
     rows = rows.join(fences, ["k_lang", "k_source"], "left").withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & ~out).drop("k_lang", "k_source", "low", "high")
@@ -127,22 +144,24 @@ def judge(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, source, …). Returns a row for each row of docs: doc_id, the counts of measure(), base_failed, kept.
 
     base_failed: under 50 words, or over half of the words repeated. Of the others, kept is false for those beyond a fence of their
-    language and source: REACH interquartile ranges, or the metric's margin if that is more, beyond the quartiles of the symbols for
-    each word, the duplicate share of the lines, or the mean word length. Groups under LEAST documents take their language's
-    fences. Null texts have no words and fail; null languages and sources are groups of their own; repeated rows count and are judged
-    each; an empty table gives an empty result."""
+    language and source: of the symbols, the duplicate lines and the repeated words for each word, or the mean word length. Fences are set by the quartiles of the group's sketch, on a logarithmic scale: METRICS times their distance beyond them. No
+    value is given beforehand; what is usual in a source is no fault there. Groups under LEAST documents, and those whose quartiles are
+    far closer together than their language's, take the language's quartiles, languages those of all documents.
+    Null and empty texts have no words and fail; texts of any length are measured whole; null languages and sources are groups of their
+    own; repeated rows count and are judged each; values on a fence are within; an empty table gives an empty result; other columns
+    aren't looked at."""
     measured = stage(docs.select("doc_id", "lang", "source", features(F.col("text")).alias("f")), "features")
     fences = stage(thresholds(sketches(measured)), "thresholds")
     return _within(measured, fences).select("doc_id", *[F.col(f"f.{x}").alias(x) for x in FEATURES], "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns; the texts stay where they are."""
+    """The rows of docs that judge() keeps, with all their columns. Rows are staged with what is measured of them, so that texts go to
+    Python once and aren't shuffled."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    with_f = lambda *more: docs.select("lang", "source", features(F.col("text")).alias("f"), *more)
-    measured = stage(with_f(), "features")
+    measured = stage(docs.select("lang", "source", features(F.col("text")).alias("f"), row), "features")
     fences = stage(thresholds(sketches(measured)), "thresholds")
-    return _within(with_f(row), fences).where("kept").select("row.*")
+    return _within(measured, fences).where("kept").select("row.*")
 
 
 SQL = r"""
@@ -162,27 +181,26 @@ f AS (SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
              CAST(coalesce(l.n, 0) AS BIGINT) AS n_lines
       FROM docs d JOIN words USING (r) LEFT JOIN rep USING (r) LEFT JOIN lines l USING (r)),
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-             coalesce(n_symbols / nullif(n_words, 0), 0.0) AS symbols, coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) AS dup_lines,
-             coalesce(word_chars / nullif(n_words, 0), 0.0) AS word_length FROM f),
-long AS (SELECT r, coalesce('=' || lang, '') AS k_lang, coalesce('=' || source, '') AS k_source, metric, value
-         FROM (UNPIVOT m ON symbols, dup_lines, word_length INTO NAME metric VALUE value) WHERE NOT base_failed),
-sketch AS (SELECT k_lang, k_source, metric, CASE WHEN value > 0 THEN CAST(ceil(ln(value) / ln(1.01::DOUBLE / 0.99::DOUBLE)) AS INT) END AS bucket, count(*) AS n
-           FROM long GROUP BY ALL),
+             CAST((n_symbols + 0.5::DOUBLE) / (n_words + 1) AS DOUBLE) AS symbols, CAST((n_dup_lines + 0.5::DOUBLE) / (n_words + 1) AS DOUBLE) AS dup_lines,
+             CAST((n_repeat_words + 0.5::DOUBLE) / (n_words + 1) AS DOUBLE) AS repeats, CAST((word_chars + 0.5::DOUBLE) / (n_words + 1) AS DOUBLE) AS word_length FROM f),
+long AS (SELECT r, coalesce('=' || lang, '') AS k_lang, coalesce('=' || source, '') AS k_source, metric, CAST(ceil(ln(value) / ln(1.001::DOUBLE / 0.999::DOUBLE)) AS INT) AS bucket,
+                CASE metric WHEN 'symbols' THEN n_symbols WHEN 'dup_lines' THEN n_dup_lines WHEN 'repeats' THEN n_repeat_words ELSE n_words END > 0 AS can
+         FROM (UNPIVOT m ON symbols, dup_lines, repeats, word_length INTO NAME metric VALUE value) WHERE NOT base_failed),
+sketch AS (SELECT k_lang, k_source, metric, bucket, count(*) AS n FROM long GROUP BY ALL),
 levels AS (SELECT 1 AS level, k_lang, k_source, metric, bucket, n FROM sketch
            UNION ALL SELECT 2, k_lang, NULL, metric, bucket, sum(n) FROM sketch GROUP BY ALL
            UNION ALL SELECT 3, NULL, NULL, metric, bucket, sum(n) FROM sketch GROUP BY ALL),
-upto AS (SELECT *, sum(n) OVER (PARTITION BY level, k_lang, k_source, metric ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS u,
-                sum(n) OVER (PARTITION BY level, k_lang, k_source, metric) AS total,
-                coalesce(2 * pow(1.01::DOUBLE / 0.99::DOUBLE, bucket) / (1.01::DOUBLE / 0.99::DOUBLE + 1), 0.0) AS v FROM levels),
-q AS (SELECT level, k_lang, k_source, metric, any_value(total) AS n, min(v) FILTER (WHERE u >= 0.25 * total) AS q1, min(v) FILTER (WHERE u >= 0.75 * total) AS q3
+upto AS (SELECT *, sum(n) OVER (PARTITION BY level, k_lang, k_source, metric ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS u,
+                sum(n) OVER (PARTITION BY level, k_lang, k_source, metric) AS total FROM levels),
+q AS (SELECT level, k_lang, k_source, metric, any_value(total) AS n, min(bucket) FILTER (WHERE u >= 0.25 * total) AS q1, min(bucket) FILTER (WHERE u >= 0.75 * total) AS q3
       FROM upto GROUP BY ALL),
-pick AS (SELECT a.k_lang, a.k_source, a.metric,
-                CASE WHEN a.n >= 30 THEN a.q1 WHEN b.n >= 30 THEN b.q1 ELSE c.q1 END AS q1,
-                CASE WHEN a.n >= 30 THEN a.q3 WHEN b.n >= 30 THEN b.q3 ELSE c.q3 END AS q3
+wide AS (SELECT a.k_lang, a.k_source, a.metric, a.q1, a.q3, a.n, b.n >= 30 AND b.q3 - b.q1 >= 0.5 * (c.q3 - c.q1) AS good,
+                CASE WHEN good THEN b.q1 ELSE c.q1 END AS w1, CASE WHEN good THEN b.q3 ELSE c.q3 END AS w3
          FROM q a JOIN q b ON b.level = 2 AND a.k_lang = b.k_lang AND a.metric = b.metric JOIN q c ON c.level = 3 AND a.metric = c.metric WHERE a.level = 1),
-fence AS (SELECT *, q3 + greatest(3 * (q3 - q1), CASE metric WHEN 'symbols' THEN 0.1 WHEN 'dup_lines' THEN 0.6 ELSE 1.5 END) AS high,
-                 CASE metric WHEN 'word_length' THEN q1 - greatest(3 * (q3 - q1), 1.5) ELSE -1 END AS low FROM pick),
-bad AS (SELECT DISTINCT r FROM long JOIN fence USING (k_lang, k_source, metric) WHERE value > high OR value < low)
+pick AS (SELECT k_lang, k_source, metric, n >= 30 AND q3 - q1 >= 0.5 * (w3 - w1) AS own, CASE WHEN own THEN q1 ELSE w1 END AS p1, CASE WHEN own THEN q3 ELSE w3 END AS p3 FROM wide),
+fence AS (SELECT k_lang, k_source, metric, p3 + CASE metric WHEN 'symbols' THEN 2 WHEN 'word_length' THEN 4 ELSE 3 END * greatest(p3 - p1, 10) AS high,
+                 CASE WHEN metric = 'word_length' THEN p1 - 4 * greatest(p3 - p1, 10) END AS low FROM pick),
+bad AS (SELECT DISTINCT r FROM long JOIN fence USING (k_lang, k_source, metric) WHERE can AND (bucket > high OR coalesce(bucket < low, false)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
        NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM m
 """

@@ -371,6 +371,42 @@ def test_quality_keeps_clean_documents(docs, spark, sf_dir, empty):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.judge(docs).where("kept").collect()}
 
 
+def fences_of(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    measured = docs.select("lang", "source", quality.features("text").alias("f"))
+    return quality.thresholds(quality.sketches(measured)).collect()
+
+
+def test_fences_differ_by_group(spark):
+    rows = fences_of(spark, "/root/testdata/sf0.1")
+    assert len(rows) == 80
+    for metric, (_, below) in quality.METRICS.items():
+        assert len({r.high[metric] for r in rows}) >= 40
+        assert below is None or len({r.low[metric] for r in rows}) >= 40
+
+
+def test_one_text_may_stay_in_one_source_and_go_in_another(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+
+    def text(n, marks):
+        words = [word() for _ in range(n)]
+        for k in rng.choice(n, int(n * marks), replace=False):
+            words[k] = "|"
+        return " ".join(words)
+
+    rows = [(k, text(int(rng.integers(60, 300)), 0.0), "en", "prose") for k in range(100)]
+    rows += [(1000 + k, text(int(rng.integers(60, 300)), 0.1 + 0.2 * rng.random()), "en", "tables") for k in range(100)]
+    same = text(200, 0.15)
+    rows += [(5000, same, "en", "prose"), (5001, same, "en", "tables")]
+    # A source that one text fills: others there aren't beyond it, as the language's quartiles are taken.
+    rows += [(6000 + k, rows[0][1], "en", "copies") for k in range(300)] + [(7000 + k, text(int(rng.integers(60, 900)), 0.0), "en", "copies") for k in range(20)]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not kept[5000] and kept[5001]
+    assert sum(kept[i] for i in range(100)) >= 98 and sum(kept[1000 + i] for i in range(100)) >= 98
+    assert sum(kept[7000 + i] for i in range(20)) >= 19 and kept[6000]
+
+
 def test_sketches_merge(spark, docs):
     whole = quality.sketches(docs.select("lang", "source", quality.features("text").alias("f")))
     a, b = (quality.sketches(docs.where(F.pmod("doc_id", F.lit(2)) == k).select("lang", "source", quality.features("text").alias("f"))) for k in (0, 1))
