@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -54,13 +55,16 @@ def _connect(n: int, pairs, comp: np.ndarray) -> tuple[np.ndarray, list[np.ndarr
     """Breadth-first over n nodes. pairs(front): positions in front, and nodes, of linked pairs. Nodes of one comp count as joined.
     Returns each node's component and the links used."""
     label, src, dst = np.full(n, -1), [], []
+    order = np.argsort(comp, kind="stable")
+    ends = np.searchsorted(comp[order], np.arange(n + 1))
+    members = lambda c: order[ends[c] : ends[c + 1]]
     for start in range(n):
         if label[start] >= 0:
             continue
-        front = np.flatnonzero(comp == comp[start])
+        front = members(comp[start])
         label[front] = start
         while len(front):
-            fresh = np.zeros(n, bool)
+            fresh = [front[:0]]
             for k in range(0, len(front), 64):
                 part = front[k : k + 64]
                 r, hit = pairs(part)
@@ -70,10 +74,9 @@ def _connect(n: int, pairs, comp: np.ndarray) -> tuple[np.ndarray, list[np.ndarr
                     kinds, one = np.unique(comp[hit], return_index=True)
                     src.append(part[r[one]])
                     dst.append(hit[one])
-                    joined = np.isin(comp, kinds)
-                    label[joined] = start
-                    fresh |= joined
-            front = np.flatnonzero(fresh)
+                    fresh += [members(c) for c in kinds]
+                    label[np.concatenate(fresh[-len(kinds) :])] = start
+            front = np.concatenate(fresh)
     return label, src, dst
 
 
@@ -146,7 +149,9 @@ def _variants(df: DataFrame, of: str, at: str, width: int) -> DataFrame:
 
 
 def _crowded(df: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of variants that hold a pair to verify, with the count of their variant."""
+    """The rows of variants that hold a pair to verify, with the count of their variant. They are dealt by variant once, for the counts and
+    for the join."""
+    df = df.repartition(*key)
     n = df.groupBy(*key).agg(F.count("*").alias("n"), F.min("bit").alias("lo"), F.max("bit").alias("hi"), F.min("w").alias("first"))
     # Both sides are far larger than the files they are made from, so that sizes guessed from those would have one broadcast.
     return df.join(n.where("n > 1 and (first = 0 or lo < hi)").select(*key, "n").hint("merge"), key)
@@ -179,7 +184,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id that links reach, the document itself included. Texts that are null, empty or white space
     have fingerprint zero and link like any other. Rows without doc_id get a fingerprint and no component. Repeated rows link with
-    each other, as any copies do. Copies are collapsed to one fingerprint before anything is joined."""
+    each other, as any copies do. Copies are collapsed to one fingerprint before anything is joined. Texts are taken whole, however long;
+    of equal doc_ids the smallest is as small; an empty table gives an empty result; other columns aren't looked at."""
     prints = stage(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "fingerprints")
     first = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
     first = stage(first, "distinct")
@@ -193,11 +199,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "fp", hexed.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each group of near-duplicates the document with the smallest doc_id, with all its columns.
-    Of rows that repeat a doc_id one stays. Rows without doc_id are in no group and stay."""
-    found = stage(near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+def _staying(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in keep (doc_id, rows), one of each, and those without doc_id."""
     repeated = not keep.where("rows > 1").isEmpty()
     # What stays grows with the documents: it is never broadcast, whatever the size guessed.
     kept = docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi")
@@ -205,3 +208,250 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         kept = kept.dropDuplicates(["doc_id"])
     nameless = docs.where(F.col("doc_id").isNull())
     return kept.unionByName(nameless).select(docs.columns)
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each group of near-duplicates the document with the smallest doc_id, with all its columns.
+    Of rows that repeat a doc_id one stays. Rows without doc_id are in no group and stay."""
+    found = stage(near_duplicates(docs).select("doc_id", "component_id"), "groups")
+    return _staying(docs, found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+
+
+# Similarity: the same method over fingerprints of more bits, cut into segments of which a few are near enough.
+
+SIMILAR_SHINGLE = 5  # words
+SIMILARITY = 0.8  # Jaccard, of the sets of shingles
+RECALL = 0.95  # of pairs just as similar; more similar ones are found more surely
+WILD = 4  # wildcards of a segment: its least certain bits
+SPARE = 6  # bits of a segment beyond those that number the fingerprints
+CENTRES = 3  # of a variant's fingerprints, those that the others are compared with
+FEW = 1 << 20  # ids that are sent to all; more are joined by sort and merge
+_CHECK = 13  # differing bits of 32 that a candidate may have: four deviations over what pairs at the similarity have
+_SALTS = np.random.default_rng(64).integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which texts of a Jaccard similarity differ: the angle of their sets' vectors."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+@lru_cache
+def chance(similarity: float, width: int, wild: int) -> float:
+    """How likely two texts share a variant of a segment: it is equal, or differs in one bit that is a wildcard in both. By simulation, as
+    bits are signs of correlated sums."""
+    rng = np.random.default_rng(width)
+    n, c = 40_000, 2 * similarity / (1 + similarity)
+    x = rng.normal(size=(n, width))
+    y = c * x + np.sqrt(1 - c * c) * rng.normal(size=(n, width))
+    off = (x > 0) != (y > 0)
+    both = np.ones((n, width), bool)
+    for v in (x, y):
+        mine = np.zeros((n, width), bool)
+        np.put_along_axis(mine, np.argsort(np.abs(v), axis=1)[:, :wild], True, axis=1)
+        both &= mine
+    return float(((off.sum(axis=1) == 0) | (off.sum(axis=1) == 1) & (off & both).any(axis=1)).mean())
+
+
+def shape(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """Segments, and bits of each, for n fingerprints: bits so many that unrelated fingerprints seldom share a variant, segments so many
+    that similar ones do with the chance of `recall`. Both grow slowly with n; nothing is dropped."""
+    width = min(44, max(12, int(np.ceil(np.log2(max(2, n)))) + SPARE))
+    return min(511, int(np.ceil(np.log(1 - recall) / np.log(1 - chance(similarity, width, WILD))))), width
+
+
+def sums(text: bytes | None, shingle: int, words: int) -> tuple[np.ndarray, int]:
+    """How often each of 64 * words bits is set in the hashes of a text's distinct shingles (words as in fingerprint()), and their number.
+    All bits come from one XXH64 of the shingle, mixed with as many salts."""
+    found = (text or b"").lower().split()
+    if not found:
+        return np.zeros(64 * words, np.int64), 0
+    of = xxhash.xxh64_intdigest
+    n = max(1, len(found) - shingle + 1)
+    h = np.fromiter({of(b" ".join(found[k : k + shingle]), 42) for k in range(n)}, np.uint64)
+    ones = np.zeros((8 * words, 8))
+    places = 256 * np.arange(8 * words)
+    for k in range(0, len(h), 4096):
+        z = (h[k : k + 4096, None] ^ (h[k : k + 4096, None] >> np.uint64(31))) * _SALTS[None, :words]
+        z ^= z >> np.uint64(32)
+        z *= np.uint64(0xD6E8FEB86659FD93)
+        z ^= z >> np.uint64(32)
+        seen = np.ascontiguousarray(z).view(np.uint8).reshape(len(z), -1)
+        ones += np.bincount((seen + places).ravel(), minlength=2048 * words).reshape(-1, 256) @ _BYTE
+    return ones.reshape(-1).astype(np.int64), len(h)
+
+
+def wide(text: bytes | None, shingle: int, segments: int, width: int) -> tuple[bytes, bytes]:
+    """The fingerprint, segments of `width` bits each and 64 more, and the places of each segment's WILD least certain bits."""
+    bits = segments * width
+    ones, n = sums(text, shingle, -(-bits // 64) + 1)
+    if not n:
+        return b"", b""
+    margin = np.abs(2 * ones - n)[:bits].reshape(segments, width)
+    places = np.argpartition(margin * 64 + np.arange(width), WILD, axis=1)[:, :WILD]
+    return np.packbits(2 * ones > n, bitorder="little").tobytes(), places.astype(np.uint8).tobytes()
+
+
+def _wide(shingle: int, segments: int, width: int):
+    kind = T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("wild", T.BinaryType())])
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [wide(t.as_py(), shingle, segments, width) for t in texts.cast(pa.binary())]
+        tidy()
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["fp", "wild"])
+
+    return run
+
+
+def _emit(segments: int, width: int):
+    """Fingerprints (id, fp, wild) to their variants: the number of the segment and of its wildcard (none: width) over the segment's bits."""
+    power = np.int64(1) << np.arange(width, dtype=np.int64)
+    number = np.arange(segments, dtype=np.int64)[:, None] << 54
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                wild = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, segments, WILD).astype(np.int64)
+                bits = np.unpackbits(fp, axis=1, bitorder="little")[:, : segments * width].reshape(part.num_rows, segments, width)
+                value = bits.astype(np.int64) @ power
+                cut = (value[:, :, None] & ~(np.int64(1) << wild)) | wild << 48
+                variants = np.concatenate([(value | width << 48)[:, :, None], cut], axis=2) | number
+                each = variants.shape[1] * variants.shape[2]
+                check = np.ascontiguousarray(fp[:, -8:-4]).view("<i4").reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(variants.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), each)), pa.array(np.repeat(check, each))], ["variant", "id", "check"])
+
+    return run
+
+
+def _candidates(batches):
+    """Sorted rows (variant, id, check): each but the first of a variant with the first CENTRES of it."""
+    carry = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    for batch in batches:
+        held = len(carry[0])
+        v, i, c = (np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate(carry))
+        if not len(v):
+            continue
+        first = np.r_[True, v[1:] != v[:-1]]
+        start = np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))
+        place = np.arange(len(v)) - start
+        pairs = []
+        for k in range(CENTRES):
+            rows = np.flatnonzero(place > k)
+            rows = rows[rows >= held]
+            centre = start[rows] + k
+            near = np.bitwise_count((c[rows] ^ c[centre]).view(np.uint32)) <= _CHECK
+            pairs.append(np.stack([i[centre[near]], i[rows[near]]]))
+        last = start[-1]
+        carry = [x[last : last + CENTRES] for x in (v, i, c)]
+        found = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        if found.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in found], ["a", "b"])
+
+
+def _compare(bits: int, least: float, most: float):
+    """Pairs (a, b, fp of a, fp of b): those that may be similar, and whether they surely are."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, : bits // 8] for k in (2, 3))
+            off = np.bitwise_count(x ^ y).sum(axis=1) / (8 * x.shape[1])
+            near = pa.array(off <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near), pa.array(off <= least).filter(near)], ["src", "dst", "sure"])
+
+    return run
+
+
+def shingles(text: bytes | None, size: int) -> set[int]:
+    """The hashes of a text's distinct shingles; none for no words, one for fewer words than a shingle has."""
+    words = (text or b"").lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(words[k : k + size]), 42) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def _verify(shingle: int, similarity: float):
+    """Pairs (src, dst, text, text) in order of src: those whose Jaccard similarity reaches `similarity`."""
+
+    def run(batches):
+        known, mine = None, set()
+        for batch in batches:
+            out = []
+            for a, b, x, y in zip(*(batch.column(k) for k in range(4))):
+                if known != (a.as_py(), x):
+                    known, mine = (a.as_py(), x), shingles(x.cast(pa.binary()).as_py(), shingle)
+                other = shingles(y.cast(pa.binary()).as_py(), shingle)
+                both = len(mine & other)
+                if both >= similarity * (len(mine) + len(other) - both):
+                    out.append((known[0], b.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["src", "dst"])
+
+    return run
+
+
+def _by_texts(docs: DataFrame, first: DataFrame, open_: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """open_ (src, dst, src_root, dst_root), pairs of ids: (src, dst), roots of those whose texts are similar. A doc_id that rows repeat has
+    several texts; one of them is enough."""
+    ids = open_.select(F.col("src").alias("id")).union(open_.select("dst")).distinct().join(first.select("id", "first"), "id")
+    ids = stage(ids.select("id", F.col("first").alias("doc_id")), "wanted")
+    wanted = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
+    texts = stage(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("id", "text"), "texts")
+    of = lambda c, t: texts.select(F.col("id").alias(c), F.col("text").alias(t)).hint("merge")
+    pairs = open_.join(of("dst", "y"), "dst").join(of("src", "x"), "src")
+    found = pairs.select("src_root", "dst_root", "x", "y").mapInArrow(_verify(shingle, similarity), "src long, dst long")
+    return found.distinct()
+
+
+def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """docs (doc_id, text, …). Returns (fp, first, component_id, rows), a row for each different fingerprint: the smallest doc_id that has it, the
+    smallest that links reach, and how many rows of docs have that first doc_id there. Rows without doc_id are left out.
+
+    Texts link whose sets of shingles have a Jaccard similarity of `similarity` or more. The same method as links(), over fingerprints of some thousand bits, so that texts that differ in more than a word here and there are near: of many
+    segments, each differs by at most one bit with some chance, and enough are taken that a pair is found with the chance of `recall`.
+    A segment's variants have its least certain bits as wildcards, those that differ most often. Variants are joined by equality, by
+    sorting: the others of a variant are compared with its CENTRES smallest ids, so that a group of copies of any size costs its size, and
+    a variant of any size is streamed. Candidates are checked over 32 bits there, and over all bits once, which decides where the
+    fingerprints are three deviations from the similarity; the pairs between, of those that would join something, are decided by their
+    texts.
+    Texts without words have one fingerprint of their own. Texts are taken whole; an empty table gives an empty result."""
+    spark = docs.sparkSession
+    segments, width = shape(docs.count(), similarity, recall)
+    made = docs.where("doc_id is not null").select("doc_id", _wide(shingle, segments, width)(F.col("text")).alias("p"))
+    prints = stage(made.select("doc_id", "p.fp", "p.wild"), "wide")
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("wild").alias("wild"))
+    first = stage(first.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    dealt = first.where("length(fp) > 0").select("id", "fp", "wild").repartition(partitions(spark))
+    rows = dealt.mapInArrow(_emit(segments, width), "variant long, id long, check int")
+    pairs = rows.repartition(partitions(spark), "variant").sortWithinPartitions("variant", "id").mapInArrow(_candidates, "a long, b long")
+    pairs = stage(pairs.distinct(), "candidates")
+    of = lambda c, f: first.select(F.col("id").alias(c), F.col("fp").alias(f)).hint("merge")
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+    bits, aim = segments * width, differing(similarity)
+    doubt = 3 * float(np.sqrt(aim * (1 - aim) / bits))
+    links = stage(both.mapInArrow(_compare(bits, aim - doubt, aim + doubt), "src long, dst long, sure boolean"), "similar")
+    roots = stage(components(links.where("sure").select("src", "dst")), "roots")
+    # Of the others, those that would join something are looked at by their texts.
+    root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    open_ = links.where("not sure").select("src", "dst").join(root("src"), "src", "left").join(root("dst"), "dst", "left")
+    open_ = open_.withColumn("src_root", F.coalesce("src_root", "src")).withColumn("dst_root", F.coalesce("dst_root", "dst")).where("src_root <> dst_root")
+    open_ = stage(open_, "open")
+    more = components(stage(_by_texts(docs, first, open_, shingle, similarity), "verified"))
+    more = stage(more.select(F.col("id").alias("root"), F.col("root").alias("last")), "more")
+    every = first.select("id", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    every = every.join(more, "root", "left").select("id", "first", F.coalesce("last", "root").alias("root"))
+    linked = stage(every, "linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    found = first.select("id", "fp").join(linked, "id").join(least, "root").select("fp", "first", F.col("least").alias("component_id"))
+    times = prints.groupBy("fp", F.col("doc_id").alias("first")).agg(F.count("*").alias("rows"))
+    return found.join(times, ["fp", "first"])
+
+
+def drop_similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The rows of docs that stay: of each group that similar() links the document with the smallest doc_id, with all its columns. Rows that
+    repeat a doc_id are one document if their texts are similar, and one of them stays; else that of the smallest group stays. Rows without
+    doc_id are in no group and stay."""
+    found = similar(docs, shingle, similarity, recall).where("first = component_id")
+    keep = stage(found.groupBy(F.col("first").alias("doc_id")).agg(F.sum("rows").alias("rows")), "staying")
+    return _staying(docs, keep)

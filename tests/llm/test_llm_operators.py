@@ -138,6 +138,73 @@ def test_one_stays_of_each_group(odd):
     assert ids[1] == 1 and ids[2] == 0 and ids[9] == 1 and ids[None] == 1 and ids[3] == 1 and ids[4] == 0 and ids[5] == 0
 
 
+def brute_similar(rows, size=5, similarity=0.8):
+    """Pairs of rows (doc_id, text) whose sets of shingles are similar, and the smallest doc_id of each row's component."""
+    sets = []
+    for _, text in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        sets.append({tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or ({tuple(words)} if words else set()))
+    links = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return links, {k: min(rows[j][0] for j in g) for g in groups(range(len(rows)), links) for k in g}
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for k in rng.choice(len(words), n, replace=False):
+        words[k] = f"other{rng.integers(1000)}"
+    return " ".join(words)
+
+
+def test_similar_texts(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(120):
+        words = [f"w{rng.integers(5000)}" for _ in range(int(rng.integers(60, 400)))]
+        rows.append((10 * g, " ".join(words)))
+        rows += [(10 * g + k, edited(rng, words, int(rng.integers(0, max(2, len(words) // 25))))) for k in range(1, int(rng.integers(2, 6)))]
+    words = [f"v{rng.integers(900)}" for _ in range(200)]
+    rows += [(5000 + k, edited(rng, words, 2)) for k in range(300)]  # a large group
+    links, least = brute_similar(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_similar(df).collect()}
+    got = {r["first"]: r.component_id for r in simhash.similar(df).collect()}
+    of = [got.get(i, None) for i, _ in rows]
+    of = [least_of(rows, got, k) if c is None else c for k, c in enumerate(of)]
+    assert sum(of[a] == of[b] for a, b in links) >= 0.95 * len(links)
+    together = {}
+    for k, c in enumerate(of):
+        together.setdefault(c, set()).add(least[k])
+    assert all(len(x) == 1 for x in together.values())  # nothing is joined that isn't similar
+    assert {i for k, (i, _) in enumerate(rows) if least[k] == i} <= kept and len(kept) <= 1.05 * len(set(least.values()))
+
+
+def least_of(rows, got, k):
+    """The component of a row whose text an earlier row has."""
+    return next(got[i] for i, t in rows if t == rows[k][1] and i in got)
+
+
+def test_similar_texts_of_odd_rows(odd, empty):
+    assert simhash.similar(empty).count() == 0 and simhash.drop_similar(empty).count() == 0
+    got = simhash.drop_similar(odd)
+    assert got.columns == odd.columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter([1, 3, 6, 7, 8, 9, None, -5, 11])
+
+
+def test_bits_are_signs_of_sums():
+    text = b" ".join(b"w%d" % (k * k % 97) for k in range(5000))
+    ones, n = simhash.sums(text, 5, 3)
+    h = simhash.shingles(text, 5)
+    assert n == len(h)
+    want = np.zeros(192, np.int64)
+    for x in h:
+        z = (np.uint64(x) ^ (np.uint64(x) >> np.uint64(31))) * simhash._SALTS[:3]
+        z ^= z >> np.uint64(32)
+        z *= np.uint64(0xD6E8FEB86659FD93)
+        z ^= z >> np.uint64(32)
+        want += np.unpackbits(z.view(np.uint8), bitorder="little")
+    assert (ones == want).all()
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5000), (None, 3)]
     got = components.components(spark.createDataFrame(links, "src long, dst long")).collect()

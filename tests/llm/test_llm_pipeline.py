@@ -5,7 +5,6 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
-import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -41,9 +40,9 @@ def test_run_against_a_plain_version(spark, planted):
     rows = {r.doc_id: r for r in docs.collect()}
     kept = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
     assert None not in kept and 300_000 not in kept and 300_001 not in kept
-    prints = {i: simhash.fingerprint((rows[i].text or "").encode()) for i in sorted(kept)}
-    ids = sorted(prints)
-    x = np.array([prints[i] for i in ids], np.uint64)
+    ids = sorted(kept)
+    sets = [simhash.shingles((rows[i].text or "").encode(), 5) for i in ids]
+    x = [(len(a), a) for a in sets]
     first: dict[int, int] = {}
     for a in range(len(ids)):  # breadth first from the smallest id on
         if ids[a] in first:
@@ -51,8 +50,9 @@ def test_run_against_a_plain_version(spark, planted):
         todo = [a]
         first[ids[a]] = ids[a]
         while todo:
-            for b in np.flatnonzero(np.bitwise_count(x ^ x[todo.pop()]) <= 3).tolist():
-                if ids[b] not in first:
+            n, mine = x[todo.pop()]
+            for b, (m, other) in enumerate(x):
+                if ids[b] not in first and (both := len(mine & other)) >= 0.8 * (n + m - both):
                     first[ids[b]] = ids[a]
                     todo.append(b)
     unique = [i for i in ids if first[i] == i]
