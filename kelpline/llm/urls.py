@@ -12,32 +12,54 @@ from pyspark.sql import functions as F
 from kelpline.llm import linear
 
 GRAMS = (3, 4, 5)  # characters
-SLOTS = 1 << 13  # of the hashed n-grams
+SLOTS = 1 << 14  # of the hashed n-grams
 SEED = 7
-RULES_AT_MOST = 256  # rules become expressions of the plan
+RULES_AT_MOST = 256  # rules that become expressions of the plan; more are joined by the hosts' suffixes
+
+#: Words of hosts, for the labelled table: what blocklists are about, by family, and what ordinary sites are about.
+BLOCKED = {
+    "gambling": "casino poker roulette blackjack jackpot slots bets betting wager lottery bingo bookmaker win bonus",
+    "pharmacy": "pills viagra cialis pharmacy meds tablets steroids slimming dosage painkiller prescription",
+    "adult": "adult porn xxx nude erotic escort webcam fetish hentai milf sexy",
+    "advertising": "ads adserver advert banner tracker track tracking popunder popup pixel affiliate click impression",
+    "spam": "spam clickbait linkfarm doorway bulkmail spammer autoblog backlinks traffic farm",
+    "fraud": "phishing scam malware trojan keylogger ransom spyware botnet exploit hacked",
+    "piracy": "warez crack keygen torrent serials pirated cracked nulled leech rapid",
+    "money": "loan payday forex credit cash cheap replica free prize winner fakes discount millionaire",
+}
+ORDINARY = "library news school garden recipes weather museum travel docs wiki forum science music city radio press mail maps health kitchen history sports gallery theatre review journal archive village bakery cinema cycling university hospital church council gardening painting poetry physics biology chemistry language teacher student sailing hiking mountain river castle airport railway harbour market coffee books writing software compiler kernel database astronomy geology farming fishing football chess knitting pottery orchestra opera dance parish regional national institute foundation society education information translation construction fiction station nutrition conservation election production photography insurance planning engineering furniture clothes shoes toys horses birds flowers trees timber iron stone glass paper printing motor electric solar energy water ocean island camping hotel restaurant wine cheese bread fruit family children wedding doctor dentist clinic lawyer budget office studio design fashion jewellery workshop factory machine robot network server internet telephone television video camera film story legend religion philosophy psychology economics politics democracy justice peace army navy border country town street square bridge tower house roof window door table chair lamp".split()
+_LABELS = "www m blog shop news mail app static cdn img old my home web2 dev".split()
+_ENDINGS = "com net org info biz co.uk de fr it es io eu ca us nl se pl".split()
+_PATHS = "index home page view post story item product list topic thread user about archive tag p n id article watch go out r download".split()
+
+
+def labelled(n: int = 600, without: str | None = None) -> list[tuple[str, int]]:
+    """The labelled table: n URLs to block (1), as many of each family but `without`, and 3 n ordinary ones (0). Their hosts come from the words
+    above, alone or in pairs, the ordinary ones also from letters; what goes before and after is drawn alike for both, so that it
+    tells nothing."""
+    rng = random.Random(SEED)
+    families = [v.split() for k, v in BLOCKED.items() if k != without]
+    every = [w for f in families for w in f]
 
-#: Words of hosts, for the labelled table: those of sites to block, and of ordinary ones.
-BLOCKED = "casino poker bets betting slots jackpot lottery win bonus pills pharma viagra cialis meds cheap replica loan payday spam farm clickbait ads adserver track tracker popup malware phish warez crack keygen adult xxx porn escort nude sexcam dating free x".split()
-ORDINARY = "library news school garden recipes weather museum travel docs wiki forum science music city radio press shop mail maps health kitchen history sports gallery theatre review journal archive village bakery cinema cycling".split()
-SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st le is ou ar de ve ing ion tion sh wh ly ble".split()
+    def url(name: str) -> str:
+        path = "".join(f"/{rng.choice([rng.choice(_PATHS), str(rng.randrange(10 ** rng.randint(1, 6)))])}" for _ in range(rng.randint(0, 3)))
+        rest = rng.choice(["", "", "/", ".html", ".php", f"?{rng.choice(_PATHS)}={rng.randrange(1000)}", f"#{rng.choice(_PATHS)}"])
+        label = f"{rng.choice(_LABELS)}." if rng.random() < 0.4 else ""
+        return f"{rng.choice(['http', 'https'])}://{label}{name}.{rng.choice(_ENDINGS)}{path}{rest if path else ''}"
 
+    def join(words: list[str]) -> str:
+        return rng.choice(["-", "-", ""]).join(words) + (str(rng.randrange(100)) if rng.random() < 0.15 else "")
+
+    def invented() -> str:
+        return "".join(rng.choice("bcdfghklmnprstvwz") + rng.choice("aeiouy") + rng.choice(["", "", *"nrstlhd"]) if rng.random() < 0.6 else rng.choice("abcdefghijklmnoprstuvwyz") + rng.choice("abcdefghijklmnoprstuvwyz") for _ in range(rng.randint(2, 5)))
 
-def labelled(n: int = 400) -> list[tuple[str, int]]:
-    """The labelled table: n URLs to block (1) and n ordinary ones (0). Hosts come from the words above, ordinary ones also from
-    syllables; sub-domains, endings and paths are drawn alike for both, so that they tell nothing."""
-    rng = random.Random(SEED)
-    rest = lambda: f"{rng.choice(['', '', '.html', '/', '?page=2&ref=x', '#top', '?utm_source=feed'])}"
     rows = []
-    for label in (1, 0):
-        for k in range(n):
-            if label:
-                name = "-".join(rng.sample(BLOCKED, 2)) if k % 4 else rng.choice(BLOCKED[:-2]) + str(rng.randrange(100))
-            elif k % 2:
-                name = "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(2, 4)))
-            else:
-                name = "-".join(rng.sample(ORDINARY, 1 + k // 2 % 2))
-            host = rng.choice(["", "", "www.", "m.", "blog.", "shop."]) + name + rng.choice([".example", ""]) + rng.choice([".com", ".net", ".org"])
-            rows.append((f"{rng.choice(['http', 'https'])}://{host}/{rng.choice(['en', 'de', 'fr', 'es', 'item', 'a'])}/{rng.randrange(1000)}{rest()}", label))
+    for k in range(n):
+        own = rng.choice(families[k % len(families)])
+        rows.append((url(join([own, rng.choice(every)] if k // len(families) % 2 else [own])), 1))
+    for k in range(3 * n):
+        name = join(rng.sample(ORDINARY, 1 + k // 4 % 2)) if k % 2 else invented()
+        rows.append((url(name), 0))
     return rows
 
 
@@ -59,22 +81,20 @@ def _slots(host: str, path: str) -> Column:
     return F.expr(f"concat({', '.join(each)})")
 
 
-@lru_cache(maxsize=4)
-def _model(spark: SparkSession) -> tuple[str, float]:
+@lru_cache(maxsize=16)
+def _model(spark: SparkSession, without: str | None = None) -> tuple[str, float]:
     """Weights of the slots, as text, and the bias; trained once in a session from labelled()."""
-    rows = spark.createDataFrame(labelled(), "url string, label int")
+    rows = spark.createDataFrame(labelled(without=without), "url string, label int")
     host, path = host_and_path()
-    found = rows.select("label", host.alias("host"), path.alias("path")).select("label", _slots("host", "path").alias("slots")).collect()
-    x = np.zeros((len(found), SLOTS))
-    for i, r in enumerate(found):
-        np.add.at(x[i], r.slots, 1.0)
-    w, b = linear.fit(x, np.array([r.label for r in found]), 2)
-    return ",".join(map(repr, (w[:, 1] - w[:, 0]).tolist())), float(b[1] - b[0])
+    found = rows.select("label", host.alias("host"), path.alias("path")).select("label", _slots("host", "path").alias("slots")).collect()  # a row for each labelled
+    w, b = linear.fit_sparse([r.slots for r in found], np.array([r.label for r in found]), SLOTS)
+    return ",".join(repr(round(v, 6)) for v in w.tolist()), b
 
 
-def score(spark: SparkSession, host: str = "host", path: str = "path") -> Column:
-    """The model's probability that a URL is to be blocked."""
-    weights, bias = _model(spark)
+def score(spark: SparkSession, host: str = "host", path: str = "path", without: str | None = None) -> Column:
+    """The model's probability that a URL is to be blocked. without: a family that it isn't trained on, to see how it does on words it
+    has never met."""
+    weights, bias = _model(spark, without)
     total = F.aggregate(_slots(host, path), F.lit(bias), lambda a, s: a + F.element_at(F.split(F.lit(weights), ",").cast("array<double>"), (s + 1).cast("int")))
     return 1 / (1 + F.exp(-total))
 
@@ -82,8 +102,6 @@ def score(spark: SparkSession, host: str = "host", path: str = "path") -> Column
 def rule_for(rules: list[tuple[str, str, str]], host: str = "host", path: str = "path") -> Column:
     """rules (verdict, host, path): the longest that fits, as a struct of rule and verdict; null if none does. A rule fits its host and
     all sub-domains, if the path begins with its path. Of equally long ones the first in the list wins."""
-    if len(rules) > RULES_AT_MOST:
-        raise ValueError(f"over {RULES_AT_MOST} rules")
     fits = []
     for verdict, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])):
         here = (F.col(host) == h) | F.endswith(F.col(host), F.lit("." + h))
@@ -91,12 +109,32 @@ def rule_for(rules: list[tuple[str, str, str]], host: str = "host", path: str =
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule: string, verdict: string>")
 
 
+def with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (host, path, …) and rules (verdict, host, path, place: which of equally long ones wins, the least). Adds fit, as rule_for(), for any
+    number of rules: each different host's suffixes are joined to the rules' hosts once, and a row looks among its host's rules. A host has
+    as few suffixes as dots; rules of one host are kept together."""
+    each = rules.groupBy(F.col("host").alias("suffix")).agg(F.collect_list(F.struct("path", "verdict", "host", "place")).alias("rules"))
+    hosts = rows.select("host").distinct()
+    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
+    found = hosts.select("host", F.explode(suffixes).alias("suffix")).join(each, "suffix")
+    found = found.groupBy(F.col("host").alias("r_host")).agg(F.flatten(F.collect_list("rules")).alias("rules"))
+    best = F.array_max(F.transform(F.filter("rules", lambda r: F.startswith(F.col("path"), r.path)), lambda r: F.struct(F.length(F.concat(r.host, r.path)).alias("n"), (-r.place).alias("p"), F.concat(r.host, r.path).alias("rule"), r.verdict.alias("verdict"))))
+    out = rows.join(found, F.col("host") == F.col("r_host"), "left").withColumn("best", best)
+    return out.select(*rows.columns, F.when(F.col("best").isNotNull(), F.struct(F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))).alias("fit"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """pages (page_id, url, …). Returns a row for each row of pages: page_id, host, path, rule, score, verdict. The verdict is the
-    rule's, or else block where the score is over a half. Nothing is shuffled. Null or empty URLs have empty hosts and paths, which no
-    rule fits; the model judges them like others."""
+    rule's, or else block where the score is over a half. Up to RULES_AT_MOST rules nothing is shuffled. Null or empty URLs have empty hosts
+    and paths, which no rule fits; the model judges them like others. URLs of any length are read whole; repeated rows are judged
+    each; of equally long rules the first wins; an empty table gives an empty result; other columns aren't looked at."""
     host, path = host_and_path()
+    spark = pages.sparkSession
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("fit", rule_for(rules)).withColumn("score", score(pages.sparkSession))
+    if len(rules) <= RULES_AT_MOST:
+        rows = rows.withColumn("fit", rule_for(rules))
+    else:
+        rows = with_rules(rows, spark.createDataFrame([(*r, k) for k, r in enumerate(rules)], "verdict string, host string, path string, place int"))
+    rows = rows.withColumn("score", score(spark))
     own = F.when(F.col("score") > 0.5, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), "score", F.coalesce(F.col("fit.verdict"), own).alias("verdict"))
