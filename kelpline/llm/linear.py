@@ -14,9 +14,10 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int, l2: float = 1e-3, turns: int
     """Multinomial regression by full-batch gradient steps with momentum; the same rows give the same weights. Returns weights
     (features, classes) and biases."""
     n, d = x.shape
-    w, b = np.zeros((d, classes)), np.zeros(classes)
+    kind = x.dtype if x.dtype == np.float32 else np.float64  # of all that is as large as x
+    w, b = np.zeros((d, classes), kind), np.zeros(classes, kind)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
-    onehot = np.eye(classes)[y]
+    onehot = np.eye(classes, dtype=kind)[y]
     rate = 4.0 / max(1.0, float((x**2).sum(axis=1).mean()))
     for _ in range(turns):
         g = softmax(x @ w + b) - onehot

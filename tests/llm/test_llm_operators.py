@@ -527,6 +527,73 @@ def test_license_accuracy_on_held_out_rows():
     assert hit / len(rows) > 0.95
 
 
+#: Notices in words of their own, neither templates nor training rows; and paragraphs that only sound alike.
+HELD = [
+    ("Apache","This program is licensed under the Apache License, Version 2.0"),
+    ("Apache","Licensed to the foundation under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("MIT","This project is licensed under the MIT License - see the LICENSE file for details"),
+    ("MIT","Copyright 2019. Released under the MIT license, have fun."),
+    ("GPL","foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version."),
+    ("GPL","This module is licensed under the GNU General Public License, version 2"),
+    ("LGPL","You can redistribute bar under the terms of the GNU Lesser General Public License, version 3."),
+    ("AGPL","You should redistribute it under the terms of the GNU Affero General Public License version 3"),
+    ("BSD","Redistribution and use in source and binary forms, with or without modification, is permitted if the conditions are met."),
+    ("BSD","This code is licensed under the BSD 3-Clause License"),
+    ("MPL","This source is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("CC-BY-NC","All pictures here are licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-SA","The text is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY","Slides are licensed under a Creative Commons Attribution 4.0 International License, unless noted."),
+    ("public domain","The data have been released into the public domain by their authors"),
+    ("all rights reserved","Copyright 1999-2005 Example Press. All rights reserved."),
+    ("unknown","He lost his driving license and asked the council for permission to park."),
+    ("unknown","The public library reserved two rooms for the general meeting."),
+    ("unknown","Mozilla and Apache were discussed at the conference about web servers."),
+    ("unknown","a permissive licence is not the same as a public domain dedication"),
+    ("unknown","The GNU herd crossed the river under the general's command."),
+    ("unknown","Copyright law differs between countries, and reserved rights may expire."),
+]
+
+
+def brute_license(text):
+    """The family of one paragraph, its probability and overlap, by loops over its n-grams."""
+    weights, bias, heat = licenses.model()
+    grams = licenses.grams_of(licenses.words_of(text))
+    z = (np.array(bias) + sum((np.array(weights[g]) for g in grams if g in weights), np.zeros(len(bias)))) / heat
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    family = licenses.FAMILIES[int(p.argmax())]
+    overlap = max((len(grams & (own := licenses.grams_of(licenses.words_of(x)))) / len(own) for x in licenses.TEMPLATES.get(family, [])), default=0.0)
+    sure = family != "unknown" and p.max() >= licenses.SURE and overlap >= licenses.OVERLAP
+    return family if sure else "unknown", float(p.max()), overlap
+
+
+def test_license_notices_held_out():
+    assert [brute_license(x)[0] for _, x in HELD] == [y for y, _ in HELD]
+    used = {tuple(licenses.words_of(x)) for v in [*licenses.TEMPLATES.values(), *licenses.NOTICES.values()] for x in v}
+    assert not used & {tuple(licenses.words_of(x)) for _, x in HELD}
+    assert all(re.search(licenses.ANCHORS, x, re.I) for y, x in HELD if y != "unknown")
+
+
+def test_license_scores(spark, sf_dir):
+    texts = [x for _, x in HELD] + ["licence " * 3000, "", "MIT", "Äö licence", *(x for v in licenses.NOTICES.values() for x in v)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = sorted({*texts, *(r.paragraph for r in licenses.paragraphs(docs).collect()[:300])})
+    got = {r.paragraph: r for r in licenses.classify(spark.createDataFrame([(x,) for x in texts], "paragraph string")).collect()}
+    for x in texts:
+        family, probability, overlap = brute_license(x)
+        assert got[x].family == family and got[x].probability == pytest.approx(probability, rel=1e-6)
+        assert got[x].overlap == pytest.approx(overlap)
+
+
+def test_licenses_of_odd_rows(spark, odd):
+    long = "word " * 200_000 + "\n\nReleased under the MIT License.\n\n" + "more " * 200_000
+    same = "Released under the MIT License."
+    rows = [(1, long), (2, "licence " * 100_000), (3, same), (3, same), (3, "nothing"), (None, same), (None, "Licensed under CC BY 4.0."), (4, "x\r\rLicensed under CC BY-SA 4.0."), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("z").alias(c) for c in ("paragraph", "piece", "gram", "n", "family", "families", "d", "w")])
+    got = {r.doc_id: (r.n_paragraphs, r.n_confirmed, r.families) for r in licenses.by_document(df).collect()}
+    assert got == {1: (1, 1, "MIT"), 2: (1, 0, ""), 3: (2, 2, "MIT"), None: (2, 2, "CC-BY,MIT"), 4: (1, 1, "CC-BY-SA"), 5: (0, 0, "")}
+    assert {r.doc_id for r in licenses.by_document(odd).collect()} == {r.doc_id for r in odd.collect()}
+
+
 def test_license_paragraphs_have_anchors():
     assert all(re.search(licenses.ANCHORS, t, re.I) for v in licenses.TEMPLATES.values() for t in v)
 
