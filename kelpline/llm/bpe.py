@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from kelpline.llm.shared import partitions, stage_bucketed, tidy
 
 #: Characters of the documents that share a bundle of distinct pre-tokens; a longer document is a bundle of its own.
+KNOWN = 1 << 21  # words that a task keeps the ids of
 BUNDLE = 8_000_000
 _made: dict[str, Ranks] = {}
 
@@ -135,7 +136,8 @@ def _bundles(pattern: str, parts: int):
 
 
 def _encode(path: str, pattern: str):
-    """Words of one part, bundle by bundle, to their ids: a word is encoded when it is met first, whatever the bundle."""
+    """Words of one part, bundle by bundle, to their ids: a word is encoded when it is met first, whatever the bundle. Where a part's
+    words are more than KNOWN, what is known is forgotten before the next bundle, and a word met again is encoded again."""
 
     def run(batches):
         ranks = Ranks.at(path)
@@ -145,6 +147,8 @@ def _encode(path: str, pattern: str):
             ids = []
             for packed in batch.column(2):
                 words = _unpack(packed.as_py())
+                if len(known) > KNOWN:
+                    known.clear()
                 for w in words:
                     if w not in known:
                         known[w] = np.array(encode(w.decode()), dtype).tobytes()
@@ -209,8 +213,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     word that is everywhere comes once from each bundle. Words are dealt by their hash; each distinct word is encoded once, in the
     one task that has it, and its ids go back to the bundles, which are put together by position. Neither texts nor positions are
     shuffled: the bundles wait in a bucketed table, where the join finds them. Words travel
-    packed, those of a bundle that go the same way in one row. A task holds the distinct words of its part: their number is kept
-    down by spark.sql.shuffle.partitions."""
+    packed, those of a bundle that go the same way in one row. A task holds the distinct words of its part, KNOWN of them and those of one
+    bundle at most. An empty table gives an empty result; other columns aren't looked at."""
     return _bundled(docs, ranks, pattern).mapInArrow(_assemble(ranks), "doc_id long, ids binary")
 
 
