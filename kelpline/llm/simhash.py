@@ -225,8 +225,9 @@ RECALL = 0.95  # of pairs just as similar; more similar ones are found more sure
 WILD = 4  # wildcards of a segment: its least certain bits
 SPARE = 6  # bits of a segment beyond those that number the fingerprints
 CENTRES = 3  # of a variant's fingerprints, those that the others are compared with
+EARLY = 8  # the part of all segments that is looked at first
 FEW = 1 << 20  # ids that are sent to all; more are joined by sort and merge
-_CHECK = 13  # differing bits of 32 that a candidate may have: four deviations over what pairs at the similarity have
+_CHECK = 12  # differing bits of 32 that a candidate may have: three and a half deviations over what pairs at the similarity have
 _SALTS = np.random.default_rng(64).integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -304,48 +305,52 @@ def _wide(shingle: int, segments: int, width: int):
     return run
 
 
-def _emit(segments: int, width: int):
-    """Fingerprints (id, fp, wild) to their variants: the number of the segment and of its wildcard (none: width) over the segment's bits."""
+def _emit(segments: int, width: int, begin: int, end: int):
+    """Fingerprints (id, label, fp, wild) to the variants of segments from begin to end: the number of the segment and of its wildcard (none:
+    width) over the segment's bits."""
     power = np.int64(1) << np.arange(width, dtype=np.int64)
-    number = np.arange(segments, dtype=np.int64)[:, None] << 54
+    number = np.arange(begin, end, dtype=np.int64)[:, None] << 54
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                wild = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, segments, WILD).astype(np.int64)
-                bits = np.unpackbits(fp, axis=1, bitorder="little")[:, : segments * width].reshape(part.num_rows, segments, width)
+                fp = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                wild = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(part.num_rows, segments, WILD)[:, begin:end].astype(np.int64)
+                bits = np.unpackbits(fp, axis=1, bitorder="little")[:, begin * width : end * width].reshape(part.num_rows, end - begin, width)
                 value = bits.astype(np.int64) @ power
                 cut = (value[:, :, None] & ~(np.int64(1) << wild)) | wild << 48
                 variants = np.concatenate([(value | width << 48)[:, :, None], cut], axis=2) | number
                 each = variants.shape[1] * variants.shape[2]
                 check = np.ascontiguousarray(fp[:, -8:-4]).view("<i4").reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(variants.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), each)), pa.array(np.repeat(check, each))], ["variant", "id", "check"])
+                one = lambda k: pa.array(np.repeat(part.column(k).to_numpy(), each))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(variants.reshape(-1)), one(1), one(0), pa.array(np.repeat(check, each))], ["variant", "label", "id", "check"])
 
     return run
 
 
 def _candidates(batches):
-    """Sorted rows (variant, id, check): each but the first of a variant with the first CENTRES of it."""
-    carry = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    """Sorted rows (variant, label, id, check): each with the first of the first CENTRES labels of its variant that come before its own."""
+    carry = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     for batch in batches:
         held = len(carry[0])
-        v, i, c = (np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate(carry))
+        v, label, i, c = (np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate(carry))
         if not len(v):
             continue
         first = np.r_[True, v[1:] != v[:-1]]
-        start = np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))
-        place = np.arange(len(v)) - start
+        fresh = first | np.r_[True, label[1:] != label[:-1]]
+        centres, number = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        lowest = np.maximum.accumulate(np.where(first, number, 0))
         pairs = []
         for k in range(CENTRES):
-            rows = np.flatnonzero(place > k)
+            rows = np.flatnonzero(number - lowest > k)
             rows = rows[rows >= held]
-            centre = start[rows] + k
+            centre = centres[lowest[rows] + k]
             near = np.bitwise_count((c[rows] ^ c[centre]).view(np.uint32)) <= _CHECK
             pairs.append(np.stack([i[centre[near]], i[rows[near]]]))
-        last = start[-1]
-        carry = [x[last : last + CENTRES] for x in (v, i, c)]
+        # Of the last variant, what rows to come need: its first labels, and the label that goes on.
+        last = np.unique(np.r_[centres[lowest[-1] : lowest[-1] + CENTRES], centres[-1]])
+        carry = [x[last] for x in (v, label, i, c)]
         found = np.unique(np.concatenate(pairs, axis=1), axis=1)
         if found.size:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in found], ["a", "b"])
@@ -411,8 +416,8 @@ def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float =
     Texts link whose sets of shingles have a Jaccard similarity of `similarity` or more. The same method as links(), over fingerprints of some thousand bits, so that texts that differ in more than a word here and there are near: of many
     segments, each differs by at most one bit with some chance, and enough are taken that a pair is found with the chance of `recall`.
     A segment's variants have its least certain bits as wildcards, those that differ most often. Variants are joined by equality, by
-    sorting: the others of a variant are compared with its CENTRES smallest ids, so that a group of copies of any size costs its size, and
-    a variant of any size is streamed. Candidates are checked over 32 bits there, and over all bits once, which decides where the
+    sorting: the others of a variant are compared with its CENTRES first, so that a group of copies of any size costs its size, and a
+    variant of any size is streamed. One part in EARLY of the segments goes first; the rest compares only what that hasn't joined. Candidates are checked over 32 bits there, and over all bits once, which decides where the
     fingerprints are three deviations from the similarity; the pairs between, of those that would join something, are decided by their
     texts.
     Texts without words have one fingerprint of their own. Texts are taken whole; an empty table gives an empty result."""
@@ -422,16 +427,24 @@ def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float =
     prints = stage(made.select("doc_id", "p.fp", "p.wild"), "wide")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("wild").alias("wild"))
     first = stage(first.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    dealt = first.where("length(fp) > 0").select("id", "fp", "wild").repartition(partitions(spark))
-    rows = dealt.mapInArrow(_emit(segments, width), "variant long, id long, check int")
-    pairs = rows.repartition(partitions(spark), "variant").sortWithinPartitions("variant", "id").mapInArrow(_candidates, "a long, b long")
-    pairs = stage(pairs.distinct(), "candidates")
-    of = lambda c, f: first.select(F.col("id").alias(c), F.col("fp").alias(f)).hint("merge")
-    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
     bits, aim = segments * width, differing(similarity)
     doubt = 3 * float(np.sqrt(aim * (1 - aim) / bits))
-    links = stage(both.mapInArrow(_compare(bits, aim - doubt, aim + doubt), "src long, dst long, sure boolean"), "similar")
-    roots = stage(components(links.where("sure").select("src", "dst")), "roots")
+    # A few segments first: what they join isn't compared again among itself.
+    few = -(-segments // EARLY)
+    labels, links = None, None
+    for begin, end in ((0, few), (few, segments)):
+        known = first.where("length(fp) > 0").select("id", "fp", "wild")
+        known = known.withColumn("label", F.col("id")) if labels is None else known.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        rows = known.select("id", "label", "fp", "wild").repartition(partitions(spark)).mapInArrow(_emit(segments, width, begin, end), "variant long, label long, id long, check int")
+        pairs = rows.repartition(partitions(spark), "variant").sortWithinPartitions("variant", "label", "id").mapInArrow(_candidates, "a long, b long")
+        pairs = stage(pairs.distinct(), "candidates")
+        of = lambda c, f: first.select(F.col("id").alias(c), F.col("fp").alias(f)).hint("merge")
+        both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+        found = stage(both.mapInArrow(_compare(bits, aim - doubt, aim + doubt), "src long, dst long, sure boolean"), "similar")
+        links = found if links is None else links.unionByName(found)
+        roots = stage(components(links.where("sure").select("src", "dst")), "roots")
+        least = roots.groupBy("root").agg(F.min("id").alias("label"))
+        labels = stage(roots.join(least, "root").select("id", "label"), "labels")
     # Of the others, those that would join something are looked at by their texts.
     root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
     open_ = links.where("not sure").select("src", "dst").join(root("src"), "src", "left").join(root("dst"), "dst", "left")
