@@ -26,46 +26,51 @@ def query(sql: str | None = None):
     return add
 
 
-_OUT = pa.schema([("source", pa.string()), ("seq", pa.int64()), ("payload", pa.string()), ("seconds", pa.int64()), ("nanos", pa.int32()), ("v_int", pa.int64()), ("v_number", pa.float64()), ("v_text", pa.string())])
+_OUT = pa.schema([("source", pa.string()), ("seq", pa.int64()), ("pos", pa.int32()), ("payload", pa.string()), ("seconds", pa.int64()), ("nanos", pa.int32()), ("v_int", pa.int64()), ("v_number", pa.float64()), ("v_text", pa.string())])
 _SCALARS = ("SCALAR_DOUBLE", "SCALAR_INT", "SCALAR_STRING", "SCALAR_SHORT")
 
 
 def _through_wire(waveform: bool):
-    """Samples written as PB/HTTP chunks and read back: fragments of 97 bytes go through framing, escapes and decoding."""
+    """Samples written as PB/HTTP chunks, one for each source and type of a batch, and read back: fragments of 4099 bytes go through framing,
+    escapes and decoding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            chunks: dict[tuple[str, str], list[tuple]] = {}
             for r in batch.to_pylist():
                 k = r["seq"] % 4
                 payload = _SCALARS[k] if not waveform else _SCALARS[k].replace("SCALAR", "WAVEFORM")
                 v = (r["value"], int(r["value"] * 100), f"{r['source']}\n\x1b\r", int(r["value"]) - 50)[k]
-                chunk = pbhttp.encode_chunk(r["source"], payload, 2024, [(r["seconds"] - YEAR, r["nanos"], [v, v] if waveform else v)])
-                for s in pbhttp.samples(chunk[i : i + 97] for i in range(0, len(chunk), 97)):
+                chunks.setdefault((r["source"], payload), []).append((r["seq"], r["seconds"] - YEAR, r["nanos"], [v, v + ("x" if k == 2 else 1)] if waveform else v))
+            out = []
+            for (source, payload), rows in chunks.items():
+                chunk = pbhttp.encode_chunk(source, payload, 2024, [r[1:] for r in rows])
+                for (seq, *_), s in zip(rows, pbhttp.samples(chunk[i : i + 4099] for i in range(0, len(chunk), 4099)), strict=True):
                     got = next(s[c] for c in s if c.startswith("v_"))
-                    got = got[-1] if waveform else got
-                    out.append({"source": s["pv"], "seq": r["seq"], "payload": s["payload_type"], "seconds": s["epoch_seconds"], "nanos": s["nanoseconds"], "v_int": got if isinstance(got, int) else None, "v_number": got if isinstance(got, float) else None, "v_text": got if isinstance(got, str) else None})
+                    for pos, got in enumerate(got if waveform else [got]):
+                        out.append({"source": s["pv"], "seq": seq, "pos": pos, "payload": s["payload_type"], "seconds": s["epoch_seconds"], "nanos": s["nanoseconds"], "v_int": got if isinstance(got, int) else None, "v_number": got if isinstance(got, float) else None, "v_text": got if isinstance(got, str) else None})
             yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
     return run
 
 
-def _wire_sql(kind: str) -> str:
-    return f"""WITH {SAMPLES} SELECT source, seq, '{kind}_' || ['DOUBLE', 'INT', 'STRING', 'SHORT'][seq % 4 + 1] AS payload, seconds, nanos,
- CASE seq % 4 WHEN 1 THEN CAST(trunc(value * 100) AS BIGINT) WHEN 3 THEN CAST(trunc(value) AS BIGINT) - 50 END AS v_int, CASE WHEN seq % 4 = 0 THEN value END AS v_number,
- CASE WHEN seq % 4 = 2 THEN source || chr(10) || chr(27) || chr(13) END AS v_text FROM samples"""
+def _wire_sql(kind: str, positions: int) -> str:
+    return f"""WITH {SAMPLES} SELECT source, seq, CAST(pos AS INT) AS pos, '{kind}_' || ['DOUBLE', 'INT', 'STRING', 'SHORT'][seq % 4 + 1] AS payload, seconds, nanos,
+ CASE seq % 4 WHEN 1 THEN CAST(trunc(value * 100) AS BIGINT) + pos WHEN 3 THEN CAST(trunc(value) AS BIGINT) - 50 + pos END AS v_int, CASE WHEN seq % 4 = 0 THEN value + pos END AS v_number,
+ CASE WHEN seq % 4 = 2 THEN source || chr(10) || chr(27) || chr(13) || CASE WHEN pos = 1 THEN 'x' ELSE '' END END AS v_text FROM samples, range({positions}) AS p(pos)"""
 
 
-_DDL = "source string, seq long, payload string, seconds long, nanos int, v_int long, v_number double, v_text string"
+_DDL = "source string, seq long, pos int, payload string, seconds long, nanos int, v_int long, v_number double, v_text string"
 
 
-@query(_wire_sql("SCALAR"))
+@query(_wire_sql("SCALAR", 1))
 def cnv_archiver_scalar(spark, d):
     return samples(spark, d).mapInArrow(_through_wire(False), _DDL)
 
 
-@query(_wire_sql("WAVEFORM"))
+@query(_wire_sql("WAVEFORM", 2))
 def cnv_archiver_waveform(spark, d):
+    """Every element of every waveform."""
     return samples(spark, d).mapInArrow(_through_wire(True), _DDL)
 
 

@@ -44,10 +44,10 @@ def cnv_unsigned_wrap(spark, d):
     return li.select("l_orderkey", "l_partkey", "l_linenumber", convert.wrap_unsigned(u32, 32).alias("i32"), convert.wrap_unsigned(u64, 64).alias("i64"))
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS INT) AS dimensions, CAST(embedding[1] AS FLOAT) AS head, CAST(embedding[-1] AS FLOAT) AS tail FROM embeddings")
+@query("SELECT vec_id, CAST(len(embedding) AS INT) AS dimensions, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings")
 def cnv_array_column(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", F.size("embedding").alias("dimensions"), F.element_at("embedding", 1).cast("float").alias("head"), F.element_at("embedding", -1).cast("float").alias("tail"))
+    return e.select("vec_id", F.size("embedding").alias("dimensions"), F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 @query("SELECT p_partkey, CAST(pos AS INT) AS pos, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part)")
