@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, seq, seconds, nanos, value): one sample for each event, its user being the source."""
-    e = table(spark, sf_dir, "events")
+    return _samples(table(spark, sf_dir, "events"))
+
+
+def _samples(e: DataFrame) -> DataFrame:
     return e.select(F.concat(F.lit("EV:"), F.col("user_id").cast("string")).alias("source"), F.col("event_id").alias("seq"), seconds_of("ts").alias("seconds"), nanos_of("ts").alias("nanos"), "value")
 
 
@@ -37,10 +42,15 @@ UPDATES = """li AS (SELECT l_orderkey AS root, epoch_us(l_shipdate) // 1000000 A
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_shipdate))"""
 
 
-def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def buckets(spark: SparkSession, sf_dir: str, days: tuple[int, int] | None = None) -> DataFrame:
     """(pvname, bucket_seq, ts_list, clock, values): a user's events of a day; even days as a list, odd ones as a sampling clock; every
-    seventh even day's list is empty. bucket_seq is the response order, which isn't that of time."""
-    e = samples(spark, sf_dir).withColumn("day", F.floor(F.col("seconds") / 86400))
+    seventh even day's list is empty. bucket_seq is the response order, which isn't that of time. days: from the first to the last that is
+    wanted, as days from 1970; the scan gets them as a range of times."""
+    within = F.lit(True)
+    if days:
+        at = lambda d: F.lit(datetime(1970, 1, 1) + timedelta(days=d)).cast("timestamp_ntz")
+        within = (F.col("ts") >= at(days[0])) & (F.col("ts") < at(days[1] + 1))
+    e = _samples(table(spark, sf_dir, "events").where(within)).withColumn("day", F.floor(F.col("seconds") / 86400))
     at = F.struct(F.col("seconds").alias("epoch_seconds"), F.col("nanos").alias("nanoseconds"))
     per = e.groupBy(F.col("source").alias("pvname"), "day").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "seq", "value"))).alias("r"))
     even = F.col("day") % 2 == 0

@@ -143,6 +143,7 @@ def meta_normalise(spark, d):
 
 
 _NOW, _BACK = 1705276800, 3 * 86400
+_DAYS = ((_NOW - _BACK) // 86400, (_NOW + 1) // 86400)  # buckets are of days
 _DATA = f"""WITH {BUCKETS}, hit AS (SELECT pvname, bucket_seq, CAST(n AS INT) AS n_values FROM buckets
  WHERE pvname IN ({{names}}) AND first_ns // 1000000000 >= {_NOW - _BACK} AND first_ns // 1000000000 < {_NOW + 1})
  SELECT * FROM hit WHERE (SELECT count(DISTINCT pvname) FROM hit) = {{n}}"""
@@ -150,12 +151,12 @@ _DATA = f"""WITH {BUCKETS}, hit AS (SELECT pvname, bucket_seq, CAST(n AS INT) AS
 
 @query(_DATA.format(names="'EV:1', 'EV:2', 'EV:3'", n=3))
 def query_sources_data(spark, d):
-    return bk.sources_data(buckets(spark, d), ["EV:1", "EV:2", "EV:3"], _NOW, _BACK)
+    return bk.sources_data(buckets(spark, d, _DAYS), ["EV:1", "EV:2", "EV:3"], _NOW, _BACK)
 
 
 @query(_DATA.format(names="'EV:1', 'EV:2', 'EV:none'", n=3))
 def query_sources_data_missing(spark, d):
-    return bk.sources_data(buckets(spark, d), ["EV:1", "EV:2", "EV:none"], _NOW, _BACK)
+    return bk.sources_data(buckets(spark, d, _DAYS), ["EV:1", "EV:2", "EV:none"], _NOW, _BACK)
 
 
 _NAMES = [f"EV:{k}" for k in range(1, 60)]
