@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,8 +229,10 @@ WILD = 4  # wildcards of a segment: its least certain bits
 SPARE = 6  # bits of a segment beyond those that number the fingerprints
 CENTRES = 3  # of a variant's fingerprints, those that the others are compared with
 EARLY = 8  # the part of all segments that is looked at first
+CHECK = 256  # bits by which candidates are told from chance
+BUNDLE = 1 << 21  # variants of the fingerprints that are looked at together
+PART = 1 << 22  # variants that are looked up together
 FEW = 1 << 20  # ids that are sent to all; more are joined by sort and merge
-_CHECK = 12  # differing bits of 32 that a candidate may have: three and a half deviations over what pairs at the similarity have
 _SALTS = np.random.default_rng(64).integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -283,9 +288,9 @@ def sums(text: bytes | None, shingle: int, words: int) -> tuple[np.ndarray, int]
 
 
 def wide(text: bytes | None, shingle: int, segments: int, width: int) -> tuple[bytes, bytes]:
-    """The fingerprint, segments of `width` bits each and 64 more, and the places of each segment's WILD least certain bits."""
+    """The fingerprint, segments of `width` bits each and CHECK more, and the places of each segment's WILD least certain bits."""
     bits = segments * width
-    ones, n = sums(text, shingle, -(-bits // 64) + 1)
+    ones, n = sums(text, shingle, -(-bits // 64) + CHECK // 64)
     if not n:
         return b"", b""
     margin = np.abs(2 * ones - n)[:bits].reshape(segments, width)
@@ -305,55 +310,175 @@ def _wide(shingle: int, segments: int, width: int):
     return run
 
 
-def _emit(segments: int, width: int, begin: int, end: int):
-    """Fingerprints (id, label, fp, wild) to the variants of segments from begin to end: the number of the segment and of its wildcard (none:
-    width) over the segment's bits."""
+class Shape(NamedTuple):
+    """The segments from begin to end, of `width` bits each, whose variants are looked at."""
+
+    begin: int
+    end: int
+    width: int
+
+
+def _variants_of(fp: np.ndarray, wild: np.ndarray, shape: Shape) -> np.ndarray:
+    """Of fingerprints and wildcards (rows of bytes) the variants, a row for each fingerprint: the number of the segment and of its
+    wildcard (none: width) over the segment's bits."""
+    n, (begin, end, width) = len(fp), shape
     power = np.int64(1) << np.arange(width, dtype=np.int64)
-    number = np.arange(begin, end, dtype=np.int64)[:, None] << 54
+    bits = np.unpackbits(fp, axis=1, bitorder="little")[:, begin * width : end * width].reshape(n, end - begin, width)
+    value = bits.astype(np.int64) @ power
+    places = wild.reshape(n, -1, WILD)[:, begin:end].astype(np.int64)
+    cut = (value[:, :, None] & ~(np.int64(1) << places)) | places << 48
+    found = np.concatenate([(value | width << 48)[:, :, None], cut], axis=2) | (np.arange(begin, end, dtype=np.int64) << 54)[:, None]
+    return found.reshape(n, -1)
+
+
+def _place(variants: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part that a variant is looked up in, and its 32 bits there."""
+    h = variants.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(32)) % np.uint64(parts), h.astype(np.uint32)
+
+
+_BUNDLES = pa.schema([("bundle", pa.int64()), ("ids", pa.binary()), ("labels", pa.binary()), ("fps", pa.binary()), ("wilds", pa.binary())])
+
+
+def _bundles(size: int):
+    """Fingerprints (id, label, fp, wild) in bundles of at most `size`."""
 
     def run(batches):
+        seq = TaskContext.get().partitionId() << 32
+        held: list[list] = [[], [], [], []]
+
+        def flush():
+            nonlocal seq
+            ids, labels, fps, wilds = held
+            packed = (np.array(ids, "<i8").tobytes(), np.array(labels, "<i8").tobytes(), b"".join(fps), b"".join(wilds))
+            row = pa.RecordBatch.from_arrays([pa.array([seq]), *(pa.array([x], pa.binary()) for x in packed)], schema=_BUNDLES)
+            seq += 1
+            for x in held:
+                x.clear()
+            return row
+
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                fp = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                wild = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(part.num_rows, segments, WILD)[:, begin:end].astype(np.int64)
-                bits = np.unpackbits(fp, axis=1, bitorder="little")[:, begin * width : end * width].reshape(part.num_rows, end - begin, width)
-                value = bits.astype(np.int64) @ power
-                cut = (value[:, :, None] & ~(np.int64(1) << wild)) | wild << 48
-                variants = np.concatenate([(value | width << 48)[:, :, None], cut], axis=2) | number
-                each = variants.shape[1] * variants.shape[2]
-                check = np.ascontiguousarray(fp[:, -8:-4]).view("<i4").reshape(-1)
-                one = lambda k: pa.array(np.repeat(part.column(k).to_numpy(), each))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(variants.reshape(-1)), one(1), one(0), pa.array(np.repeat(check, each))], ["variant", "label", "id", "check"])
+            for a in range(0, batch.num_rows, size):
+                part = batch.slice(a, size)
+                if held[0] and len(held[0]) + part.num_rows > size:
+                    yield flush()
+                for k, x in enumerate(held):
+                    x += part.column(k).to_pylist()
+        if held[0]:
+            yield flush()
+        tidy()
 
     return run
 
 
-def _candidates(batches):
-    """Sorted rows (variant, label, id, check): each with the first of the first CENTRES labels of its variant that come before its own."""
-    carry = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-    for batch in batches:
-        held = len(carry[0])
-        v, label, i, c = (np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate(carry))
-        if not len(v):
-            continue
-        first = np.r_[True, v[1:] != v[:-1]]
-        fresh = first | np.r_[True, label[1:] != label[:-1]]
-        centres, number = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-        lowest = np.maximum.accumulate(np.where(first, number, 0))
-        pairs = []
-        for k in range(CENTRES):
-            rows = np.flatnonzero(number - lowest > k)
-            rows = rows[rows >= held]
-            centre = centres[lowest[rows] + k]
-            near = np.bitwise_count((c[rows] ^ c[centre]).view(np.uint32)) <= _CHECK
-            pairs.append(np.stack([i[centre[near]], i[rows[near]]]))
-        # Of the last variant, what rows to come need: its first labels, and the label that goes on.
-        last = np.unique(np.r_[centres[lowest[-1] : lowest[-1] + CENTRES], centres[-1]])
-        carry = [x[last] for x in (v, label, i, c)]
-        found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        if found.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in found], ["a", "b"])
+def _opened(row: dict, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], "<i8")
+    fp = np.frombuffer(row["fps"], np.uint8).reshape(len(ids), -1)
+    return ids, fp, _variants_of(fp, np.frombuffer(row["wilds"], np.uint8).reshape(len(ids), -1), shape)
+
+
+def _spots(shape: Shape, parts: int):
+    """Bundles to (part, bundle, spots): where in each part the bundle has variants, each once, as compressed steps."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for row in batch.to_pylist():
+                part, spot = _place(_opened(row, shape)[2].reshape(-1), parts)
+                places = np.unique(part << np.uint64(32) | spot)
+                cuts = np.searchsorted(places, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+                some = [(k, places[a:b].astype(np.uint32)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                # The steps' bytes by place: their upper ones are few.
+                blobs = [pack.compress(np.diff(x, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()) for _, x in some]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([row["bundle"]] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["part", "bundle", "spots"])
+            tidy()
+
+    return run
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """One part's (part, bundle, spots): of each bundle's spots, which are in other bundles too, as bits."""
+    unpack = zstandard.ZstdDecompressor()
+    each = []
+    for x in table["spots"]:
+        raw = np.frombuffer(unpack.decompress(x.as_py()), np.uint8).reshape(4, -1)
+        each.append(np.cumsum(np.ascontiguousarray(raw.T).view("<u4").reshape(-1), dtype=np.uint32))
+    every = np.sort(np.concatenate(each))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    at = [np.minimum(np.searchsorted(twice, x), max(0, len(twice) - 1)) for x in each]
+    bits = [np.packbits(twice[i] == x).tobytes() if len(twice) else bytes(-(-len(x) // 8)) for i, x in zip(at, each)]
+    return pa.table([table["bundle"], table["part"], pa.array(bits, pa.binary())], ["bundle", "part", "bits"])
+
+
+def _emit(shape: Shape, parts: int):
+    """Bundles with their bits to the rows (variant, label, id, check) of variants that more than one fingerprint has."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, fp, variants = _opened(row, shape)
+                labels = np.frombuffer(row["labels"], "<i8")
+                part, spot = _place(variants.reshape(-1), parts)
+                places, back, times = np.unique(part << np.uint64(32) | spot, return_inverse=True, return_counts=True)
+                shared = times > 1
+                cuts = np.searchsorted(places, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+                for x in row["found"]:
+                    a, b = int(cuts[x["part"]]), int(cuts[x["part"] + 1])
+                    shared[a:b] |= np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: b - a].astype(bool)
+                which = np.flatnonzero(shared[back])
+                who = which // variants.shape[1]
+                checks = [c.tobytes() for c in fp[:, -CHECK // 8 :]]
+                for k in range(0, len(which), 1 << 16):
+                    some = who[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(variants.reshape(-1)[which[k : k + (1 << 16)]]), pa.array(labels[some]), pa.array(ids[some]), pa.array([checks[i] for i in some.tolist()], pa.binary())], ["variant", "label", "id", "check"])
+            tidy()
+
+    return run
+
+
+def _candidates(most: int):
+    """Sorted rows (variant, label, id, check): each with the first of the first CENTRES labels of its variant that come before its own, if
+    their checks differ in `most` bits at most."""
+
+    def run(batches):
+        carry = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, CHECK // 8), np.uint8)]
+        found, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = len(carry[0])
+            check = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CHECK // 8)
+            v, label, i, c = (np.concatenate(x) for x in zip(carry, (*(batch.column(k).to_numpy() for k in range(3)), check)))
+            first = np.r_[True, v[1:] != v[:-1]]
+            fresh = first | np.r_[True, label[1:] != label[:-1]]
+            centres, number = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+            lowest = np.maximum.accumulate(np.where(first, number, 0))
+            for k in range(CENTRES):
+                rows = np.flatnonzero(number - lowest > k)
+                rows = rows[rows >= held]
+                centre = centres[lowest[rows] + k]
+                near = np.bitwise_count(c[rows] ^ c[centre]).sum(axis=1) <= most
+                found.append(np.stack([i[centre[near]], i[rows[near]]]))
+                size += int(near.sum())
+            # Of the last variant, what rows to come need: its first labels, and the label that goes on.
+            last = np.unique(np.r_[centres[lowest[-1] : lowest[-1] + CENTRES], centres[-1]])
+            carry = [x[last] for x in (v, label, i, c)]
+            if size > 1 << 20:  # most are told more than once
+                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                size = found[0].shape[1]
+                if size > 1 << 19:
+                    yield _pair_batch(found.pop())
+                    size = 0
+        if found and size:
+            yield _pair_batch(np.unique(np.concatenate(found, axis=1), axis=1))
+
+    return run
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs], ["a", "b"])
 
 
 def _compare(bits: int, least: float, most: float):
@@ -396,6 +521,24 @@ def _verify(shingle: int, similarity: float):
     return run
 
 
+def _paired(known: DataFrame, shape: Shape, most: int) -> DataFrame:
+    """known (id, label, fp, wild): candidates (a, b), pairs of ids of different labels, from the segments of `shape`.
+
+    Most variants are of one fingerprint alone. Which aren't is found out from some bits of each variant: bundles of fingerprints send these
+    out packed, and get back a bit for each; only variants that are shared are sent out as rows."""
+    spark = known.sparkSession
+    each = (shape.end - shape.begin) * (1 + WILD)
+    dealt = known.repartition(partitions(spark))
+    bundles = stage(dealt.mapInArrow(_bundles(max(64, BUNDLE // each)), "bundle long, ids binary, labels binary, fps binary, wilds binary"), "bundles")
+    parts = max(partitions(spark), known.count() * each // PART)
+    spots = bundles.mapInArrow(_spots(shape, parts), "part int, bundle long, spots binary")
+    shared = spots.groupBy("part").applyInArrow(_shared, "bundle long, part int, bits binary")
+    shared = shared.groupBy("bundle").agg(F.collect_list(F.struct("part", "bits")).alias("found"))  # a bit for each variant of a bundle
+    rows = bundles.join(shared.hint("merge"), "bundle").select("ids", "labels", "fps", "wilds", "found")
+    rows = rows.mapInArrow(_emit(shape, parts), "variant long, label long, id long, check binary")
+    return rows.repartition(partitions(spark), "variant").sortWithinPartitions("variant", "label", "id").mapInArrow(_candidates(most), "a long, b long")
+
+
 def _by_texts(docs: DataFrame, first: DataFrame, open_: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """open_ (src, dst, src_root, dst_root), pairs of ids: (src, dst), roots of those whose texts are similar. A doc_id that rows repeat has
     several texts; one of them is enough."""
@@ -417,7 +560,8 @@ def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float =
     segments, each differs by at most one bit with some chance, and enough are taken that a pair is found with the chance of `recall`.
     A segment's variants have its least certain bits as wildcards, those that differ most often. Variants are joined by equality, by
     sorting: the others of a variant are compared with its CENTRES first, so that a group of copies of any size costs its size, and a
-    variant of any size is streamed. One part in EARLY of the segments goes first; the rest compares only what that hasn't joined. Candidates are checked over 32 bits there, and over all bits once, which decides where the
+    variant of any size is streamed. One part in EARLY of the segments goes first; the rest compares only what that hasn't joined.
+    Candidates are checked over CHECK bits there, and over all bits once, which decides where the
     fingerprints are three deviations from the similarity; the pairs between, of those that would join something, are decided by their
     texts.
     Texts without words have one fingerprint of their own. Texts are taken whole; an empty table gives an empty result."""
@@ -429,22 +573,19 @@ def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float =
     first = stage(first.withColumn("id", F.monotonically_increasing_id()), "distinct")
     bits, aim = segments * width, differing(similarity)
     doubt = 3 * float(np.sqrt(aim * (1 - aim) / bits))
+    check = int(CHECK * aim + 3 * float(np.sqrt(CHECK * aim * (1 - aim))))
     # A few segments first: what they join isn't compared again among itself.
     few = -(-segments // EARLY)
-    labels, links = None, None
+    labels, links = first.select("id", F.col("id").alias("label")), None
     for begin, end in ((0, few), (few, segments)):
-        known = first.where("length(fp) > 0").select("id", "fp", "wild")
-        known = known.withColumn("label", F.col("id")) if labels is None else known.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        rows = known.select("id", "label", "fp", "wild").repartition(partitions(spark)).mapInArrow(_emit(segments, width, begin, end), "variant long, label long, id long, check int")
-        pairs = rows.repartition(partitions(spark), "variant").sortWithinPartitions("variant", "label", "id").mapInArrow(_candidates, "a long, b long")
-        pairs = stage(pairs.distinct(), "candidates")
+        known = first.where("length(fp) > 0").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "fp", "wild")
+        pairs = stage(_paired(known, Shape(begin, end, width), check).distinct(), "candidates")
         of = lambda c, f: first.select(F.col("id").alias(c), F.col("fp").alias(f)).hint("merge")
         both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
         found = stage(both.mapInArrow(_compare(bits, aim - doubt, aim + doubt), "src long, dst long, sure boolean"), "similar")
         links = found if links is None else links.unionByName(found)
         roots = stage(components(links.where("sure").select("src", "dst")), "roots")
-        least = roots.groupBy("root").agg(F.min("id").alias("label"))
-        labels = stage(roots.join(least, "root").select("id", "label"), "labels")
+        labels = stage(roots.join(roots.groupBy("root").agg(F.min("id").alias("label")), "root").select("id", "label"), "labels")
     # Of the others, those that would join something are looked at by their texts.
     root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
     open_ = links.where("not sure").select("src", "dst").join(root("src"), "src", "left").join(root("dst"), "dst", "left")

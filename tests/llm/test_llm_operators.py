@@ -205,6 +205,49 @@ def test_bits_are_signs_of_sums():
     assert (ones == want).all()
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_only_shared_variants_are_sent(parts):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(parts)
+    segments, width = 6, 8
+    n, size = 90, -(-segments * width // 64) * 8 + simhash.CHECK // 8
+    fp = rng.integers(0, 256, (n, size), dtype=np.uint8)
+    fp[60:] = fp[:30]
+    fp[60:, 0] ^= 1 << (rng.integers(0, 8, 30)).astype(np.uint8)
+    wild = np.stack([rng.permutation(width)[: simhash.WILD] for _ in range(n * segments)]).astype(np.uint8).reshape(n, -1)
+    ids = np.arange(n) * 3 + 5
+    cuts = [0, 40, 41, n]
+    shape = simhash.Shape(1, segments, width)
+    rows = [{"bundle": k, "labels": ids[a:b].astype("<i8").tobytes(), "ids": ids[a:b].astype("<i8").tobytes(), "fps": fp[a:b].tobytes(), "wilds": wild[a:b].tobytes()} for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    spots = pa.Table.from_batches(simhash._spots(shape, parts)([pa.RecordBatch.from_pylist(rows, schema=simhash._BUNDLES)]))
+    found = {}
+    for part in range(parts):
+        mine = spots.filter(pa.array(np.asarray(spots["part"]) == part))
+        for r in simhash._shared(mine).to_pylist() if mine.num_rows else ():
+            found.setdefault(r["bundle"], []).append({"part": r["part"], "bits": r["bits"]})
+    whole = pa.RecordBatch.from_pylist([{**{k: r[k] for k in ("ids", "labels", "fps", "wilds")}, "found": found[r["bundle"]]} for r in rows])
+    got = Counter((r["variant"], r["id"], r["check"]) for b in simhash._emit(shape, parts)([whole]) for r in b.to_pylist())
+    variants = simhash._variants_of(fp, wild, shape)
+    times = Counter(variants.reshape(-1).tolist())
+    want = Counter((v, int(i), f[-simhash.CHECK // 8 :].tobytes()) for i, f, row in zip(ids, fp, variants) for v in row.tolist() if times[v] > 1)
+    assert got == want and 0 < sum(got.values()) < variants.size
+    # Each with the first ones of its variant, whatever the batches are.
+    order = sorted(got)
+    for joined in (1, 4):  # some have the label of others
+        labelled = sorted((v, i // joined, i, c) for v, i, c in order)
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("variant", "label", "id", "check"), r)) for r in labelled[a : a + 17]]) for a in range(0, len(order), 17)]
+        pairs = {(r["a"], r["b"]) for b in simhash._candidates(simhash.CHECK)(batches) for r in b.to_pylist()}
+        by = {}
+        for v, label, i, _ in labelled:
+            by.setdefault(v, {}).setdefault(label, []).append(i)
+        want = set()
+        for x in by.values():
+            firsts = [ids[0] for ids in x.values()]
+            want |= {(firsts[k], y) for n, ids in enumerate(x.values()) for k in range(min(n, simhash.CENTRES)) for y in ids}
+        assert pairs == want
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5000), (None, 3)]
     got = components.components(spark.createDataFrame(links, "src long, dst long")).collect()

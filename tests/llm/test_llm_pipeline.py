@@ -74,3 +74,38 @@ def test_registered(spark):
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def plain_run(spark, docs, path):
+    docs.write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    return corpus_pipeline.run(spark, path).collect()
+
+
+def test_run_on_odd_tables(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    # Columns whose names stages use themselves.
+    clashing = docs.select("*", *[F.lit(k).alias(k) for k in ("f", "row", "fp", "id", "size", "k", "n", "copies", "rows", "label", "first", "kept", "h", "salt", "i")])
+    assert plain_run(spark, clashing.limit(0), str(tmp_path / "empty")) == []
+    plain = Counter(map(tuple, plain_run(spark, docs, str(tmp_path / "plain"))))
+    assert Counter(map(tuple, plain_run(spark, clashing, str(tmp_path / "clashing")))) == plain
+    # Rows that come twice are one document, whatever else is there; a very long text is taken whole.
+    words = [f"word{k * 7919 % 99991}" for k in range(400_000)]
+    long = spark.createDataFrame([(900_001, " ".join(words), "en", "src0", 0), (900_002, " ".join([*words, "more"]), "en", "src0", 0)], docs.schema)
+    both = docs.unionByName(docs.where("doc_id < 50")).unionByName(long)
+    got = plain_run(spark, both, str(tmp_path / "both"))
+    times = Counter(r.doc_id for r in got)
+    assert 900_002 not in times and max(times.values()) <= 2
+    by_id = {r.doc_id: r.n_tokens for r in got}
+    assert by_id.get(900_001, 400_001) > 400_000
+    assert {r[0] for r in plain} - set(times) <= set(range(10**6))
+
+
+def test_stages_keep_rows_without_ids_apart(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, text, "en", None), (None, text, "en", None), (1, text, "en", "a"), (1, text, "en", "a"), (2, None, None, None), (3, "", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.quality_rules(spark, docs, "")
+    assert Counter(r.doc_id for r in kept.collect()) == {None: 2, 1: 2}
+    assert Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, kept, "").collect()) == {None: 2, 1: 1}
+    assert Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == {None: 2, 1: 1, 2: 1}
+    assert {r.doc_id for r in corpus_pipeline.tokenise(spark, docs, "").collect()} == {None, 1, 2, 3}
