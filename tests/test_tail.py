@@ -94,3 +94,17 @@ def test_a_shorter_lookback_leaves_gaps(spark, live, tmp_path):
 def test_a_longer_lookback_is_refused():
     with pytest.raises(ValueError):
         pbhttp.PbHttpTail({"poll_s": "2", "lookback_s": "3", "pvs": "a", "hostname": "h"})
+
+
+def test_polls_keep_apart(monkeypatch):
+    """Triggers are aligned to multiples of their interval, so that the second may follow the first at once."""
+    now = [1_700_000_000_000]
+    monkeypatch.setattr(pbhttp.time, "time_ns", lambda: now[0] * 1_000_000)
+    reader = pbhttp.PbHttpTail({"poll_s": "3", "lookback_s": "1", "pvs": "a", "hostname": "h"})
+    ends = []
+    for step in (0, 400, 2600, 3000, 3010, 2990, 100):
+        now[0] += step
+        ends.append(reader.latestOffset()["to_ms"] - 1_700_000_000_000)
+    assert ends == [0, 0, 3000, 6000, 9010, 12000, 12000]
+    (one,) = reader.partitions({"to_ms": 0}, {"to_ms": 5000})
+    assert (one.begin, one.end) == (pbhttp.iso_millis(4000), pbhttp.iso_millis(5000))
