@@ -52,8 +52,7 @@ NOTICES = {
 SPDX = {"Apache": "apache-.*", "MIT": "mit(-.*)?", "GPL": "gpl-.*", "LGPL": "lgpl-.*", "AGPL": "agpl-.*", "BSD": "(0?bsd|bsd-.*)", "MPL": "mpl-.*", "CC-BY-NC": "cc-by-nc-.*", "CC-BY-SA": "cc-by-sa-.*", "CC-BY": "cc-by-[0-9].*", "public domain": "(cc0-.*|unlicense)"}
 UNKNOWN = "unknown"
 FAMILIES = [*TEMPLATES, UNKNOWN]
-#: A paragraph or line without any of these isn't a notice here, whatever the classifier would say, and isn't looked at. Every template and
-#: every sentence of NOTICES but a few has one.
+#: Words of legal matters: paragraphs with one are counted, whatever they are judged to be. They decide nothing else: all are judged.
 ANCHORS = r"licen[cs]|copyright|reserved|permission|permitted|domain|commons|redistribut|\bcc\b|\bcc0|gnu|mozilla|apache|\bmit\b|\bbsd|spdx"
 _NOISE = "the of and to in that is was for on with as by at from this be are or an it which has had not but all were one their there".split()
 _LEGAL = "license licensed licence copyright permission permitted public rights version terms under general work released free driver driving fishing granted council office holder fee plate exam holders music reserved seats gnu herd redistribution wealth".split()
@@ -127,86 +126,119 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return weights, spark.createDataFrame(rows, "gram string, family string, template int, size int")
 
 
-def _grams(text: str) -> Column:
-    w = f"regexp_extract_all(lower({text}), '[a-z0-9]+', 0)"
+@lru_cache(maxsize=1)
+def _words() -> str:
+    """The words of all n-grams with a weight or in a template, as a list in SQL."""
+    grams = [*model()[0], *(g for texts in TEMPLATES.values() for t in texts for g in grams_of(words_of(t)))]
+    return ", ".join(f"'{w}'" for w in sorted({w for g in grams for w in g.split()}))
+
+
+def _known(lines: str) -> str:
+    """SQL of an array of lines as strings of their known words, two spaces where others are between; lines without words are left out. No
+    n-gram with a weight or in a template holds any other word, so these strings tell all that the classifier looks at."""
+    words = f"filter(transform({lines}, x -> regexp_extract_all(lower(x), '[a-z0-9]+', 0)), w -> size(w) > 0)"
+    return f"transform({words}, w -> array_join(transform(w, x -> if(x in ({_words()}), x, '')), ' '))"
+
+
+def _piece(known: str) -> str:
+    return f"trim(regexp_replace({known}, ' {{3,}}', '  '))"
+
+
+def _grams(piece: str) -> Column:
+    """The distinct n-grams of a string of known words."""
     runs = [f"transform(sequence(1, greatest(1, size(w) - {n - 1})), i -> array_join(slice(w, i, {n}), ' '))" for n in (1, 2, 3)]
-    return F.expr(f"array_distinct(flatten(transform(array({w}), w -> concat({', '.join(runs)}))))")
+    return F.expr(f"array_distinct(flatten(transform(split({piece}, '  '), r -> flatten(transform(array(split(r, ' ')), w -> concat({', '.join(runs)}))))))")
 
 
-def classify(paragraphs: DataFrame) -> DataFrame:
-    """paragraphs (paragraph, distinct). Adds family, probability (calibrated) and overlap (the largest share of one of the family's
-    templates found in the paragraph, in word n-grams). family is `unknown` where that is the likeliest class, where no family reaches
-    SURE, or where no template of the family reaches OVERLAP."""
-    weights, templates = _tables(paragraphs.sparkSession)
+def _judged(pieces: DataFrame) -> DataFrame:
+    """pieces (piece: known words, distinct). Adds family, probability and overlap, see classify(). All that is grouped and joined is dealt
+    by piece once."""
+    weights, templates = _tables(pieces.sparkSession)
     _, bias, heat = model()
-    grams = paragraphs.select("paragraph", F.explode(_grams("paragraph")).alias("gram"))
+    pieces = pieces.repartition("piece")
+    grams = pieces.select("piece", F.explode(_grams("piece")).alias("gram"))
     # The weights and the templates are bounded by GRAMS_AT_MOST and TEMPLATES.
-    sums = grams.join(F.broadcast(weights), "gram").groupBy("paragraph").agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(FAMILIES))])
-    rows = paragraphs.join(sums, "paragraph", "left")
+    sums = grams.join(F.broadcast(weights), "gram").groupBy("piece").agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(FAMILIES))])
+    rows = pieces.join(sums.hint("merge"), "piece", "left")
     logits = F.array(*[(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + bias[k]) / heat for k in range(len(FAMILIES))])
-    rows = rows.select("paragraph", logits.alias("z")).withColumn("top", F.array_max("z"))
+    rows = rows.select("piece", logits.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
     names = F.array(*map(F.lit, FAMILIES))
-    rows = rows.select("paragraph", F.element_at(names, F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / total).alias("probability"))
-    found = grams.join(F.broadcast(templates), "gram").groupBy("paragraph", "family", "template").agg((F.count("*") / F.first("size")).alias("share"))
-    found = found.groupBy("paragraph", "family").agg(F.max("share").alias("overlap"))
-    rows = rows.join(found, ["paragraph", "family"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+    rows = stage(rows.select("piece", F.element_at(names, F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / total).alias("probability")), "scores")
+    # Only families have templates.
+    likely = rows.where(F.col("family") != UNKNOWN).select("piece", "family", F.explode(_grams("piece")).alias("gram"))
+    found = likely.join(F.broadcast(templates), ["gram", "family"]).groupBy("piece", "template").agg((F.count("*") / F.first("size")).alias("share"))
+    found = found.groupBy("piece").agg(F.max("share").alias("overlap"))
+    rows = rows.join(found, "piece", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
     sure = (F.col("family") != UNKNOWN) & (F.col("probability") >= SURE) & (F.col("overlap") >= OVERLAP)
     return rows.withColumn("family", F.when(sure, F.col("family")).otherwise(UNKNOWN))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, paragraph): the paragraphs of whole texts, which are runs of lines that hold more than marks, of which one holds one of
-    ANCHORS; numbered from 0 within the text, trimmed."""
-    text = "regexp_replace(text, '\\\\r\\\\n?', '\n')"
-    parts = F.expr(f"filter(transform(split({text}, '\\\\n(?:[^\\\\p{{L}}\\\\p{{N}}\\\\n]*\\\\n)+'), (p, i) -> named_struct('n', i, 'paragraph', trim(BOTH ' \t\n' FROM p))), x -> rlike(x.paragraph, '(?i){ANCHORS}'))")
-    # The whole text is tested first: most have no anchor and aren't split.
-    return docs.select("doc_id", "text").where(F.col("text").rlike(f"(?i){ANCHORS}")).select("doc_id", F.inline(parts))
-
-
-def _pieces(found: DataFrame) -> DataFrame:
-    """(paragraph, piece) of distinct paragraphs: the whole, in which notices may run over lines, and each line with an anchor, which may
-    be a notice by itself."""
-    lines = f"filter(transform(split(paragraph, '\n'), x -> trim(x)), x -> rlike(x, '(?i){ANCHORS}'))"
-    return found.select("paragraph", F.explode(F.expr(f"array_distinct(concat(array(paragraph), {lines}))")).alias("piece"))
+def classify(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs (paragraph, distinct). Adds family, probability (calibrated) and overlap (the largest share of one of the family's
+    templates found in the paragraph, in word n-grams). family is `unknown` where that is the likeliest class, where no family reaches
+    SURE, or where no template of the family reaches OVERLAP."""
+    known = f"array_join({_known('array(paragraph)')}, ' ')"
+    rows = paragraphs.select("paragraph", F.expr(_piece(known)).alias("piece"))
+    return rows.join(_judged(rows.select("piece").distinct()), "piece").drop("piece")
 
 
-def _declared(found: DataFrame) -> DataFrame:
-    """(paragraph, family, probability, overlap) of distinct paragraphs: families that SPDX lines name, which are certain."""
-    names = F.expr("flatten(transform(regexp_extract_all(lower(paragraph), 'spdx-license-identifier:([^\n]*)', 1), x -> regexp_extract_all(x, '[a-z0-9.+-]+', 0)))")
-    rows = found.select("paragraph", F.explode(names).alias("name"))
-    family = F.coalesce(*[F.when(F.col("name").rlike(f"^{p}$"), F.lit(k)) for k, p in SPDX.items()])
-    return rows.select("paragraph", family.alias("family"), F.lit(1.0).alias("probability"), F.lit(1.0).alias("overlap")).where("family is not null")
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, paragraph): the paragraphs of whole texts, which are runs of lines that hold more than marks; numbered from 0 within
+    the text, trimmed. Those without letters and digits are none."""
+    text = "regexp_replace(text, '\\\\r\\\\n?', '\n')"
+    parts = F.expr(f"filter(transform(split({text}, '\\\\n(?:[^\\\\p{{L}}\\\\p{{N}}\\\\n]*\\\\n)+'), (p, i) -> named_struct('n', i, 'paragraph', trim(BOTH ' \t\n' FROM p))), x -> rlike(x.paragraph, '[\\\\p{{L}}\\\\p{{N}}]'))")
+    return docs.select("doc_id", F.inline(parts))
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    """The paragraphs, and of each: anchored (it holds one of ANCHORS), named (families that SPDX lines name) and pieces (known words of
+    the whole, in which notices may run over lines, and of each line, which may be a notice by itself; distinct)."""
+    rows = paragraphs(docs).withColumn("lines", F.expr(_known("split(paragraph, '\n')")))
+    pieces = F.expr(f"array_distinct(transform(concat(array(array_join(lines, ' ')), lines), x -> {_piece('x')}))")
+    names = "flatten(transform(regexp_extract_all(lower(paragraph), 'spdx-license-identifier:([^\n]*)', 1), x -> regexp_extract_all(x, '[a-z0-9.+-]+', 0)))"
+    family = " ".join(f"when rlike(x, '^{p}$') then '{k}'" for k, p in SPDX.items())
+    named = F.expr(f"filter(transform({names}, x -> case {family} end), x -> x is not null)")
+    return rows.select("doc_id", "n", "paragraph", F.col("paragraph").rlike(f"(?i){ANCHORS}").alias("anchored"), named.alias("named"), pieces.alias("pieces"))
+
+
+def _verdicts(found: DataFrame) -> DataFrame:
+    """found, as _read() gives it: its columns and family, probability, overlap and families, see scan()."""
+    found = stage(found.withColumn("row", F.monotonically_increasing_id()), "paragraphs")
+    pieces = found.select("row", F.explode("pieces").alias("piece"))
+    judged = stage(_judged(pieces.select("piece").distinct()), "families")
+    certain = F.lit(1.0)
+    named = found.select("row", F.explode("named").alias("family"), certain.alias("probability"), certain.alias("overlap"))
+    # Both grow with the documents, so neither is broadcast, whatever the sizes guessed.
+    each = pieces.join(judged.hint("merge"), "piece").select("row", "family", "probability", "overlap").unionByName(named)
+    ok = F.col("family") != UNKNOWN
+    order = F.struct(ok.cast("int"), "probability", "overlap", "family")
+    each = each.groupBy("row").agg(F.max(order).alias("top"), F.array_sort(F.collect_set(F.when(ok, F.col("family")))).alias("families"))
+    return found.drop("named", "pieces").join(each.hint("merge"), "row").select(*[c for c in found.columns if c not in ("named", "pieces", "row")], "top.family", "top.probability", "top.overlap", "families")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, …). Returns (doc_id, n, paragraph, family, probability, overlap, families): a row for each paragraph with an
-    anchor. families: those confirmed (sorted) in the paragraph as a whole, in its lines, or named by SPDX lines; family: the likeliest of
-    these, else `unknown`; probability and overlap belong to it, and of equally likely ones the greatest name. Equal paragraphs are classified
-    once. Null and empty texts have none; texts are read whole, and a paragraph may be as long as its text; repeated rows give repeated
-    paragraphs; an empty table gives an empty result; other columns aren't looked at."""
-    found = stage(paragraphs(docs), "paragraphs")
-    distinct = found.select("paragraph").distinct()
-    pieces = stage(_pieces(distinct), "pieces")
-    judged = stage(classify(pieces.select(F.col("piece").alias("paragraph")).distinct()), "families").withColumnRenamed("paragraph", "piece")
-    each = pieces.join(judged, "piece").select("paragraph", "family", "probability", "overlap").unionByName(_declared(distinct))
-    ok = F.col("family") != UNKNOWN
-    order = F.struct(ok.cast("int"), "probability", "overlap", "family")
-    each = each.groupBy("paragraph").agg(F.max_by(F.struct("family", "probability", "overlap"), order).alias("top"), F.array_sort(F.collect_set(F.when(ok, F.col("family")))).alias("families"))
-    return found.join(each, "paragraph").select("doc_id", "n", "paragraph", "top.*", "families")
+    """docs (doc_id, text, …). Returns (doc_id, n, paragraph, anchored, family, probability, overlap, families): a row for each paragraph.
+    anchored: whether it holds one of ANCHORS. families: those confirmed (sorted) in the paragraph as a whole, in its lines, or named by SPDX
+    lines; family: the likeliest of these, else `unknown`; probability and overlap belong to it, and of equally likely ones the greatest
+    name. All paragraphs and lines are judged, those alike in all known words once. Null and empty texts have none; texts are read whole, and a
+    paragraph may be as long as its text; repeated rows give repeated paragraphs; an empty table gives an empty result; other columns
+    aren't looked at."""
+    return _verdicts(_read(docs))
 
 
 def by_document(docs: DataFrame) -> DataFrame:
-    """A row for each doc_id of docs: doc_id, n_paragraphs (with an anchor), n_confirmed, families (sorted, joined by commas; empty if
-    none is confirmed), probability (the least of the confirmed; null if none). Rows that share a doc_id count together, null doc_ids too;
-    texts without anchors have no paragraphs; an empty table gives an empty result."""
+    """A row for each doc_id of docs: doc_id, n_paragraphs (with an anchor or confirmed), n_confirmed, families (sorted, joined by commas; empty
+    if none is confirmed), probability (the least of the confirmed; null if none), n_judged (all paragraphs). Rows that share a doc_id count
+    together, null doc_ids too; texts without letters and digits have no paragraphs; an empty table gives an empty result."""
     ok = F.col("family") != UNKNOWN
-    each = scan(docs).groupBy("doc_id").agg(
-        F.count("*").alias("n_paragraphs"),
+    each = _verdicts(_read(docs).drop("paragraph")).groupBy("doc_id").agg(
+        F.count_if(F.col("anchored") | ok).alias("n_paragraphs"),
         F.count_if(ok).alias("n_confirmed"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))), ",").alias("families"),
         F.min(F.when(ok, F.col("probability"))).alias("probability"),
+        F.count("*").alias("n_judged"),
     )
     ids = docs.select("doc_id").distinct()
     rows = ids.join(each.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
-    return rows.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_paragraphs", "n_confirmed")], F.coalesce("families", F.lit("")).alias("families"), "probability")
+    return rows.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_paragraphs", "n_confirmed")], F.coalesce("families", F.lit("")).alias("families"), "probability", F.coalesce("n_judged", F.lit(0)).alias("n_judged"))

@@ -637,6 +637,29 @@ def test_licenses_of_odd_rows(spark, odd):
     assert {r.doc_id for r in licenses.by_document(odd).collect()} == {r.doc_id for r in odd.collect()}
 
 
+#: Notices without a word of licenses.ANCHORS.
+UNANCHORED = [
+    ("MIT", "This notice shall be included in all copies or substantial portions of the Software."),
+    ("BSD", "and use in source and binary forms, with or without modification, provided that the following conditions are met."),
+    ("GPL", "You should have received a copy of the General Public along with this program."),
+    ("public domain", "This is free and unencumbered software released into the public."),
+]
+
+
+def test_licenses_without_anchors_are_judged(spark):
+    """Each as a paragraph, as a line within one, and over two lines; and paragraphs of prose are judged as well."""
+    assert not any(re.search(licenses.ANCHORS, x, re.I) for _, x in UNANCHORED)
+    prose = "the herd moved on\nand of the rest"
+    shapes = [lambda x: f"{prose}\n\n{x}", lambda x: f"{'a b c ' * 90}\n{x}\n{prose}\n\n{prose}", lambda x: prose + "\n\n" + x.replace(" and ", "\nand ").replace(" the ", "\n é ç\nthe ")]
+    rows = [(10 * k + i, f(x)) for k, f in enumerate(shapes) for i, (_, x) in enumerate(UNANCHORED)]
+    got = {r.doc_id: r for r in licenses.by_document(spark.createDataFrame([*rows, (99, prose)], "doc_id long, text string")).collect()}
+    for i, _ in rows:
+        assert (got[i].families, got[i].n_judged, got[i].n_confirmed, got[i].n_paragraphs) == (UNANCHORED[i % 10][0], 2, 1, 1)
+    assert (got[99].families, got[99].n_judged, got[99].n_paragraphs) == ("", 1, 0)
+    found = licenses.scan(spark.createDataFrame(rows[:4], "doc_id long, text string")).where("n = 0").collect()
+    assert len(found) == 4 and {(r.paragraph, r.anchored, r.family) for r in found} == {(prose, False, "unknown")}
+
+
 def test_license_paragraphs_have_anchors():
     assert all(re.search(licenses.ANCHORS, t, re.I) for v in licenses.TEMPLATES.values() for t in v)
 
