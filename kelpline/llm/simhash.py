@@ -412,8 +412,9 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table([table["bundle"], table["part"], pa.array(bits, pa.binary())], ["bundle", "part", "bits"])
 
 
-def _emit(shape: Shape, parts: int):
-    """Bundles with their bits to the rows (variant, label, id, check) of variants that more than one fingerprint has."""
+def _emit(shape: Shape, parts: int, apart: bool = False):
+    """Bundles with their bits to the rows (variant, label, id, check) of variants that more than one fingerprint has. apart: variants that are
+    in one bundle only, and of one label there, are left out, and check is the whole fingerprint."""
 
     def run(batches):
         for batch in batches:
@@ -423,13 +424,17 @@ def _emit(shape: Shape, parts: int):
                 part, spot = _place(variants.reshape(-1), parts)
                 places, back, times = np.unique(part << np.uint64(32) | spot, return_inverse=True, return_counts=True)
                 shared = times > 1
+                if apart:
+                    order, begin = np.argsort(back, kind="stable"), np.cumsum(times) - times
+                    of = np.repeat(labels, variants.shape[1])[order]
+                    shared = np.minimum.reduceat(of, begin) < np.maximum.reduceat(of, begin)
                 cuts = np.searchsorted(places, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
                 for x in row["found"]:
                     a, b = int(cuts[x["part"]]), int(cuts[x["part"] + 1])
                     shared[a:b] |= np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: b - a].astype(bool)
                 which = np.flatnonzero(shared[back])
                 who = which // variants.shape[1]
-                checks = [c.tobytes() for c in fp[:, -CHECK // 8 :]]
+                checks = [c.tobytes() for c in (fp if apart else fp[:, -CHECK // 8 :])]
                 for k in range(0, len(which), 1 << 16):
                     some = who[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(variants.reshape(-1)[which[k : k + (1 << 16)]]), pa.array(labels[some]), pa.array(ids[some]), pa.array([checks[i] for i in some.tolist()], pa.binary())], ["variant", "label", "id", "check"])
@@ -477,6 +482,52 @@ def _candidates(most: int):
     return run
 
 
+def _every(least: float, most: float):
+    """Sorted rows (variant, label, id, whole fingerprint): each with all of its variant that come before its label, if they differ in a share
+    of `most` bits at most, and whether in `least` at most. What is held is one variant's rows."""
+
+    def run(batches):
+        carry, found, size = None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            mine = [*(batch.column(k).to_numpy() for k in range(3)), fp]
+            held = len(carry[0]) if carry else 0
+            v, label, i, c = (np.concatenate(x) for x in zip(carry, mine)) if carry else mine
+            first = np.r_[True, v[1:] != v[:-1]]
+            fresh = first | np.r_[True, label[1:] != label[:-1]]
+            at = np.arange(len(v))
+            begin = np.maximum.accumulate(np.where(first, at, 0))
+            before = (np.maximum.accumulate(np.where(fresh, at, 0)) - begin)[held:]  # rows of other labels that come before
+            rows = np.argsort(-before, kind="stable")
+            counts = np.searchsorted(-before[rows], -np.arange(before.max()))  # how many rows have more than k of them
+            for k, n in enumerate(counts.tolist()):
+                own = rows[:n] + held
+                other = begin[own] + k
+                off = np.bitwise_count(c[own] ^ c[other]).sum(axis=1) / (64 * c.shape[1])
+                near = off <= most
+                if near.any():
+                    x, y = i[own[near]], i[other[near]]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y), off[near] <= least]))
+                    size += len(x)
+                if size > 1 << 20:  # most are told more than once
+                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                    size = found[0].shape[1]
+                    if size > 1 << 19:
+                        yield _sure_batch(found.pop())
+                        size = 0
+            carry = [x[begin[-1] :] for x in (v, label, i, c)]
+        if size:
+            yield _sure_batch(np.unique(np.concatenate(found, axis=1), axis=1))
+
+    return run
+
+
+def _sure_batch(found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in found[:2]), pa.array(found[2].astype(bool))], ["src", "dst", "sure"])
+
+
 def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs], ["a", "b"])
 
@@ -521,22 +572,35 @@ def _verify(shingle: int, similarity: float):
     return run
 
 
-def _paired(known: DataFrame, shape: Shape, most: int) -> DataFrame:
-    """known (id, label, fp, wild): candidates (a, b), pairs of ids of different labels, from the segments of `shape`.
+def _shared_rows(known: DataFrame, shape: Shape, apart: bool = False) -> DataFrame:
+    """known (id, label, fp, wild): the rows (variant, label, id, check) of _emit() from the segments of `shape`, in order of the first three.
 
     Most variants are of one fingerprint alone. Which aren't is found out from some bits of each variant: bundles of fingerprints send these
-    out packed, and get back a bit for each; only variants that are shared are sent out as rows."""
+    out packed, and get back a bit for each; only variants that are shared are sent out as rows. apart: labels are dealt out by ranges, so
+    that most are in one bundle, and variants of one label there aren't sent."""
     spark = known.sparkSession
     each = (shape.end - shape.begin) * (1 + WILD)
-    dealt = known.repartition(partitions(spark))
+    dealt = known.repartitionByRange(partitions(spark), "label", "id") if apart else known.repartition(partitions(spark))
     bundles = stage(dealt.mapInArrow(_bundles(max(64, BUNDLE // each)), "bundle long, ids binary, labels binary, fps binary, wilds binary"), "bundles")
     parts = max(partitions(spark), known.count() * each // PART)
     spots = bundles.mapInArrow(_spots(shape, parts), "part int, bundle long, spots binary")
     shared = spots.groupBy("part").applyInArrow(_shared, "bundle long, part int, bits binary")
     shared = shared.groupBy("bundle").agg(F.collect_list(F.struct("part", "bits")).alias("found"))  # a bit for each variant of a bundle
     rows = bundles.join(shared.hint("merge"), "bundle").select("ids", "labels", "fps", "wilds", "found")
-    rows = rows.mapInArrow(_emit(shape, parts), "variant long, label long, id long, check binary")
-    return rows.repartition(partitions(spark), "variant").sortWithinPartitions("variant", "label", "id").mapInArrow(_candidates(most), "a long, b long")
+    rows = rows.mapInArrow(_emit(shape, parts, apart), "variant long, label long, id long, check binary")
+    return rows.repartition(partitions(spark), "variant").sortWithinPartitions("variant", "label", "id")
+
+
+def _paired(known: DataFrame, shape: Shape, most: int) -> DataFrame:
+    """known (id, label, fp, wild): candidates (a, b), pairs of ids of different labels, from the segments of `shape`: those with a variant's
+    CENTRES."""
+    return _shared_rows(known, shape).mapInArrow(_candidates(most), "a long, b long")
+
+
+def _left(known: DataFrame, shape: Shape, least: float, most: float) -> DataFrame:
+    """known (id, label, fp, wild): (src, dst, sure), all pairs of ids of different labels that share a variant of `shape` and differ in a share of
+    `most` bits at most. Every pair of a variant is looked at, so that a variant takes time by the pairs that aren't of one label."""
+    return _shared_rows(known, shape, True).mapInArrow(_every(least, most), "src long, dst long, sure boolean").distinct()
 
 
 def _by_texts(docs: DataFrame, first: DataFrame, open_: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -552,6 +616,18 @@ def _by_texts(docs: DataFrame, first: DataFrame, open_: DataFrame, shingle: int,
     return found.distinct()
 
 
+def _open(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    """pairs (src, dst), each (id, first, root): (src, dst, src_root, dst_root) of pairs that aren't joined."""
+    root = lambda c: each.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")).hint("merge")
+    return pairs.join(root("src"), "src").join(root("dst"), "dst").select("src", "dst", "src_root", "dst_root").where("src_root <> dst_root")
+
+
+def _joined(each: DataFrame, links: DataFrame) -> DataFrame:
+    """each (id, first, root) with the roots that links (src, dst) between roots give."""
+    more = stage(components(links).select(F.col("id").alias("root"), F.col("root").alias("last")), "more")
+    return stage(each.join(more, "root", "left").select("id", "first", F.coalesce("last", "root").alias("root")), "linked")
+
+
 def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """docs (doc_id, text, …). Returns (fp, first, component_id, rows), a row for each different fingerprint: the smallest doc_id that has it, the
     smallest that links reach, and how many rows of docs have that first doc_id there. Rows without doc_id are left out.
@@ -559,11 +635,11 @@ def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float =
     Texts link whose sets of shingles have a Jaccard similarity of `similarity` or more. The same method as links(), over fingerprints of some thousand bits, so that texts that differ in more than a word here and there are near: of many
     segments, each differs by at most one bit with some chance, and enough are taken that a pair is found with the chance of `recall`.
     A segment's variants have its least certain bits as wildcards, those that differ most often. Variants are joined by equality, by
-    sorting: the others of a variant are compared with its CENTRES first, so that a group of copies of any size costs its size, and a
-    variant of any size is streamed. One part in EARLY of the segments goes first; the rest compares only what that hasn't joined.
-    Candidates are checked over CHECK bits there, and over all bits once, which decides where the
-    fingerprints are three deviations from the similarity; the pairs between, of those that would join something, are decided by their
-    texts.
+    sorting: the others of a variant are first compared with its CENTRES, which joins most of a group at the cost of its size. One part in
+    EARLY of the segments goes first; the rest compares only what that hasn't joined. Candidates are checked over CHECK bits there,
+    and over all bits once, which decides where the fingerprints are three deviations from the similarity; the pairs between, of those that
+    would join something, are decided by their texts. At last all pairs of all segments' variants that aren't joined by then are compared and
+    decided in the same way, so that every pair that shares a variant is looked at, however large the variant.
     Texts without words have one fingerprint of their own. Texts are taken whole; an empty table gives an empty result."""
     spark = docs.sparkSession
     segments, width = shape(docs.count(), similarity, recall)
@@ -576,9 +652,10 @@ def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float =
     check = int(CHECK * aim + 3 * float(np.sqrt(CHECK * aim * (1 - aim))))
     # A few segments first: what they join isn't compared again among itself.
     few = -(-segments // EARLY)
+    worded = first.where("length(fp) > 0").select("id", "fp", "wild")
     labels, links = first.select("id", F.col("id").alias("label")), None
     for begin, end in ((0, few), (few, segments)):
-        known = first.where("length(fp) > 0").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "fp", "wild")
+        known = worded.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "fp", "wild")
         pairs = stage(_paired(known, Shape(begin, end, width), check).distinct(), "candidates")
         of = lambda c, f: first.select(F.col("id").alias(c), F.col("fp").alias(f)).hint("merge")
         both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
@@ -587,15 +664,20 @@ def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float =
         roots = stage(components(links.where("sure").select("src", "dst")), "roots")
         labels = stage(roots.join(roots.groupBy("root").agg(F.min("id").alias("label")), "root").select("id", "label"), "labels")
     # Of the others, those that would join something are looked at by their texts.
-    root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
-    open_ = links.where("not sure").select("src", "dst").join(root("src"), "src", "left").join(root("dst"), "dst", "left")
-    open_ = open_.withColumn("src_root", F.coalesce("src_root", "src")).withColumn("dst_root", F.coalesce("dst_root", "dst")).where("src_root <> dst_root")
-    open_ = stage(open_, "open")
-    more = components(stage(_by_texts(docs, first, open_, shingle, similarity), "verified"))
-    more = stage(more.select(F.col("id").alias("root"), F.col("root").alias("last")), "more")
-    every = first.select("id", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    every = every.join(more, "root", "left").select("id", "first", F.coalesce("last", "root").alias("root"))
-    linked = stage(every, "linked")
+    unsure = links.where("not sure").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    each = first.select("id", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = stage(_open(unsure, each), "open")
+    linked = _joined(each, stage(_by_texts(docs, first, open_, shingle, similarity), "verified"))
+    # Then whatever else shares a variant and isn't joined, over all bits there are.
+    known = worded.join(linked.select("id", F.col("root").alias("label")).hint("merge"), "id").select("id", "label", "fp", "wild")
+    size = 64 * -(-bits // 64) + CHECK
+    doubt = 3 * float(np.sqrt(aim * (1 - aim) / size))
+    left = stage(_left(known, Shape(0, segments, width), aim - doubt, aim + doubt), "left")
+    # Pairs that texts have decided already aren't looked at again.
+    rest = left.where("not sure").select("src", "dst").join(open_.select("src", "dst").hint("merge"), ["src", "dst"], "left_anti")
+    rest = stage(_open(rest, linked), "open")
+    sure = _open(left.where("sure").select("src", "dst"), linked).select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst"))
+    linked = _joined(linked, stage(_by_texts(docs, first, rest, shingle, similarity).unionByName(sure).distinct(), "verified"))
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     found = first.select("id", "fp").join(linked, "id").join(least, "root").select("fp", "first", F.col("least").alias("component_id"))
     times = prints.groupBy("fp", F.col("doc_id").alias("first")).agg(F.count("*").alias("rows"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import re
 import time
 import zlib
@@ -248,6 +249,46 @@ def test_only_shared_variants_are_sent(parts):
         assert pairs == want
 
 
+def test_every_pair_of_a_variant_is_looked_at():
+    """Against loops, whatever the batches are; labels join some rows, and no number of other labels stands between two rows."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (4, 40), dtype=np.uint8)
+    rows = []
+    for v, n in ((5, 40), (6, 1), (7, 2), (9, 90)):
+        for i in range(n):
+            fp = base[rng.integers(4)].copy()
+            fp[rng.integers(0, 40, 12)] ^= np.uint8(1) << rng.integers(0, 8, 12).astype(np.uint8)
+            rows.append((v, int(rng.integers(30)), 1000 * v + i, fp.tobytes()))
+    rows.sort()
+    off = lambda x, y: int(np.bitwise_count(np.frombuffer(x[3], np.uint8) ^ np.frombuffer(y[3], np.uint8)).sum()) / 320
+    want = {(min(x[2], y[2]), max(x[2], y[2]), off(x, y) <= 0.06) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and x[1] != y[1] and off(x, y) <= 0.075}
+    assert {w[2] for w in want} == {True, False} and len(want) > 100
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("variant", "label", "id", "check"), r)) for r in rows[a : a + size]]) for a in range(0, len(rows), size)]
+        assert {(r["src"], r["dst"], r["sure"]) for b in simhash._every(0.06, 0.075)(batches) for r in b.to_pylist()} == want
+
+
+def test_no_similar_pair_that_shares_a_variant_is_lost(spark):
+    """Twins in a crowd of texts that share their variants and aren't similar: beyond the first of a variant as well."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(250):
+        one = edited(rng, words, 9).split()
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, edited(rng, one, 5))]
+    segments, width = simhash.shape(len(rows))
+    made = [simhash.wide(t.encode(), simhash.SIMILAR_SHINGLE, segments, width) for _, t in rows]
+    fp, wild = (np.stack([np.frombuffer(m[k], np.uint8) for m in made]) for k in (0, 1))
+    variants = [set(v.tolist()) for v in simhash._variants_of(fp, wild, simhash.Shape(0, segments, width))]
+    links, _ = brute_similar(rows)
+    shared = [(a, b) for a, b in links if variants[a] & variants[b]]
+    got = {r["first"]: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [(a, b) for a, b in shared if got[rows[a][0]] != got[rows[b][0]]]
+    assert len(shared) > 100 and len(set(got.values())) > 20 and not lost
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5000), (None, 3)]
     got = components.components(spark.createDataFrame(links, "src long, dst long")).collect()
