@@ -233,6 +233,8 @@ CHECK = 256  # bits by which candidates are told from chance
 BUNDLE = 1 << 21  # variants of the fingerprints that are looked at together
 PART = 1 << 22  # variants that are looked up together
 FEW = 1 << 20  # ids that are sent to all; more are joined by sort and merge
+TILE = 1024  # texts of a part of a group: two parts are compared at a time
+TILE_BYTES = 1 << 25  # bytes of texts of a part
 _SALTS = np.random.default_rng(64).integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -339,35 +341,44 @@ def _place(variants: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(32)) % np.uint64(parts), h.astype(np.uint32)
 
 
-_BUNDLES = pa.schema([("bundle", pa.int64()), ("ids", pa.binary()), ("labels", pa.binary()), ("fps", pa.binary()), ("wilds", pa.binary())])
+_BUNDLES = pa.schema([("bundle", pa.int64()), ("ids", pa.binary()), ("labels", pa.binary()), ("fps", pa.binary()), ("wilds", pa.binary()), ("only", pa.int64())])
 
 
 def _bundles(size: int):
-    """Fingerprints (id, label, fp, wild) in bundles of at most `size`."""
+    """Fingerprints (id, label, fp, wild), in order of label, in bundles of at most `size`. Several of the partition's first or last label, which
+    may come from another partition or go on, and `size` of one label, are bundles of their own: `only` is their label."""
 
     def run(batches):
         seq = TaskContext.get().partitionId() << 32
-        held: list[list] = [[], [], [], []]
+        held, mine, edge = [], [], True  # rows of whole labels; of the last one; whether that may have rows elsewhere
 
-        def flush():
+        def packed(rows, alone):
             nonlocal seq
-            ids, labels, fps, wilds = held
-            packed = (np.array(ids, "<i8").tobytes(), np.array(labels, "<i8").tobytes(), b"".join(fps), b"".join(wilds))
-            row = pa.RecordBatch.from_arrays([pa.array([seq]), *(pa.array([x], pa.binary()) for x in packed)], schema=_BUNDLES)
+            ids, labels, fps, wilds = zip(*rows)
+            columns = np.array(ids, "<i8").tobytes(), np.array(labels, "<i8").tobytes(), b"".join(fps), b"".join(wilds)
             seq += 1
-            for x in held:
-                x.clear()
-            return row
+            return pa.RecordBatch.from_arrays([pa.array([seq]), *(pa.array([x], pa.binary()) for x in columns), pa.array([labels[0] if alone else None], pa.int64())], schema=_BUNDLES)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, size):
-                part = batch.slice(a, size)
-                if held[0] and len(held[0]) + part.num_rows > size:
-                    yield flush()
-                for k, x in enumerate(held):
-                    x += part.column(k).to_pylist()
-        if held[0]:
-            yield flush()
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if mine and row[1] != mine[-1][1]:
+                    if edge and len(mine) > 1:
+                        yield packed(mine, True)
+                    else:
+                        if held and len(held) + len(mine) > size:
+                            yield packed(held, False)
+                            held = []
+                        held += mine
+                    mine, edge = [], False
+                elif len(mine) == size:
+                    yield packed(mine, True)
+                    mine, edge = [], True
+                mine.append(row)
+        if held and (len(mine) > 1 or len(held) + len(mine) > size):
+            yield packed(held, False)
+            held = []
+        if mine:
+            yield packed(held + mine, len(mine) > 1)
         tidy()
 
     return run
@@ -380,7 +391,7 @@ def _opened(row: dict, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _spots(shape: Shape, parts: int):
-    """Bundles to (part, bundle, spots): where in each part the bundle has variants, each once, as compressed steps."""
+    """Bundles to (part, bundle, only, spots): where in each part the bundle has variants, each once, as compressed steps."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -392,20 +403,23 @@ def _spots(shape: Shape, parts: int):
                 some = [(k, places[a:b].astype(np.uint32)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                 # The steps' bytes by place: their upper ones are few.
                 blobs = [pack.compress(np.diff(x, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()) for _, x in some]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([row["bundle"]] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["part", "bundle", "spots"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([row["bundle"]] * len(some), pa.int64()), pa.array([row["only"]] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["part", "bundle", "only", "spots"])
             tidy()
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """One part's (part, bundle, spots): of each bundle's spots, which are in other bundles too, as bits."""
+    """One part's (part, bundle, only, spots): of each bundle's spots, which are in other bundles too that don't hold the same label only, as bits."""
     unpack = zstandard.ZstdDecompressor()
     each = []
     for x in table["spots"]:
         raw = np.frombuffer(unpack.decompress(x.as_py()), np.uint8).reshape(4, -1)
         each.append(np.cumsum(np.ascontiguousarray(raw.T).view("<u4").reshape(-1), dtype=np.uint32))
-    every = np.sort(np.concatenate(each))
+    alike: dict = {}
+    for bundle, only, x in zip(table["bundle"].to_pylist(), table["only"].to_pylist(), each):
+        alike.setdefault((bundle, None) if only is None else (None, only), []).append(x)
+    every = np.sort(np.concatenate([np.unique(np.concatenate(x)) if len(x) > 1 else x[0] for x in alike.values()]))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     at = [np.minimum(np.searchsorted(twice, x), max(0, len(twice) - 1)) for x in each]
     bits = [np.packbits(twice[i] == x).tobytes() if len(twice) else bytes(-(-len(x) // 8)) for i, x in zip(at, each)]
@@ -413,8 +427,8 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _emit(shape: Shape, parts: int, apart: bool = False):
-    """Bundles with their bits to the rows (variant, label, id, check) of variants that more than one fingerprint has. apart: variants that are
-    in one bundle only, and of one label there, are left out, and check is the whole fingerprint."""
+    """Bundles with their bits to the rows (variant, label, id, check) of variants that more than one fingerprint has. apart: variants of one
+    label in the bundle, and of none but that in the bits, are left out, and check is the whole fingerprint."""
 
     def run(batches):
         for batch in batches:
@@ -448,14 +462,14 @@ def _candidates(most: int):
     their checks differ in `most` bits at most."""
 
     def run(batches):
-        carry = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, CHECK // 8), np.uint8)]
-        found, size = [], 0
+        carry, found, size = None, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = len(carry[0])
-            check = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CHECK // 8)
-            v, label, i, c = (np.concatenate(x) for x in zip(carry, (*(batch.column(k).to_numpy() for k in range(3)), check)))
+            check = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            mine = [*(batch.column(k).to_numpy() for k in range(3)), check]
+            held = len(carry[0]) if carry else 0
+            v, label, i, c = (np.concatenate(x) for x in zip(carry, mine)) if carry else mine
             first = np.r_[True, v[1:] != v[:-1]]
             fresh = first | np.r_[True, label[1:] != label[:-1]]
             centres, number = np.flatnonzero(fresh), np.cumsum(fresh) - 1
@@ -532,17 +546,29 @@ def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs], ["a", "b"])
 
 
-def _compare(bits: int, least: float, most: float):
-    """Pairs (a, b, fp of a, fp of b): those that may be similar, and whether they surely are."""
+def _stars(links: np.ndarray) -> np.ndarray:
+    """Two rows of ids, links: as few as connect the same ids, each with the smallest that it is connected with."""
+    ids, at = np.unique(links, return_inverse=True)
+    at, root = at.reshape(2, -1), np.arange(len(ids))
+    while at.size:
+        np.minimum.at(root, at.max(axis=0), at.min(axis=0))
+        while (root[root] != root).any():
+            root = root[root]
+        at = root[at]
+        at = at[:, at[0] != at[1]]
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return np.stack([ids[root[moved]], ids[moved]])
+
+
+def _chains(paired):
+    """Links (src, dst) that connect what `paired` pairs, _candidates() or _every(). The pairs don't leave the task: links are fewer than the ids
+    there, however many of them share a variant."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, : bits // 8] for k in (2, 3))
-            off = np.bitwise_count(x ^ y).sum(axis=1) / (8 * x.shape[1])
-            near = pa.array(off <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near), pa.array(off <= least).filter(near)], ["src", "dst", "sure"])
+        links = np.zeros((2, 0), np.int64)
+        for pairs in paired(batches):
+            links = _stars(np.concatenate([links, [pairs.column(k).to_numpy() for k in (0, 1)]], axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in links], ["src", "dst"])
 
     return run
 
@@ -553,79 +579,116 @@ def shingles(text: bytes | None, size: int) -> set[int]:
     return {xxhash.xxh64_intdigest(b" ".join(words[k : k + size]), 42) for k in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def _verify(shingle: int, similarity: float):
-    """Pairs (src, dst, text, text) in order of src: those whose Jaccard similarity reaches `similarity`."""
+def _alike(fps: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, similarity: float, most: float) -> tuple[list, list]:
+    """Positions of texts: links that connect all pairs whose sets of shingles are similar and whose fingerprints differ in a share of `most` bits
+    at most. side: only pairs of different sides are looked at. Breadth-first: a text is compared with those that nothing has reached yet."""
+    size = np.array([len(x) for x in sets])
+    end = np.cumsum(size)
+    words, at = np.unique(np.concatenate(sets), return_inverse=True)
+    mine, bits = np.zeros(len(words), bool), 64 * fps.shape[1]
+    src, dst, rest = [], [], np.arange(len(sets))
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            one = front.pop()
+            near = np.bitwise_count(fps[rest] ^ fps[one]).sum(axis=1) <= most * bits
+            near &= np.minimum(size[rest], size[one]) >= similarity * np.maximum(size[rest], size[one])
+            if side is not None:
+                near &= side[rest] != side[one]
+            other = np.flatnonzero(near)
+            if not len(other):
+                continue
+            own = at[end[one] - size[one] : end[one]]
+            mine[own] = True
+            good = []
+            for part in np.split(other, np.flatnonzero(np.diff(np.cumsum(size[rest[other]]) >> 20)) + 1):
+                n = size[rest[part]]
+                begin = np.cumsum(n) - n
+                of = np.arange(n.sum()) + np.repeat(end[rest[part]] - n - begin, n)
+                both = np.add.reduceat(mine[at[of]], begin, dtype=np.int64)
+                good.append(part[both >= similarity * (n + size[one] - both)])
+            mine[own] = False
+            good = np.concatenate(good)
+            src += [one] * len(good)
+            dst += rest[good].tolist()
+            front += rest[good].tolist()
+            rest = np.delete(rest, good)
+    return src, dst
+
+
+def _verify(shingle: int, similarity: float, most: float):
+    """Rows (cluster, lo, hi, block, id, fp, text) in order of the first three: links (src, dst) between ids that connect the similar texts of a
+    tile, those of blocks lo and hi of a cluster; where these are two, only pairs between them."""
+
+    def links(blocks, ids, fps, texts):
+        if len(ids) < 2:
+            return []
+        side = np.array(blocks)
+        fp = np.frombuffer(b"".join(fps), np.uint64).reshape(len(ids), -1)
+        sets = [np.fromiter(shingles(t, shingle), np.uint64) for t in texts]
+        src, dst = _alike(fp, sets, side if side.min() < side.max() else None, similarity, most)
+        return [(ids[a], ids[b]) for a, b in zip(src, dst)]
 
     def run(batches):
-        known, mine = None, set()
+        key, held = None, [[], [], [], []]
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(k) for k in range(4))):
-                if known != (a.as_py(), x):
-                    known, mine = (a.as_py(), x), shingles(x.cast(pa.binary()).as_py(), shingle)
-                other = shingles(y.cast(pa.binary()).as_py(), shingle)
-                both = len(mine & other)
-                if both >= similarity * (len(mine) + len(other) - both):
-                    out.append((known[0], b.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["src", "dst"])
+            found = []
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            rows = zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), batch.column(6).cast(pa.binary()).to_pylist())
+            for now, row in zip(keys, rows):
+                if now != key:
+                    found += links(*held)
+                    key, held = now, [[], [], [], []]
+                for x, y in zip(held, row):
+                    x.append(y)
+            yield _link_batch(found)
+        yield _link_batch(links(*held))
+        tidy()
 
     return run
 
 
-def _shared_rows(known: DataFrame, shape: Shape, apart: bool = False) -> DataFrame:
-    """known (id, label, fp, wild): the rows (variant, label, id, check) of _emit() from the segments of `shape`, in order of the first three.
+def _link_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["src", "dst"])
+
+
+def _shared_rows(known: DataFrame, shape: Shape) -> DataFrame:
+    """known (id, label, fp, wild): the rows (variant, label, id, whole fingerprint) of _emit() from the segments of `shape`, in order of the first three.
 
     Most variants are of one fingerprint alone. Which aren't is found out from some bits of each variant: bundles of fingerprints send these
-    out packed, and get back a bit for each; only variants that are shared are sent out as rows. apart: labels are dealt out by ranges, so
-    that most are in one bundle, and variants of one label there aren't sent."""
+    out packed, and get back a bit for each; only variants that are shared are sent out as rows. Labels are dealt out by ranges, so that most
+    are in one bundle, others in bundles of their own, and variants of one label aren't sent."""
     spark = known.sparkSession
     each = (shape.end - shape.begin) * (1 + WILD)
-    dealt = known.repartitionByRange(partitions(spark), "label", "id") if apart else known.repartition(partitions(spark))
-    bundles = stage(dealt.mapInArrow(_bundles(max(64, BUNDLE // each)), "bundle long, ids binary, labels binary, fps binary, wilds binary"), "bundles")
+    dealt = known.repartitionByRange(partitions(spark), "label", "id").sortWithinPartitions("label", "id")
+    bundles = stage(dealt.mapInArrow(_bundles(max(64, BUNDLE // each)), "bundle long, ids binary, labels binary, fps binary, wilds binary, only long"), "bundles")
     parts = max(partitions(spark), known.count() * each // PART)
-    spots = bundles.mapInArrow(_spots(shape, parts), "part int, bundle long, spots binary")
+    spots = bundles.mapInArrow(_spots(shape, parts), "part int, bundle long, only long, spots binary")
     shared = spots.groupBy("part").applyInArrow(_shared, "bundle long, part int, bits binary")
     shared = shared.groupBy("bundle").agg(F.collect_list(F.struct("part", "bits")).alias("found"))  # a bit for each variant of a bundle
     rows = bundles.join(shared.hint("merge"), "bundle").select("ids", "labels", "fps", "wilds", "found")
-    rows = rows.mapInArrow(_emit(shape, parts, apart), "variant long, label long, id long, check binary")
+    rows = rows.mapInArrow(_emit(shape, parts, True), "variant long, label long, id long, check binary")
     return rows.repartition(partitions(spark), "variant").sortWithinPartitions("variant", "label", "id")
 
 
-def _paired(known: DataFrame, shape: Shape, most: int) -> DataFrame:
-    """known (id, label, fp, wild): candidates (a, b), pairs of ids of different labels, from the segments of `shape`: those with a variant's
-    CENTRES."""
-    return _shared_rows(known, shape).mapInArrow(_candidates(most), "a long, b long")
-
-
-def _left(known: DataFrame, shape: Shape, least: float, most: float) -> DataFrame:
-    """known (id, label, fp, wild): (src, dst, sure), all pairs of ids of different labels that share a variant of `shape` and differ in a share of
-    `most` bits at most. Every pair of a variant is looked at, so that a variant takes time by the pairs that aren't of one label."""
-    return _shared_rows(known, shape, True).mapInArrow(_every(least, most), "src long, dst long, sure boolean").distinct()
-
-
-def _by_texts(docs: DataFrame, first: DataFrame, open_: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """open_ (src, dst, src_root, dst_root), pairs of ids: (src, dst), roots of those whose texts are similar. A doc_id that rows repeat has
-    several texts; one of them is enough."""
-    ids = open_.select(F.col("src").alias("id")).union(open_.select("dst")).distinct().join(first.select("id", "first"), "id")
-    ids = stage(ids.select("id", F.col("first").alias("doc_id")), "wanted")
+def _verified(docs: DataFrame, first: DataFrame, clusters: DataFrame, verify) -> DataFrame:
+    """clusters (id, root): links (src, dst) between ids that connect the similar texts of each cluster. All its pairs are looked at, a tile of
+    two blocks of at most about TILE texts at a time: a text goes to as many tiles as its cluster has blocks, and pairs are no rows."""
+    spark = docs.sparkSession
+    own = first.select("id", F.col("first").alias("doc_id"), "key").hint("merge")
+    ids = stage(clusters.select("id", F.col("root").alias("cluster")).join(own, "id"), "wanted")
     wanted = F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
-    texts = stage(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("id", "text"), "texts")
-    of = lambda c, t: texts.select(F.col("id").alias(c), F.col("text").alias(t)).hint("merge")
-    pairs = open_.join(of("dst", "y"), "dst").join(of("src", "x"), "src")
-    found = pairs.select("src_root", "dst_root", "x", "y").mapInArrow(_verify(shingle, similarity), "src long, dst long")
-    return found.distinct()
-
-
-def _open(pairs: DataFrame, each: DataFrame) -> DataFrame:
-    """pairs (src, dst), each (id, first, root): (src, dst, src_root, dst_root) of pairs that aren't joined."""
-    root = lambda c: each.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")).hint("merge")
-    return pairs.join(root("src"), "src").join(root("dst"), "dst").select("src", "dst", "src_root", "dst_root").where("src_root <> dst_root")
-
-
-def _joined(each: DataFrame, links: DataFrame) -> DataFrame:
-    """each (id, first, root) with the roots that links (src, dst) between roots give."""
-    more = stage(components(links).select(F.col("id").alias("root"), F.col("root").alias("last")), "more")
-    return stage(each.join(more, "root", "left").select("id", "first", F.coalesce("last", "root").alias("root")), "linked")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").join(wanted, ["doc_id", "key"])
+    # Rows that repeat both doc_id and text are one.
+    texts = texts.join(first.select("id", "fp").hint("merge"), "id").groupBy("id").agg(*(F.first(c).alias(c) for c in ("cluster", "fp", "text")))
+    texts = stage(texts, "texts")
+    blocks = texts.groupBy("cluster").agg(F.expr(f"int(ceil(greatest(count(*) / {TILE}, sum(octet_length(text)) / {TILE_BYTES})))").alias("blocks"))
+    # Of clusters that take several blocks there is one for each TILE texts or TILE_BYTES at most.
+    dealt = texts.join(F.broadcast(blocks.where("blocks > 1")), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.expr("int(pmod(xxhash64(id), blocks))")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    tiles = dealt.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "fp", "text")
+    tiles = tiles.repartition(partitions(spark), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    return tiles.mapInArrow(verify, "src long, dst long")
 
 
 def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -635,53 +698,36 @@ def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float =
     Texts link whose sets of shingles have a Jaccard similarity of `similarity` or more. The same method as links(), over fingerprints of some thousand bits, so that texts that differ in more than a word here and there are near: of many
     segments, each differs by at most one bit with some chance, and enough are taken that a pair is found with the chance of `recall`.
     A segment's variants have its least certain bits as wildcards, those that differ most often. Variants are joined by equality, by
-    sorting: the others of a variant are first compared with its CENTRES, which joins most of a group at the cost of its size. One part in
-    EARLY of the segments goes first; the rest compares only what that hasn't joined. Candidates are checked over CHECK bits there,
-    and over all bits once, which decides where the fingerprints are three deviations from the similarity; the pairs between, of those that
-    would join something, are decided by their texts. At last all pairs of all segments' variants that aren't joined by then are compared and
-    decided in the same way, so that every pair that shares a variant is looked at, however large the variant.
+    sorting. What differs in so few bits that it may be similar, within three deviations, is one cluster. One part in EARLY of the segments
+    goes first, where the others of a variant are compared with its CENTRES, which joins most of a group at the cost of its size; then all pairs
+    of all segments' variants that aren't of one cluster by then are compared, so that every pair that shares a variant is looked at, however
+    large the variant. At last all texts of a cluster are compared by their own shingles, in tiles. Only links that connect something leave
+    a task, never the pairs.
     Texts without words have one fingerprint of their own. Texts are taken whole; an empty table gives an empty result."""
-    spark = docs.sparkSession
     segments, width = shape(docs.count(), similarity, recall)
-    made = docs.where("doc_id is not null").select("doc_id", _wide(shingle, segments, width)(F.col("text")).alias("p"))
-    prints = stage(made.select("doc_id", "p.fp", "p.wild"), "wide")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("wild").alias("wild"))
+    made = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), _wide(shingle, segments, width)(F.col("text")).alias("p"))
+    prints = stage(made.select("doc_id", "key", "p.fp", "p.wild"), "wide")
+    # key says which text of a doc_id that rows repeat has the fingerprint.
+    first = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("own"), F.first("wild").alias("wild"))
+    first = first.select("fp", "wild", F.col("own.doc_id").alias("first"), "own.key")
     first = stage(first.withColumn("id", F.monotonically_increasing_id()), "distinct")
     bits, aim = segments * width, differing(similarity)
-    doubt = 3 * float(np.sqrt(aim * (1 - aim) / bits))
-    check = int(CHECK * aim + 3 * float(np.sqrt(CHECK * aim * (1 - aim))))
-    # A few segments first: what they join isn't compared again among itself.
-    few = -(-segments // EARLY)
     worded = first.where("length(fp) > 0").select("id", "fp", "wild")
-    labels, links = first.select("id", F.col("id").alias("label")), None
-    for begin, end in ((0, few), (few, segments)):
-        known = worded.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "fp", "wild")
-        pairs = stage(_paired(known, Shape(begin, end, width), check).distinct(), "candidates")
-        of = lambda c, f: first.select(F.col("id").alias(c), F.col("fp").alias(f)).hint("merge")
-        both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-        found = stage(both.mapInArrow(_compare(bits, aim - doubt, aim + doubt), "src long, dst long, sure boolean"), "similar")
-        links = found if links is None else links.unionByName(found)
-        roots = stage(components(links.where("sure").select("src", "dst")), "roots")
-        labels = stage(roots.join(roots.groupBy("root").agg(F.min("id").alias("label")), "root").select("id", "label"), "labels")
-    # Of the others, those that would join something are looked at by their texts.
-    unsure = links.where("not sure").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    each = first.select("id", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = stage(_open(unsure, each), "open")
-    linked = _joined(each, stage(_by_texts(docs, first, open_, shingle, similarity), "verified"))
-    # Then whatever else shares a variant and isn't joined, over all bits there are.
-    known = worded.join(linked.select("id", F.col("root").alias("label")).hint("merge"), "id").select("id", "label", "fp", "wild")
     size = 64 * -(-bits // 64) + CHECK
-    doubt = 3 * float(np.sqrt(aim * (1 - aim) / size))
-    left = stage(_left(known, Shape(0, segments, width), aim - doubt, aim + doubt), "left")
-    # Pairs that texts have decided already aren't looked at again.
-    rest = left.where("not sure").select("src", "dst").join(open_.select("src", "dst").hint("merge"), ["src", "dst"], "left_anti")
-    rest = stage(_open(rest, linked), "open")
-    sure = _open(left.where("sure").select("src", "dst"), linked).select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst"))
-    linked = _joined(linked, stage(_by_texts(docs, first, rest, shingle, similarity).unionByName(sure).distinct(), "verified"))
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    found = first.select("id", "fp").join(linked, "id").join(least, "root").select("fp", "first", F.col("least").alias("component_id"))
+    most = aim + 3 * float(np.sqrt(aim * (1 - aim) / size))
+    # A few segments first, by centres: what they bring together isn't compared again. Then whatever else shares a variant.
+    clusters = worded.select("id", F.col("id").alias("root"))
+    for end, of in ((-(-segments // EARLY), _candidates(int(size * most))), (segments, _every(most, most))):
+        known = worded.join(clusters.hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("label"), "fp", "wild")
+        links = _shared_rows(known, Shape(0, end, width)).mapInArrow(_chains(of), "src long, dst long")
+        before = clusters.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst"))
+        clusters = stage(components(links.unionByName(before)), "clusters")
+    found = stage(_verified(docs, first, clusters, _verify(shingle, similarity, most)), "verified")
+    linked = first.select("id", "fp", "first").join(components(found).hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    linked = stage(linked, "linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     times = prints.groupBy("fp", F.col("doc_id").alias("first")).agg(F.count("*").alias("rows"))
-    return found.join(times, ["fp", "first"])
+    return linked.join(least, "root").select("fp", "first", "component_id").join(times, ["fp", "first"])
 
 
 def drop_similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

@@ -289,6 +289,83 @@ def test_no_similar_pair_that_shares_a_variant_is_lost(spark):
     assert len(shared) > 100 and len(set(got.values())) > 20 and not lost
 
 
+def test_links_of_a_variant_are_fewer_than_its_ids():
+    """_chains() connects what _every() pairs, and no more, with fewer links than ids."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (9, 40), dtype=np.uint8)
+    rows = sorted((v, i, i, (base[i % 9] ^ np.uint8(1 << i % 8) * (np.arange(40) == i % 40)).tobytes()) for v in (3, 4) for i in rng.choice(700, 400, replace=False).tolist())
+    batches = lambda: [pa.RecordBatch.from_pylist([dict(zip(("variant", "label", "id", "check"), r)) for r in rows[a : a + 100]]) for a in range(0, len(rows), 100)]
+    pairs = [(r["src"], r["dst"]) for b in simhash._every(0.02, 0.02)(batches()) for r in b.to_pylist()]
+    links = [(r["src"], r["dst"]) for b in simhash._chains(simhash._every(0.02, 0.02))(batches()) for r in b.to_pylist()]
+    ids = sorted({r[2] for r in rows})
+    assert groups(ids, links) == groups(ids, pairs) and len(links) < len(ids) < len(pairs) / 10
+
+
+def test_similar_texts_in_tiles():
+    """Links of the tiles of a group, within blocks and between them, connect what pairs of similar sets do."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(300)]
+    texts = [t for _ in range(40) for one in [edited(rng, words, 9)] for t in (one, edited(rng, one.split(), 5))]
+    sets = [simhash.shingles(t.encode(), 5) for t in texts]
+    made = np.stack([np.frombuffer(simhash.wide(t.encode(), 5, 40, 16)[0], np.uint64) for t in texts])
+    arrays = [np.array(sorted(x), np.uint64) for x in sets]
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    for side in (None, np.arange(len(texts)) % 2):
+        want = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similar(a, b) and (side is None or side[a] != side[b])]
+        src, dst = simhash._alike(made, arrays, side, 0.8, 1.0)
+        assert groups(range(len(texts)), [*zip(src, dst)]) == groups(range(len(texts)), want) and 20 < len(src) < len(texts)
+
+
+def test_rows_of_similar_texts_grow_with_texts_not_pairs(spark, monkeypatch):
+    """A crowd of texts in doubt, few of them similar: four times the texts make not much over four times the rows, where pairs make sixteen."""
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, edited(rng, words, 7)) for k in range(1200)]
+    made = []
+    real = simhash.stage
+
+    def counted(df, name):
+        found = real(df, name)
+        made.append((name, found.count()))
+        return found
+
+    monkeypatch.setattr(simhash, "stage", counted)
+    most = []
+    for n in (300, 1200):
+        made.clear()
+        got = {r["first"]: r.component_id for r in simhash.similar(spark.createDataFrame(rows[:n], "doc_id long, text string")).collect()}
+        links, least = brute_similar(rows[:n])
+        assert sum(got[rows[a][0]] == got[rows[b][0]] for a, b in links) >= 0.95 * len(links) and all(least[c] == least[i] for i, c in got.items())
+        most.append(max(made, key=lambda x: x[1]))
+    assert most[1][1] <= 8 * most[0][1], most
+
+
+def test_variants_of_one_label_in_many_bundles_are_not_sent():
+    """A label that goes on in another partition has bundles of its own, and what only these share isn't sent; what another label has as well is."""
+    import pyarrow as pa
+
+    names = ("id", "label", "fp", "wild")
+    labels = [3, 3, 3, 5, 6, 6, 9, 9]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, (k, label, b"f", b"w"))) for k, label in enumerate(labels)][a : a + 3]) for a in (0, 3, 6)]
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simhash.TaskContext, "get", staticmethod(lambda: Context))
+        got = [(r["only"], np.frombuffer(r["labels"], "<i8").tolist()) for b in simhash._bundles(4)(batches) for r in b.to_pylist()]
+        cut = [(r["only"], len(r["ids"]) // 8) for b in simhash._bundles(2)(batches) for r in b.to_pylist()]
+    assert got == [(3, [3, 3, 3]), (None, [5, 6, 6]), (9, [9, 9])]
+    assert sum(n for _, n in cut) == 8 and all(n <= 2 for _, n in cut)
+    pack = simhash.zstandard.ZstdCompressor()
+    spots = lambda x: pack.compress(np.diff(np.array(x, np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
+    table = pa.table([pa.array([0] * 3), pa.array([10, 11, 12]), pa.array([3, 3, None], pa.int64()), pa.array([spots([1, 2, 8]), spots([1, 2, 9]), spots([2, 9, 20])])], ["part", "bundle", "only", "spots"])
+    bits = {r["bundle"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:3].tolist() for r in simhash._shared(table).to_pylist()}
+    assert bits == {10: [0, 1, 0], 11: [0, 1, 1], 12: [1, 1, 0]}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5000), (None, 3)]
     got = components.components(spark.createDataFrame(links, "src long, dst long")).collect()
