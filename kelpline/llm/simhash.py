@@ -569,6 +569,7 @@ def _chains(paired):
         for pairs in paired(batches):
             links = _stars(np.concatenate([links, [pairs.column(k).to_numpy() for k in (0, 1)]], axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in links], ["src", "dst"])
+        tidy()
 
     return run
 
