@@ -69,3 +69,14 @@ def metric_line(line: str | Column) -> tuple[Column, Column, Column, Column]:
     t = _c(line)
     label = lambda k: F.regexp_extract(t, rf'[{{,]{k}="([^"]*)"', 1)
     return F.regexp_extract(t, r"^([a-zA-Z_:][a-zA-Z0-9_:]*)", 1), label("reader"), label("source"), F.coalesce(F.regexp_extract(t, r"\s(\S+)\s*$", 1).try_cast("double"), F.lit(0.0))
+
+
+def plain_number(t: str | Column) -> Column:
+    """The text of a double as SQL has it, from Java's, which has an exponent from 10^7 up and under 0.001: plain digits from 0.0001 to below 10^16
+    (5.5E7: 55000000.0), else an exponent with its sign and two digits or more (1.0E16: 1e+16). Other texts stay. The digits are Java's; before
+    Java 19 these may be one or two more than needed from 10^16 up."""
+    form = r"^(-?\d\.\d+)E(-?\d+)$"
+    digits, e = F.regexp_extract(_c(t), form, 1), F.regexp_extract(_c(t), form, 2).try_cast("int")
+    plain = F.regexp_replace(_c(t).try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    power = F.concat(F.regexp_replace(digits, r"\.0$", ""), F.lit("e"), F.format_string("%+03d", e))
+    return F.when(e.between(-4, 15), plain).when(e.isNotNull(), power).otherwise(_c(t))

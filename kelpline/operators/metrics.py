@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.functions.text import format_bytes
+from kelpline.functions.text import format_bytes, plain_number
 from kelpline.operators.numbering import running
 
 #: The upper bounds of the two histograms.
@@ -132,7 +132,15 @@ def base_name(name: Column) -> tuple[Column, Column]:
 
 def json_groups(metrics: DataFrame) -> DataFrame:
     """metrics (name, source, value): (base, n, members): one JSON list for each base name, in order of field and source. Names of labels are
-    escaped by the writer; numbers that aren't finite become strings."""
+    escaped by the writer; numbers that aren't finite become strings, others are written as SQL has them, whatever their size."""
     base, field = base_name(F.col("name"))
     rows = metrics.select(base.alias("base"), F.struct(F.coalesce(field, F.lit("")).alias("histogram"), F.col("source"), F.col("value")).alias("m"))
-    return rows.groupBy("base").agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list("m"))).alias("members"))
+    texts = F.transform(F.transform(F.array_sort(F.collect_list("m")), lambda m: F.to_json(m)), _plain_value)
+    return rows.groupBy("base").agg(F.count("*").alias("n"), F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias("members"))
+
+
+def _plain_value(member: Column) -> Column:
+    """A member's JSON, in which the value is last; only a number has no quote there, and only one with an exponent is written anew."""
+    number = F.regexp_extract(member, r"(-?\d\.\d+E-?\d+)\}$", 1)
+    head = F.substring(member, F.lit(1), F.length(member) - F.length(number) - 1)
+    return F.when(number == "", member).otherwise(F.concat(head, plain_number(number), F.lit("}")))

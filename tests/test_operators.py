@@ -1,5 +1,6 @@
 """Conversions, tables, buckets, metrics and delivery on small fixtures, edge cases first."""
 
+import json
 from collections import Counter
 from decimal import Decimal
 
@@ -58,6 +59,18 @@ def test_exposition_escapes(spark):
     assert one(metrics.exposition(df)).line == 'm{l="a\\"b\\\\c\\n}"} 1.5'
 
 
+def test_json_numbers_of_any_size(spark):
+    values = [0.0, 2.5e-300, 1e-05, 1.5e-05, 0.0001, 0.00098765, 0.001, 9999999.9, 1e7, -59907727.8, 59909850.0, 123456789012345.67, 9999999999999998.0, 1e16, -1.25e17, 1.5e300]
+    df = spark.createDataFrame([("m_sum", f"{k:02}", v) for k, v in enumerate(values)], "name string, source string, value double")
+    members = ",".join(f'{{"histogram":"sum","source":"{k:02}","value":{v!r}}}' for k, v in enumerate(values))
+    assert tuple(one(metrics.json_groups(df))) == ("m", len(values), f"[{members}]")
+    odd = spark.createDataFrame([("m", '"value":1.0E7}', None), ("m", "a", float("nan")), ("m", "b", float("inf")), ("m", None, 2e7)], df.schema)
+    want = [{"histogram": "", "source": '"value":1.0E7}'}, {"histogram": "", "source": "a", "value": "NaN"}, {"histogram": "", "source": "b", "value": "Infinity"}, {"histogram": "", "value": 2e7}]
+    key = lambda m: m.get("source", "")
+    assert sorted(json.loads(one(metrics.json_groups(odd)).members), key=key) == sorted(want, key=key)
+    assert one(metrics.json_groups(df.withColumn("value", F.lit(20_000_000)).limit(1))).members == '[{"histogram":"sum","source":"00","value":20000000}]'
+
+
 def test_percent_encoding(spark):
     assert one(spark.range(1).select(text.percent_encode(F.lit("a b*~+/:-_.é")).alias("e"))).e == "a%20b%2A~%2B%2F%3A-_.%C3%A9"
 

@@ -38,5 +38,14 @@ def test_query(name, spark, sf_dir, duck):
     assert rows(got) == rows(want)
 
 
+def test_json_groups_of_large_sums(spark, sf_dir, tmp_path):
+    con = duckdb.connect()
+    scale = "CASE event_type WHEN 'click' THEN 10000 WHEN 'view' THEN 100000000 ELSE 1 END"
+    con.execute(f"COPY (SELECT * REPLACE (value * {scale} AS value) FROM '{sf_dir}/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = catalog.queries()["met_json_groups"](spark, str(tmp_path)).select("base", "n", "members")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(catalog.oracle_sql()["met_json_groups"]).fetchall())
+
+
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
